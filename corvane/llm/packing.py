@@ -87,6 +87,7 @@ class WordIds(dict):
     def batch(self, texts: pa.Array) -> list[bytes]:
         """ids() of each text: words are numbered by Arrow, looked up once each, and gathered."""
         texts = pc.cast(pc.fill_null(texts, ""), pa.large_string())
+        texts = pa.concat_arrays([texts, pa.array([], pa.large_string())])  # a slice's offsets then begin at 0, as ascii_lower() needs
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are case-sensitive
             texts = pc.ascii_lower(texts)
         parts = pc.ascii_split_whitespace(texts)
