@@ -8,6 +8,7 @@ import operator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OPERATORS = {
     ast.Add: operator.add,
@@ -51,7 +52,7 @@ def evaluate(expression: str) -> float:
         raise ValueError(str(e)) from e
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def calculate(expressions: pd.Series) -> pd.Series:
     """evaluate() of each expression; null where it fails."""
 

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-IN_DOC = W.partitionBy("doc_id").orderBy("page_num", "char_offset_start", "id")
+
+def in_document():
+    """Reading order of a document."""
+    return W.partitionBy("doc_id").orderBy("page_num", "char_offset_start", "id")
 
 
 def context_windows(sentences: DataFrame, targets: DataFrame, size: int = 2) -> DataFrame:
@@ -14,7 +17,7 @@ def context_windows(sentences: DataFrame, targets: DataFrame, size: int = 2) ->
 
     Ranks are taken only within documents that hold a target; the join is by doc_id and range.
     """
-    ranked = sentences.join(targets.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("rn", F.row_number().over(IN_DOC))
+    ranked = sentences.join(targets.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("rn", F.row_number().over(in_document()))
     at = targets.join(ranked.select(F.col("id").alias("target_id"), F.col("rn").alias("target_rn")), "target_id")
     near = ranked.join(at, "doc_id").filter(F.col("rn").between(F.col("target_rn") - size, F.col("target_rn") + size))
     return near.select("target_id", *sentences.columns, "rn")
@@ -42,5 +45,5 @@ def preceding_paragraphs(sentences: DataFrame, targets: DataFrame) -> DataFrame:
 
 def all_windows(sentences: DataFrame, size: int = 2) -> DataFrame:
     """For every sentence: id, n, context (the texts at most `size` places away, joined); a window frame, no join."""
-    around = IN_DOC.rowsBetween(-size, size)
+    around = in_document().rowsBetween(-size, size)
     return sentences.select("id", F.count(F.lit(1)).over(around).alias("n"), F.array_join(F.collect_list("text").over(around), " ").alias("context"))

@@ -38,7 +38,7 @@ def sentence_lookup(spark, sf_dir):
 @query("sentences_by_doc", CORPUS + "SELECT id, page_num, char_offset_start, row_number() OVER (ORDER BY page_num, char_offset_start, id)::BIGINT AS rn FROM sents WHERE doc_id = 7")
 def sentences_by_doc(spark, sf_dir):
     own = _sents(spark, sf_dir).filter("doc_id = 7")
-    return own.withColumn("rn", F.row_number().over(context.IN_DOC).cast("long")).select("id", "page_num", "char_offset_start", "rn")
+    return own.withColumn("rn", F.row_number().over(context.in_document()).cast("long")).select("id", "page_num", "char_offset_start", "rn")
 
 
 @query("sentences_by_ids_join", CORPUS + "SELECT s.id, s.doc_id, d.lang, length(s.text)::BIGINT AS chars FROM sents s JOIN documents d USING (doc_id) WHERE s.sentence_id = 'p1_para1_s1'")
