@@ -115,17 +115,14 @@ def render_spans(render: Template, turns: Sequence[Turn], prefix_turns: int = PR
         deltas = _deltas(body, turns, None)
     if deltas is None:
         return Rendered(whole, None, True)
-    at, spans, known = len(body([])), [], {}
+    at, spans = len(body([])), []
+    # a probe after the last two turns does for a long conversation, if it fits the span
+    contexts = (None,) if len(turns) <= prefix_turns else (2, None)
     for k, ((role, _), delta) in enumerate(zip(turns, deltas, strict=True)):
-        for way in ("known", "near", "all"):  # what the role had before, a probe after the last two turns, after all
-            if way == "known":
-                if role not in known:
-                    continue
-            else:
-                before = turns[max(0, k - 2) : k] if way == "near" else turns[:k]
-                head, end = _probe(body, before, role)
-                known[role] = (head[len(body(before)) :], end)
-            head, end = known[role]
+        for context in contexts:
+            before = turns[:k] if context is None else turns[max(0, k - context) : k]
+            head, end = _probe(body, before, role)
+            head = head[len(body(before)) :]
             if delta.startswith(head) and delta.endswith(end) and len(head) + len(end) <= len(delta):
                 break
         spans.append((at, at + len(delta), at + len(head), at + len(delta) - len(end)))
