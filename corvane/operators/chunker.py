@@ -78,7 +78,7 @@ def batched_summary(chunks: list[str], summarize: Summarizer, batch: int = BATCH
             out = with_retry(lambda prompt=prompt: summarize(prompt), attempts, 1.0, 2.0, sleep or (lambda _: None))
         except Exception:
             ends = f"{part[0][:200]}... ... {part[-1][:200] if len(part) > 1 else ''}"
-            out = f"{out}\n[Chunks {s + 1}-{s + len(part)}]: {ends}".strip()
+            out = f"{out}\n[Chunks {s + 1}-{s + len(part)}]: {ends}".lstrip("\n")
     return out
 
 

@@ -19,13 +19,17 @@ THRESHOLD = 0.95
 
 
 def exact_flags(items: DataFrame, scope: list[str], order: list[str], text_col: str = "text", shortest: int = SHORTEST) -> DataFrame:
-    """items with `first`: of equal texts in a scope the first in order, and every text under `shortest`."""
-    rank = F.row_number().over(W.partitionBy(*scope, F.md5(text_col)).orderBy(*order))
-    return items.withColumn("first", (F.length(text_col) < shortest) | (rank == 1))
+    """items with `first`: of equal texts in a scope the first in order (a total one), and every text
+    under `shortest`. The first is an aggregate, so a text that a third of all rows share is no hot group."""
+    own = items.withColumn("__hash", F.md5(text_col))
+    least = own.filter(F.length(text_col) >= shortest).groupBy(*scope, "__hash").agg(F.min(F.struct(*order)).alias("__least"))
+    joined = own.join(least, [*scope, "__hash"], "left")
+    first = (F.length(text_col) < shortest) | F.coalesce(F.struct(*order) == F.col("__least"), F.lit(True))
+    return joined.select(*items.columns, first.alias("first"))
 
 
 def similar_pairs(items: DataFrame, threshold: float = THRESHOLD, scope: list[str] | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """scope columns, a, b (a < b), similarity of every pair at or over the threshold with a word in it.
+    """scope columns, a, b (a < b), similarity, copy of every pair at or over the threshold with a word in it.
 
     Two sets that similar share a word among the size - ceil(threshold * size) + 1 rarest of each, and
     their sizes differ by the same factor. Items of one word set are one class in the join, and come
@@ -45,26 +49,27 @@ def similar_pairs(items: DataFrame, threshold: float = THRESHOLD, scope: list[st
     pairs = left.join(right, [*scope, "word"]).filter(fits).select(*scope, "a", "b").distinct()
     words = classes.select(*scope, F.col("id"), "words")
     full = pairs.join(words.select(*scope, F.col("id").alias("a"), F.col("words").alias("wa")), [*scope, "a"]).join(words.select(*scope, F.col("id").alias("b"), F.col("words").alias("wb")), [*scope, "b"])
-    near = full.select(*scope, "a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
-    same = own.join(classes.withColumnRenamed("id", "a"), [*scope, "words"]).filter(F.col("id") != F.col("a")).select(*scope, "a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    near = full.select(*scope, "a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12).withColumn("copy", F.lit(False))
+    same = own.join(classes.withColumnRenamed("id", "a"), [*scope, "words"]).filter(F.col("id") != F.col("a")).select(*scope, "a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(True).alias("copy"))
     return near.unionByName(same)
 
 
 def greedy_kept(pairs: DataFrame, ids: DataFrame, checkpoint) -> DataFrame:
     """ids (column id) that stay: a fixpoint in which an item with no undecided earlier neighbour is
-    decided. Rounds are as many as the longest chain of earlier neighbours.
+    decided. Rounds are as many as the longest chain of earlier neighbours. A copy never stays: what
+    drops the first of its class, or that one itself, is earlier and as similar to it.
 
     checkpoint: DataFrame -> DataFrame, cuts the lineage of a round (into the shared folder).
     """
-    edges = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    dropped, live = None, edges
+    dropped = pairs.filter("copy").select(F.col("b").alias("id")).distinct()
+    live = checkpoint(pairs.filter("not copy").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while live.limit(1).count():
         # a stays if nothing earlier can drop it: it is no later end of a live edge
         sure = live.select("a").distinct().join(live.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         gone = checkpoint(live.join(sure, "a").select(F.col("b").alias("id")).distinct())
-        dropped = gone if dropped is None else checkpoint(dropped.unionByName(gone).distinct())
+        dropped = checkpoint(dropped.unionByName(gone).distinct())
         live = checkpoint(live.join(sure, "a", "left_anti").join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"))
-    return ids if dropped is None else ids.join(dropped, "id", "left_anti")
+    return ids.join(dropped, "id", "left_anti")
 
 
 def deduplicated(items: DataFrame, exact_scope: list[str], fuzzy_scope: list[str], order: list[str], checkpoint, threshold: float = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
@@ -78,7 +83,6 @@ def deduplicated(items: DataFrame, exact_scope: list[str], fuzzy_scope: list[str
     key = F.concat_ws("\x1f", *(F.col(c).cast("string") for c in fuzzy_scope), F.lpad(F.col("n").cast("string"), 12, "0"))
     keyed = checkpoint(numbered.withColumn("key", key))
     pairs = checkpoint(similar_pairs(keyed.select(*fuzzy_scope, F.col("key").alias("id"), "text"), threshold, fuzzy_scope))
-    # copies of a word set stand for each other: an edge to a class' first item is an edge to all of it
     kept = greedy_kept(pairs, keyed.select(F.col("key").alias("id")), checkpoint).withColumnRenamed("id", "key")
     return flagged.filter(F.length("text") < shortest).unionByName(keyed.join(kept, "key", "left_semi").select(*flagged.columns))
 
