@@ -33,7 +33,11 @@ from pyspark.sql.window import Window as W
 from corvane.llm.common import narrow, written
 
 SAMPLE_ROWS, SAMPLE_QUERIES = 4096, 256
-TABLES, PROJECTIONS = 2, 7
+TABLES = 2
+#: Projections of a table grow with the logarithm of the number of vectors, between these.
+LEAST_PROJECTIONS, MOST_PROJECTIONS = 4, 10
+#: Rows that a worker makes at once.
+ROWS_AT_ONCE = 4096
 WIDTH = 2.0
 RECALL = 0.95
 SALT_ROWS = 4096
@@ -42,14 +46,14 @@ SEED = 7
 
 @dataclass(frozen=True)
 class Hasher:
-    directions: np.ndarray  # tables, projections, dimension; for unit vectors, scaled to unit variance
+    directions: np.ndarray  # tables, projections, dimension; of a unit vector, projections of unit variance
     offsets: np.ndarray
     probes: int
 
     @classmethod
     def drawn(cls, dimension: int, tables: int, projections: int, probes: int, seed: int = SEED) -> Hasher:
         rng = np.random.default_rng(seed)
-        return cls(rng.normal(size=(tables, projections, dimension)) * np.sqrt(dimension), rng.uniform(0, WIDTH, size=(tables, projections)), probes)
+        return cls(rng.normal(size=(tables, projections, dimension)), rng.uniform(0, WIDTH, size=(tables, projections)), probes)
 
     def projected(self, unit: np.ndarray, table: int) -> np.ndarray:
         return (unit @ self.directions[table].T + self.offsets[table]) / WIDTH
@@ -85,7 +89,11 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def fitted(sample: np.ndarray, k: int, tables: int = TABLES, projections: int = PROJECTIONS, recall: float = RECALL, queries: int = SAMPLE_QUERIES) -> Hasher:
+def projections_for(n: int) -> int:
+    return min(MOST_PROJECTIONS, max(LEAST_PROJECTIONS, round(np.log2(max(n, 2)) / 3)))
+
+
+def fitted(sample: np.ndarray, k: int, tables: int = TABLES, projections: int = LEAST_PROJECTIONS, recall: float = RECALL, queries: int = SAMPLE_QUERIES) -> Hasher:
     """The hasher with the fewest probes that reach the recall on the sample."""
     most = 3**projections
     hasher = Hasher.drawn(sample.shape[1], tables, projections, most)
@@ -106,9 +114,15 @@ def fitted(sample: np.ndarray, k: int, tables: int = TABLES, projections: int =
     return Hasher(hasher.directions, hasher.offsets, min(most, probes))
 
 
+def _type(vectors: DataFrame) -> str:
+    """Single precision is kept as it is, anything else is made double; sums are double in any case."""
+    kind = dict(vectors.dtypes)["embedding"]
+    return kind if kind == "array<float>" else "array<double>"
+
+
 def classes_of(vectors: DataFrame, k: int) -> DataFrame:
     """class (its smallest id), vector, ids (its k + 1 smallest) of each distinct vector that takes part."""
-    own = narrow(vectors, vec_id="vec_id:long", vector="embedding:array<double>").filter("vec_id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)")
+    own = narrow(vectors, vec_id="vec_id:long", vector=f"embedding:{_type(vectors)}").filter("vec_id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)")
     sizes = own.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     own = own.filter(F.size("vector") == (sizes[0]["n"] if sizes else 0))
     least = own.distinct().withColumn("at", F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))).filter(F.col("at") <= k + 1)
@@ -116,23 +130,24 @@ def classes_of(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def queries_of(vectors: DataFrame, every: int) -> DataFrame:
-    return narrow(vectors, vec_id="vec_id:long", vector="embedding:array<double>").filter(f"vec_id % {every} = 0").distinct()
+    return narrow(vectors, vec_id="vec_id:long", vector=f"embedding:{_type(vectors)}").filter(f"vec_id % {every} = 0").distinct()
 
 
 RANKED = "query long, class long, score double"
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(len(column), -1)
+    return np.asarray(column.flatten()).reshape(len(column), -1).astype(np.float64)
 
 
 def _keyed(hasher: Hasher, probes: bool):
     """(key, id, vector) of index rows, or of queries for each bucket that they visit."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, ROWS_AT_ONCE // hasher.probes) if probes else ROWS_AT_ONCE
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
+            for s in range(0, batch.num_rows, step):
+                part = batch.slice(s, step)
                 u = unit(_vectors(part.column(1)))
                 for t in range(len(hasher.directions)):
                     keys = hasher.probe_keys(u, t) if probes else hasher.keys(u, t)[:, None]
@@ -219,7 +234,7 @@ def _nearest(found: DataFrame, keep: int) -> DataFrame:
     return found.groupBy("query", "class").agg(F.max("score").alias("score")).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= keep).drop("at")
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLES, projections: int = PROJECTIONS, recall: float = RECALL) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLES, projections: int | None = None, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every` its k nearest."""
     spark = vectors.sparkSession
     classes = written(spark, classes_of(vectors, k), "ann-classes")
@@ -227,11 +242,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLE
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], schema)
-    hasher = fitted(np.array([r["vector"] for r in sample], np.float64), k, tables, projections, recall)
+    hasher = fitted(np.array([r["vector"] for r in sample], np.float64), k, tables, projections or projections_for(classes.count()), recall)
     # a query is searched once for each distinct vector, under the name of its class
     named = queries_of(vectors, every).join(classes, "vector").select("vec_id", "class")
     searched = classes.join(named.select("class").distinct(), "class", "left_semi").select(F.col("class").alias("id"), "vector")
-    keyed = "key long, id long, vector array<double>"
+    keyed = f"key long, id long, vector {_type(vectors)}"
     index = classes.select(F.col("class").alias("id"), "vector").mapInArrow(_keyed(hasher, False), keyed)
     probes = searched.mapInArrow(_keyed(hasher, True), keyed)
     keep = k + 1
