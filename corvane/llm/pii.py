@@ -136,8 +136,12 @@ def revealing_terms(docs: DataFrame, window: int = 5, min_texts: int = 3, genera
         rows = ((t, e, key) for text, key in rows_of(batches) if text for t, e in near(text, base_spans(text), window))
         return batches_of(rows, pa.schema([("term", pa.string()), ("entity", pa.string()), ("key", pa.int64())]))
 
-    together = own.mapInArrow(pairs, "term string, entity string, key long").groupBy("term", "entity").agg(F.countDistinct("key").alias("together"))
-    together = written(spark, together.filter(F.col("together") >= min_texts), "pii-together")
+    seen = written(spark, own.mapInArrow(pairs, "term string, entity string, key long").distinct(), "pii-pairs")
+    together = seen.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= min_texts)
+    # a term stands in at least the texts where it stands near any entity, so most terms need no further count
+    near_any = seen.groupBy("term").agg(F.countDistinct("key").alias("near_any"))
+    together = together.join(near_any, "term").filter(F.col("together") >= generalise * F.col("near_any")).select("term", "entity", "together")
+    together = written(spark, together, "pii-together")
     terms = together.select("term").distinct()
     few = terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
     sent = spark.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect())) if few else None
