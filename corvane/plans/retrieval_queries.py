@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corvane.functions.text import jaccard, word_set
 from corvane.operators import bm25, context, dedup, fusion, retrieval, vector
 from corvane.operators.plugins import embedded, hashing_embedder
-from corvane.plans.base import CORPUS, query, terms, trim, word_set as words_sql
+from corvane.plans.base import CORPUS, query, terms
+from corvane.plans.base import word_set as words_sql
 from corvane.plans.corpus_queries import PARAGRAPHS
 from corvane.plans.text_queries import caption_sql, kind_sql
 from corvane.sources.corpus import paragraphs
