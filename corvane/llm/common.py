@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.sources.shared import new_path, written
+
+__all__ = ["A_TO_Z", "SPACES", "batches_of", "lower_words_of", "narrow", "new_path", "rows_of", "words_of", "written"]
+
 #: White space of the word definition `[^\x20\x09-\x0D]+`; bytes.split() cuts at just these bytes.
 SPACES = " \t\n\x0b\x0c\r"
 A_TO_Z = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -25,28 +27,6 @@ def lower_words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(A_TO_Z).split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def narrow(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names; extra columns can't clash.
 

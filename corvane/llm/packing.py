@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 import zlib
 from functools import cache
 
