@@ -157,6 +157,11 @@ def without_tool_calls(text: Column) -> Column:
     return trimmed(F.regexp_replace(text, r"(?s)<tool_call>\s*.*?\s*</tool_call>", ""))
 
 
+def native_arguments(arguments: Column) -> Column:
+    """A native call's arguments as JSON text; what doesn't parse counts as none."""
+    return F.coalesce(F.get_json_object(arguments, "$"), F.lit("{}"))
+
+
 def is_core_fact(text: Column) -> Column:
     return any_of([F.lower(text).contains(x) for x in CORE_PHRASES])
 

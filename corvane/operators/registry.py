@@ -67,6 +67,19 @@ class Approvals:
         return name not in self._denied
 
 
+def assembled_prompt(sections: list[Callable[[], str]]) -> str:
+    """Sections in order, parted by blank lines; one that fails or is blank is left out."""
+    out = []
+    for section in sections:
+        try:
+            text = section().strip()
+        except Exception:
+            continue
+        if text:
+            out.append(text)
+    return "\n\n".join(out)
+
+
 def formatted_hits(hits: list[dict]) -> str:
     """Search hits as a model reads them."""
     return "\n\n".join(f"[{i}] {h.get('filename') or 'Unknown'} (Page {h.get('page_num', '?')}):\n{h['text']}" for i, h in enumerate(hits, 1))

@@ -31,13 +31,26 @@ def pdf_pages(files: DataFrame, page_count: Callable[[bytes], int]) -> DataFrame
 
 
 def extracted_pages(pages: DataFrame, extract: Callable[[bytes, int], str]) -> DataFrame:
-    """(path, page_num, markup): the extractor turns a page into canonical markup."""
+    """(path, page_num, markup, error): the extractor turns a page into canonical markup. A page on which
+    it fails keeps its row, with a null markup and the error, and stops no other."""
+
+    def one(content: bytes, page: int) -> tuple[str | None, str | None]:
+        try:
+            return extract(content, page), None
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"path": x["path"], "page_num": x["page_num"], "markup": [extract(bytes(c), int(p)) for c, p in zip(x["content"], x["page_num"], strict=True)]})
+            found = [one(bytes(c), int(p)) for c, p in zip(x["content"], x["page_num"], strict=True)]
+            yield pd.DataFrame({"path": x["path"], "page_num": x["page_num"], "markup": [m for m, _ in found], "error": [e for _, e in found]})
+
+    return pages.mapInPandas(run, "path string, page_num int, markup string, error string")
+
 
-    return pages.mapInPandas(run, "path string, page_num int, markup string")
+def failed_pages(extracted: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages to try again: a dead-letter table joined back to its input."""
+    return pages.join(extracted.filter("error is not null").select("path", "page_num"), ["path", "page_num"], "left_semi")
 
 
 def workspace_files(spark: SparkSession, paths: list[str], most: int = 20_000) -> DataFrame:

@@ -96,6 +96,7 @@ def test_references_and_calls(spark):
     assert [(r["ref_type"], r["ref_text"]) for r in found] == [("citation", "see Table 2"), ("numeric_citation", "[1, 3]"), ("direct_reference", "Table 2")]
     calls = one(spark, T.tool_calls, 'x <tool_call>{"name":"c","arguments":{"a":1}}</tool_call> y <tool_call>{bad</tool_call>')
     assert [(c["name"], c["arguments"]) for c in calls] == [("c", '{"a":1}')]
+    assert one(spark, T.native_arguments, "{bad") == "{}" and one(spark, T.native_arguments, '{"a":1}') == '{"a":1}'
     assert one(spark, T.truncated, "x" * 20_001).endswith("\n\n[... truncated at 20000 chars]")
 
 
@@ -344,6 +345,7 @@ def test_registry():
     ok = registry.Approvals()
     ok.deny("a")
     assert not ok.is_approved("a") and ok.is_approved("new")
+    assert registry.assembled_prompt([lambda: "a ", lambda: " ", lambda: 1 / 0, lambda: "b"]) == "a\n\nb"
     assert registry.formatted_hits([{"filename": "f.pdf", "page_num": 2, "text": "t"}]) == "[1] f.pdf (Page 2):\nt"
 
 
@@ -352,8 +354,15 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b.PDF").write_bytes(b"1")
     files = tables.pdf_files(spark, str(tmp_path))
     pages = tables.pdf_pages(files, len)
-    out = tables.extracted_pages(pages, lambda content, n: f"[PARAGRAPH]\npage {n}")
-    assert sorted((r["page_num"], r["markup"]) for r in out.collect()) == [(1, "[PARAGRAPH]\npage 1"), (2, "[PARAGRAPH]\npage 2")]
+
+    def extract(content, n):
+        if n == 2:
+            raise ValueError("unreadable")
+        return f"[PARAGRAPH]\npage {n}"
+
+    out = tables.extracted_pages(pages, extract)
+    assert sorted((r["page_num"], r["markup"], r["error"]) for r in out.collect()) == [(1, "[PARAGRAPH]\npage 1", None), (2, None, "ValueError: unreadable")]
+    assert [r["page_num"] for r in tables.failed_pages(out, pages).collect()] == [2]
     (tmp_path / "w.txt").write_text("x" * 30)
     assert tables.workspace_files(spark, [str(tmp_path / "w.txt")], 10).first()["content"] == "x" * 10 + "\n\n[... truncated at 10 chars]"
 
