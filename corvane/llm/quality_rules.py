@@ -113,8 +113,8 @@ BASE = (
 )
 RULES = (
     *BASE,
-    Rule("symbols", lambda x: 10 * x.n_symbols > x.word_chars),
-    Rule("duplicate_lines", lambda x: 10 * x.n_dup_lines > 3 * len(x.lines)),
+    Rule("symbols", lambda x: 10 * x.n_symbols > x.n_words),
+    Rule("duplicate_lines", lambda x: 2 * x.n_dup_lines > len(x.lines)),
     Rule("word_length", lambda x: x.word_chars < 2 * x.n_words or x.word_chars > 15 * x.n_words),
     Rule("capitals", lambda x: 2 * x.n_upper > x.word_chars),
 )
@@ -194,7 +194,7 @@ f AS (SELECT t.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[
       FROM t LEFT JOIN s USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > word_chars OR 10 * n_dup_lines > 3 * n_lines
+  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
        OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_upper > word_chars) AS kept
 FROM b
 """
