@@ -87,10 +87,15 @@ def token_estimate(text: Column) -> Column:
 
 
 def is_metadata_line(line: Column, patterns: list[str] | None = None, phrases: list[str] | None = None) -> Column:
+    # one expression a list: each costs one pass over the line
     own = trimmed(line)
-    cased = METADATA_PATTERNS_CASED if patterns is None else []
-    tests = [own.rlike(f"(?i){p}") for p in (METADATA_PATTERNS if patterns is None else patterns)] + [own.rlike(p) for p in cased]
-    tests += [F.lower(own).contains(x) for x in (BOILERPLATE_PHRASES if phrases is None else phrases)]
+    tests = []
+    if shapes := METADATA_PATTERNS if patterns is None else patterns:
+        tests.append(own.rlike("(?i)" + "|".join(f"(?:{p})" for p in shapes)))
+    if patterns is None:
+        tests.append(own.rlike("|".join(f"(?:{p})" for p in METADATA_PATTERNS_CASED)))
+    if words := BOILERPLATE_PHRASES if phrases is None else phrases:
+        tests.append(F.lower(own).rlike("|".join(rf"\Q{x}\E" for x in words)))
     return (own != "") & any_of(tests)
 
 
