@@ -15,6 +15,8 @@ from corvane.llm.packing import packed
 from corvane.llm.pii import revealing_terms, sanitised
 from corvane.llm.quality_rules import kept_documents
 
+JACCARD = 0.8
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
@@ -22,8 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
-    return first_of_each(docs)
+    """One document of each group of near copies, that of the smallest doc_id. Near copies are texts of
+    five-word similarity 0.8 or more, and those that op7 links."""
+    return first_of_each(docs, jaccard=JACCARD)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

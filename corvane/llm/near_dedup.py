@@ -10,6 +10,12 @@ members go into a second index, of whole fingerprints with at most one bit flipp
 differ in at most 2 bits just if they share such a value, and no value has more than 65 members, so
 rows stay in proportion and no link is lost.
 
+With a Jaccard threshold (the pipeline's stage; op7 has none) texts whose sets of five-word shingles are
+that similar are linked too. Such texts may differ in many bits, so candidates come from min-hashes:
+BANDS keys of ROWS min-hashes each, of which a pair at 0.8 shares one with probability 0.99998. What
+links is the exact similarity. Texts under a key are first compared with the next one in an order of the
+key's own; then all pairs under a key that are still in different components, so none is left out.
+
 Components come from alternating star contractions; each round's edges are a table in the shared
 folder. Defined results: a text without words (null, empty) has fingerprint 0 and is linked like any
 other; rows of a null doc_id get the component of their fingerprint.
@@ -31,6 +37,10 @@ SHINGLE = 3
 BITS, DISTANCE, SEGMENTS = 64, 2, 2
 SEGMENT_BITS = BITS // SEGMENTS
 MAX_BUCKET = 32
+# Of the links by Jaccard similarity.
+WIDTH, BANDS, ROWS = 5, 28, 5
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS + WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
+PERMUTE, PLACES = _ODD[: BANDS * ROWS, None], _ODD[BANDS * ROWS :]
 
 
 def fingerprint(text: str | None) -> int:
@@ -58,6 +68,101 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string").mapInArrow(run, "doc_id long, fp long")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the WIDTH-word shingles; a shorter text with words is one shingle."""
+    words = lower_words_of(text)
+    own = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    h = np.fromiter(map(own.__getitem__, words), np.uint64, len(words))
+    n = min(len(h), WIDTH)
+    total = np.zeros(len(h) - n + 1 if n else 0, np.uint64)
+    for k in range(n):
+        total += h[k : k + len(total)] * PLACES[k]
+    return np.unique(mixed(total))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS signed longs, of ROWS min-hashes each; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for k in range(0, len(hashes), 4096):  # bounded memory for giant texts
+        least = np.minimum(least, (PERMUTE * hashes[k : k + 4096]).min(axis=1))
+    bands = (mixed(least).reshape(BANDS, ROWS) * PLACES[:ROWS]).sum(axis=1, dtype=np.uint64)
+    return mixed(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As fingerprints(), with key (of the text), size (of its shingle set) and its band keys."""
+
+    def run(batches):
+        def rows():
+            for doc_id, text, key in rows_of(batches):
+                f, hashes = fingerprint(text), shingle_set(text)
+                yield doc_id, f - (1 << 64) if f >> 63 else f, key, len(hashes), band_keys(hashes)
+
+        return batches_of(rows(), pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("key", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+
+    own = narrow(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string").withColumn("key", F.xxhash64("text"))
+    return own.mapInArrow(run, "doc_id long, fp long, key long, size long, bands array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """Edges (a, b) between fingerprints of the pairs (x, y: structs of key, fp, size) that reach jaccard."""
+
+    def run(batches):
+        def rows():
+            for a, b, left, right in rows_of(batches):
+                left, right = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                if common / (len(left) + len(right) - common) >= jaccard:
+                    yield a, b
+
+        return batches_of(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    own = pairs.select(F.col("x.key").alias("kx"), F.col("y.key").alias("ky"), F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    own = own.join(sets.select(F.col("key").alias("kx"), F.col("hashes").alias("left")), "kx").join(sets.select(F.col("key").alias("ky"), F.col("hashes").alias("right")), "ky")
+    found = own.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def jaccard_links(docs: DataFrame, prints: DataFrame, edges: DataFrame, jaccard: float, text_col: str = "text") -> DataFrame:
+    """edges and those (a, b) between fingerprints of texts at or over jaccard, whose components are those
+    of all such links. prints: signatures(docs); edges: other links between fingerprints."""
+    spark = docs.sparkSession
+    texts = prints.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    index = texts.select("key", "fp", "size", F.explode("bands").alias("entry"))
+    order = W.partitionBy("entry").orderBy(F.xxhash64("entry", "key"), "key")
+    one = F.struct("key", "fp", "size")
+    index = index.select("entry", one.alias("x"), F.lead(one).over(order).alias("y"), F.lag("key").over(order).alias("before")).filter("y is not null or before is not null").drop("before")
+    index = written(spark, index, "shingle-entries")
+    fits = f"x.fp <> y.fp and least(x.size, y.size) >= {jaccard} * greatest(x.size, y.size)"
+
+    def in_order(pairs: DataFrame) -> DataFrame:
+        swap = F.expr("x.key > y.key")
+        return pairs.filter(fits).select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y")).distinct()
+
+    def hashed(batches):
+        return batches_of(((key, shingle_set(text).tobytes()) for key, text in rows_of(batches)), pa.schema([("key", pa.int64()), ("hashes", pa.binary())]))
+
+    own = narrow(docs, text=f"{text_col}:string").select(F.xxhash64("text").alias("key"), "text")
+    own = own.join(index.select("x.key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    sets = written(spark, own.mapInArrow(hashed, "key long, hashes binary"), "shingle-sets")
+    first = written(spark, in_order(index.filter("y is not null").select("x", "y")), "shingle-pairs")
+    edges = written(spark, edges.unionByName(similar(first, sets, jaccard)).distinct(), "shingle-links")
+    nodes = components(edges)
+    named = index.select("entry", "x", F.col("x.fp").alias("node")).join(nodes, "node", "left").select("entry", "x", F.coalesce("component", "node").alias("c"))
+    apart = named.groupBy("entry").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("entry")
+    apart = written(spark, named.join(apart, "entry"), "shingle-apart")
+    rest = in_order(apart.join(apart.select("entry", F.col("x").alias("y"), F.col("c").alias("d")), "entry").filter("c < d").select("x", "y"))
+    return edges.unionByName(similar(rest.join(first, ["x", "y"], "left_anti"), sets, jaccard)).distinct()
+
+
 def links(prints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Edges (a, b), a < b, between distinct fingerprints (column fp), whose components are those of all
     links: every link under small entries, a star for each value of the second index."""
@@ -106,12 +211,15 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "node")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id of every row."""
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET, jaccard: float | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hex digits), component_id of every row. jaccard: links texts of
+    at least this five-word similarity too."""
     spark = docs.sparkSession
-    prints = written(spark, fingerprints(docs, id_col, text_col), "fingerprints")
+    prints = written(spark, (fingerprints if jaccard is None else signatures)(docs, id_col, text_col), "fingerprints")
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = links(prints, max_bucket)
+    if jaccard is not None:
+        edges = jaccard_links(docs, prints, edges, jaccard, text_col)
     nodes = components(edges)
     # a fingerprint's component is named by a fingerprint; its smallest doc_id names it in the result
     named = firsts.join(nodes, firsts["fp"] == nodes["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
@@ -121,12 +229,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
     """docs with one row of each component, that of its smallest doc_id, under all its columns.
 
     Rows that repeat an id and a text are one row. Rows of a null doc_id stay, once for each text.
     """
-    found = near_dedup(docs, id_col, text_col)
+    found = near_dedup(docs, id_col, text_col, jaccard=jaccard)
     keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     without = docs.filter(F.col(f"`{id_col}`").isNull())
     repeats = docs.groupBy(id_col).count().filter(f"count > 1 and `{id_col}` is not null").limit(1).count()
