@@ -1,8 +1,8 @@
 """4. Personal data: patterns, then information-theoretic sanitisation.
 
 Base spans are what four patterns match. They are the protected entities. Over the whole corpus the
-method counts in how many distinct texts a term stands near an entity, n(t, e), and in how many it
-stands at all, n(t). P(e | t) = n(t, e) / n(t) tells how strongly the term reveals the entity. A term
+method counts in how many distinct texts a term stands with an entity, n(t, e), and in how many it
+stands at all, n(t). Terms are whole runs of letters and digits, of any length, that no base span touches. P(e | t) = n(t, e) / n(t) tells how strongly the term reveals the entity. A term
 seen with one entity in at least min_texts distinct texts, with P(e | t) at or over `generalise`, is a
 span of kind "term"; sanitised() writes a placeholder for it, and drops it at or over `remove`.
 Counts are of distinct texts, so copies of a text are no evidence.
@@ -15,8 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import string
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -31,10 +29,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-LETTERS = re.compile(r"[^\W\d_]+")
+TOKEN = re.compile(r"[^\W_]+")
 #: What 13 to 19 digits, perhaps parted by single spaces or hyphens, must begin with.
 CARD_HINT = re.compile(r"[0-9](?:[\x20-]?[0-9]){12}")
-#: Flagged or candidate terms up to this many go to the workers as one set (under 100 bytes each); more are joined.
+#: Flagged or candidate terms, or entities, up to this many go to the workers as one set; more are joined.
 MAX_BROADCAST_TERMS = 200_000
 LONGEST_TERM = 64
 
@@ -94,57 +92,90 @@ def lower_ascii(x: str) -> str:
     return x.encode().translate(A_TO_Z).decode()
 
 
+def term(token: str) -> str:
+    """The name of a token: in lower case; one of over LONGEST_TERM characters by its digest, so names are bounded."""
+    low = lower_ascii(token)
+    return low if len(low) <= LONGEST_TERM else "#" + hashlib.sha256(low.encode()).hexdigest()
+
+
 def term_spans(text: str, spans: Iterable[Span] = ()) -> list[Span]:
-    """Runs of 4 to LONGEST_TERM letters that no span touches."""
-    taken, out = sorted(spans), []
-    k = 0
-    for m in LETTERS.finditer(text):
+    """Whole runs of letters and digits that no span touches."""
+    taken, last = [], 0
+    for s, e in sorted(spans):  # united, so one cursor is enough
+        if e > last:
+            taken.append((max(s, last), e))
+            last = e
+    out, k = [], 0
+    for m in TOKEN.finditer(text):
         s, e = m.span()
-        if not 4 <= e - s <= LONGEST_TERM:
-            continue
         while k < len(taken) and taken[k][1] <= s:
             k += 1
-        if not any(a < e for a, _ in taken[k : k + 4]):
+        if k == len(taken) or taken[k][0] >= e:
             out.append((s, e))
     return out
 
 
-def near(text: str, spans: dict[str, list[Span]], window: int) -> set[tuple[str, str]]:
-    """(term, entity) for the `window` terms on each side of every mention."""
-    if not any(spans.values()):
-        return set()
-    terms = term_spans(text, (s for x in spans.values() for s in x))
-    starts = [s for s, _ in terms]
-    out = set()
-    for kind, found in spans.items():
-        for s, e in found:
-            name, at = entity(kind, text[s:e]), bisect_left(starts, s)
-            out |= {(lower_ascii(text[a:b]), name) for a, b in terms[max(0, at - window) : at + window]}
-    return out
+def terms_of(text: str, spans: dict[str, list[Span]]) -> set[str]:
+    return {term(text[a:b]) for a, b in term_spans(text, (s for k in KINDS for s in spans[k]))}
+
+
+def entities_of(text: str, spans: dict[str, list[Span]]) -> set[str]:
+    """Over LONGEST_TERM characters by their digests."""
+    names = {entity(kind, text[s:e]) for kind in KINDS for s, e in spans[kind]}
+    return {x if len(x) <= LONGEST_TERM else "#" + hashlib.sha256(x.encode()).hexdigest() for x in names}
+
+
+def _few(table: DataFrame, column: str) -> frozenset[str] | None:
+    """The column's values if they are few enough for one set."""
+    if table.limit(MAX_BROADCAST_TERMS + 1).count() > MAX_BROADCAST_TERMS:
+        return None
+    return frozenset(r[column] for r in table.select(column).collect())
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return narrow(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string")
 
 
-def revealing_terms(docs: DataFrame, window: int = 5, min_texts: int = 3, generalise: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def revealing_terms(docs: DataFrame, min_texts: int = 3, generalise: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """term, p: the terms over the disclosure threshold, with their largest P(e | t), over all documents."""
     spark = docs.sparkSession
     own = _texts(docs, id_col, text_col).select("text", F.xxhash64("text").alias("key"))
 
+    def mentions(batches):
+        rows = ((e, key) for text, key in rows_of(batches) if text for e in entities_of(text, base_spans(text)))
+        return batches_of(rows, pa.schema([("entity", pa.string()), ("key", pa.int64())]))
+
+    # an entity of fewer texts can't stand with a term in min_texts of them
+    often = own.mapInArrow(mentions, "entity string, key long").distinct().groupBy("entity").count().filter(F.col("count") >= min_texts).select("entity")
+    often = written(spark, often, "pii-entities")
+    named = _few(often, "entity")
+    sent_names = None if named is None else spark.sparkContext.broadcast(named)
+
     def pairs(batches):
-        rows = ((t, e, key) for text, key in rows_of(batches) if text for t, e in near(text, base_spans(text), window))
-        return batches_of(rows, pa.schema([("term", pa.string()), ("entity", pa.string()), ("key", pa.int64())]))
+        wanted = sent_names.value if sent_names else None
 
-    seen = written(spark, own.mapInArrow(pairs, "term string, entity string, key long").distinct(), "pii-pairs")
+        def rows():
+            for text, key in rows_of(batches):
+                if text and any((spans := base_spans(text)).values()):
+                    found = entities_of(text, spans)
+                    if wanted is not None:
+                        found &= wanted
+                    if found:
+                        for t in terms_of(text, spans):
+                            yield from ((t, e, key) for e in found)
+
+        return batches_of(rows(), pa.schema([("term", pa.string()), ("entity", pa.string()), ("key", pa.int64())]))
+
+    seen = own.mapInArrow(pairs, "term string, entity string, key long")
+    seen = written(spark, (seen if named is not None else seen.join(often, "entity", "left_semi")).distinct(), "pii-pairs")
     together = seen.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= min_texts)
-    # a term stands in at least the texts where it stands near any entity, so most terms need no further count
+    # a term stands in at least the texts where it stands with any entity, so most terms need no further count
     near_any = seen.groupBy("term").agg(F.countDistinct("key").alias("near_any"))
     together = together.join(near_any, "term").filter(F.col("together") >= generalise * F.col("near_any")).select("term", "entity", "together")
     together = written(spark, together, "pii-together")
     terms = together.select("term").distinct()
-    few = terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-    sent = spark.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect())) if few else None
+    candidates = _few(terms, "term")
+    sent = None if candidates is None else spark.sparkContext.broadcast(candidates)
 
     def standing(batches):
         wanted = sent.value if sent else None
@@ -153,14 +184,14 @@ def revealing_terms(docs: DataFrame, window: int = 5, min_texts: int = 3, genera
             if wanted is not None and not wanted:
                 return
             for text, key in rows_of(batches):
-                if text:
-                    has = LETTERS.findall(lower_ascii(text))
-                    yield from ((t, key) for t in ({x for x in has if 4 <= len(x) <= LONGEST_TERM} if wanted is None else wanted.intersection(has)))
+                if text and (wanted is None or not wanted.isdisjoint(map(term, TOKEN.findall(text)))):
+                    has = terms_of(text, base_spans(text))
+                    yield from ((t, key) for t in (has if wanted is None else wanted & has))
 
         return batches_of(rows(), pa.schema([("term", pa.string()), ("key", pa.int64())]))
 
     stands = own.mapInArrow(standing, "term string, key long")
-    alone = (stands if few else stands.join(terms, "term", "left_semi")).groupBy("term").agg(F.countDistinct("key").alias("alone"))
+    alone = (stands if sent else stands.join(terms, "term", "left_semi")).groupBy("term").agg(F.countDistinct("key").alias("alone"))
     return together.join(alone, "term").groupBy("term").agg(F.max(F.col("together") / F.col("alone")).alias("p")).filter(F.col("p") >= generalise)
 
 
@@ -172,7 +203,12 @@ def _with_terms(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str):
     if terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
         return None, spark.sparkContext.broadcast({r["term"]: r["p"] for r in terms.collect()})
     keyed = docs.withColumn("__key", F.xxhash64(F.col(f"`{text_col}`")))
-    has = keyed.select("__key", F.explode(F.array_distinct(F.regexp_extract_all(F.translate(F.col(f"`{text_col}`"), string.ascii_uppercase, string.ascii_lowercase), F.lit(r"\p{L}+"), F.lit(0)))).alias("term"))
+
+    def tokens(batches):
+        rows = ((key, t) for key, text in rows_of(batches) if text for t in {term(x) for x in TOKEN.findall(text)})
+        return batches_of(rows, pa.schema([("__key", pa.int64()), ("term", pa.string())]))
+
+    has = keyed.select("__key", F.col(f"`{text_col}`").cast("string")).mapInArrow(tokens, "__key long, term string")
     found = has.distinct().join(terms, "term").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("term", "p"))).alias("__terms"))
     return keyed.join(found, "__key", "left").drop("__key"), None
 
@@ -180,9 +216,9 @@ def _with_terms(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str):
 def spans_of(text: str | None, terms: dict[str, float]) -> dict[str, list[Span]]:
     spans = base_spans(text)
     spans["term"] = []
-    if text and terms and not terms.keys().isdisjoint(LETTERS.findall(lower_ascii(text))):
+    if text and terms and not terms.keys().isdisjoint(map(term, TOKEN.findall(text))):
         free = term_spans(text, (s for k in KINDS for s in spans[k]))
-        spans["term"] = [(s, e) for s, e in free if lower_ascii(text[s:e]) in terms]
+        spans["term"] = [(s, e) for s, e in free if term(text[s:e]) in terms]
     return spans
 
 
@@ -194,7 +230,7 @@ def sanitise(text: str | None, terms: dict[str, float], remove: float = 0.95) ->
     out, at = [], 0
     for s, e, kind in spans:
         if s >= at:
-            gone = kind == "term" and terms[lower_ascii(text[s:e])] >= remove
+            gone = kind == "term" and terms[term(text[s:e])] >= remove
             out += [text[at:s], "" if gone else f"[{kind.upper()}]"]
         at = max(at, e)
     return "".join(out) + text[at:]
