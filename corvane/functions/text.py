@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Lines that are page furniture. The second list holds those that match case-sensitively.
+# Lines that are page furniture, each with whether case counts.
 METADATA_PATTERNS = [
-    r"^page\s+\d+\s*(of\s+\d+)?$",
-    r"^downloaded\s+from",
-    r"^accessed\s+on",
-    r"^view\s+table\s+of\s+contents",
-    r"^terms\s+(and|&)\s+conditions",
-    r"^copyright\s+",
-    r"^some\s+figures\s+may\s+appear",
-    r"^doi:\s",
-    r"^published\s+online",
-    r"^available\s+at\s",
-    r"^journal\s+homepage",
-]
-METADATA_PATTERNS_CASED = [
-    r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
-    r"^https?:\/\/\S+$",
+    (r"^page\s+\d+\s*(of\s+\d+)?$", False),
+    (r"^downloaded\s+from", False),
+    (r"^accessed\s+on", False),
+    (r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", True),
+    (r"^view\s+table\s+of\s+contents", False),
+    (r"^terms\s+(and|&)\s+conditions", False),
+    (r"^copyright\s+", False),
+    (r"^some\s+figures\s+may\s+appear", False),
+    (r"^https?:\/\/\S+$", True),
+    (r"^doi:\s", False),
+    (r"^published\s+online", False),
+    (r"^available\s+at\s", False),
+    (r"^journal\s+homepage", False),
 ]
 # Phrases of boilerplate lines.
 BOILERPLATE_PHRASES = [
@@ -70,9 +69,13 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+#: The characters of Unicode's White_Space property.
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def trimmed(text: Column) -> Column:
-    """Without white space of any script at either end (trim() strips U+0020 alone)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any script at either end (trim() alone strips U+0020)."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def sentences(text: Column) -> Column:
@@ -86,23 +89,25 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.size(F.split(text, r"(?U)\s+")) * F.lit(1.3)).cast("long")
 
 
-def is_metadata_line(line: Column, patterns: list[str] | None = None, phrases: list[str] | None = None) -> Column:
-    # one expression a list: each costs one pass over the line
-    own = trimmed(line)
-    tests = []
-    if shapes := METADATA_PATTERNS if patterns is None else patterns:
-        tests.append(own.rlike("(?i)" + "|".join(f"(?:{p})" for p in shapes)))
-    if patterns is None:
-        tests.append(own.rlike("|".join(f"(?:{p})" for p in METADATA_PATTERNS_CASED)))
-    if words := BOILERPLATE_PHRASES if phrases is None else phrases:
-        tests.append(F.lower(own).rlike("|".join(rf"\Q{x}\E" for x in words)))
-    return (own != "") & any_of(tests)
+def metadata_test(own: Column, low: Column, patterns: list[tuple[str, bool]] | None = None, phrases: list[str] | None = None) -> Column:
+    """Whether a trimmed line (low: in lower case) is metadata. Patterns that begin a line share one anchor,
+    so a long line isn't tried at each of its places; phrases are found as plain bytes."""
+    shapes = [p if cased else f"(?i:{p})" for p, cased in (METADATA_PATTERNS if patterns is None else patterns)]
+    first = [re.sub(r"^((?:\(\?i:)?)\^", r"\1", p) for p in shapes if re.match(r"(\(\?i:)?\^", p) and "|^" not in p]
+    other = [p for p in shapes if not re.match(r"(\(\?i:)?\^", p) or "|^" in p]
+    tests = [own.rlike("|".join(x)) for x in ([f"^(?:{'|'.join(first)})"] if first else [], other) if x]
+    return (own != "") & any_of([*tests, *(low.contains(x.lower()) for x in (BOILERPLATE_PHRASES if phrases is None else phrases))])
+
+
+def is_metadata_line(line: Column, patterns: list[tuple[str, bool]] | None = None, phrases: list[str] | None = None) -> Column:
+    return metadata_test(trimmed(line), F.lower(line), patterns, phrases)
 
 
-def without_metadata(text: Column, patterns: list[str] | None = None, phrases: list[str] | None = None) -> Column:
-    """The text without its metadata lines; blank lines stay."""
-    kept = F.filter(F.split(text, "\n"), lambda line: ~is_metadata_line(line, patterns, phrases))
-    return trimmed(F.array_join(kept, "\n"))
+def without_metadata(text: Column, patterns: list[tuple[str, bool]] | None = None, phrases: list[str] | None = None) -> Column:
+    """The text without its metadata lines; blank lines stay. Each line is trimmed once."""
+    each = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), trimmed(line).alias("own"), F.lower(line).alias("low")))
+    kept = F.filter(each, lambda x: ~metadata_test(x["own"], x["low"], patterns, phrases))
+    return trimmed(F.array_join(kept["line"], "\n"))
 
 
 def references(text: Column) -> Column:

@@ -13,44 +13,84 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corvane.functions.text import jaccard, word_set
+from corvane.sources.shared import written
 
 SHORTEST = 20
 THRESHOLD = 0.95
 
 
 def exact_flags(items: DataFrame, scope: list[str], order: list[str], text_col: str = "text", shortest: int = SHORTEST) -> DataFrame:
-    """items with `first`: of equal texts in a scope the first in order (a total one), and every text
-    under `shortest`. The first is an aggregate, so a text that a third of all rows share is no hot group."""
+    """items with `first`: of equal texts in a scope the first in order (a total one), every text under
+    `shortest`, and null texts. The first is an aggregate, and joined back by its order as well, so a text
+    that a third of all rows share is no hot group."""
     own = items.withColumn("__hash", F.md5(text_col))
+    names = [f"__o{k}" for k in range(len(order))]
     least = own.filter(F.length(text_col) >= shortest).groupBy(*scope, "__hash").agg(F.min(F.struct(*order)).alias("__least"))
-    joined = own.join(least, [*scope, "__hash"], "left")
-    first = (F.length(text_col) < shortest) | F.coalesce(F.struct(*order) == F.col("__least"), F.lit(True))
-    return joined.select(*items.columns, first.alias("first"))
+    least = least.select(*(F.col(c).alias(f"__s{k}") for k, c in enumerate(scope)), F.col("__hash").alias("__text"), *(F.col(f"__least.{c}").alias(n) for c, n in zip(order, names, strict=True)))
+    same = F.col("__hash") == F.col("__text")
+    for k, c in enumerate(scope):
+        same = same & F.col(c).eqNullSafe(F.col(f"__s{k}"))
+    for c, n in zip(order, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    first = F.coalesce(F.length(text_col) < shortest, F.lit(True)) | F.col("__text").isNotNull()
+    return own.join(least, same, "left").select(*items.columns, first.alias("first"))
+
+
+#: Groups of more than one row in so many are joined by a broadcast of their heads: at most so many.
+HOT_GROUPS = 1000
+
+
+def joined_to_heads(rows: DataFrame, heads: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined to heads (one row a key, with `copies`, its number of rows) of `total` rows. The heads
+    of the large groups are broadcast, so their rows stay where they are; all others are shuffled."""
+    large = F.col("copies") > max(1, total // HOT_GROUPS)
+    hot = F.broadcast(heads.filter(large).drop("copies"))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(heads.filter(~large).drop("copies"), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
+#: A word of more than this share of the items is frequent. Of such words there are at most the items'
+#: mean number of words times 1 / share, whatever the corpus' size.
+FREQUENT = 0.0005
+MAX_FREQUENT = 500_000
 
 
 def similar_pairs(items: DataFrame, threshold: float = THRESHOLD, scope: list[str] | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """scope columns, a, b (a < b), similarity, copy of every pair at or over the threshold with a word in it.
 
-    Two sets that similar share a word among the size - ceil(threshold * size) + 1 rarest of each, and
-    their sizes differ by the same factor. Items of one word set are one class in the join, and come
-    back as pairs with the class' smallest id, and pairs between classes' smallest ids.
+    Two sets that similar share a word among the size - ceil(threshold * size) + 1 first of each in any
+    order of words, and their sizes differ by the same factor. The order: words that aren't frequent by
+    their digest, then frequent ones, rarest first. So only frequent words need their counts, and no word
+    that many items hold is joined while rarer ones do. Words are known by 64-bit digests throughout.
+    Items of one word set are one class in the join, and come back as pairs with the class' smallest id,
+    and pairs between classes' smallest ids.
     """
-    scope = scope or []
-    own = items.select(*scope, F.col(id_col).alias("id"), F.sort_array(word_set(F.col(text_col))).alias("words")).filter(F.size("words") > 0)
-    classes = own.groupBy(*scope, "words").agg(F.min("id").alias("id"))
+    spark, scope = items.sparkSession, scope or []
+    digests = F.sort_array(F.transform(word_set(F.col(text_col)), lambda w: F.xxhash64(w)))
+    own = written(spark, items.select(*scope, F.col(id_col).alias("id"), digests.alias("words")), "word-sets").filter(F.size("words") > 0)
+    own = own.withColumn("key", F.concat_ws("-", F.xxhash64("words"), F.hash("words"), F.size("words")))
+    classes = own.groupBy(*scope, "key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("words").alias("words"))
+    classes = written(spark, classes.withColumn("n", F.size("words")), "word-classes")
+    total = own.count()
     df = own.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    size = F.size("words")
-    ranked = classes.select(*scope, "id", size.alias("n"), F.explode("words").alias("word")).join(df, "word")
-    place = F.row_number().over(W.partitionBy(*scope, "id").orderBy("df", "word"))
-    prefix = ranked.withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.round(F.col("n") * threshold, 9)) + 1).select(*scope, "word", "id", "n")
-    left = prefix.select(*scope, "word", F.col("id").alias("a"), F.col("n").alias("na"))
-    right = prefix.select(*scope, "word", F.col("id").alias("b"), F.col("n").alias("nb"))
+    frequent = written(spark, df.filter(F.col("df") > max(2, int(FREQUENT * total))), "frequent-words")
+    few = frequent.limit(MAX_FREQUENT + 1).count() <= MAX_FREQUENT
+    ranked = classes.select(*scope, "id", "n", F.explode("words").alias("word")).join(F.broadcast(frequent) if few else frequent, "word", "left")
+    # the first words of each item: one array an item, not one sort of all words
+    most = F.col("n") - F.ceil(F.round(F.col("n") * threshold, 9)) + 1
+    prefix = ranked.groupBy(*scope, "id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("in_order"))
+    prefix = prefix.select(*scope, "id", "n", F.posexplode(F.slice("in_order", F.lit(1), most.cast("int"))).alias("at", "w")).select(*scope, "id", "n", "at", F.col("w.word").alias("word"))
+    left = prefix.select(*scope, "word", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    right = prefix.select(*scope, "word", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
     fits = (F.col("a") < F.col("b")) & (F.col("na") >= F.round(F.col("nb") * threshold, 9)) & (F.col("nb") >= F.round(F.col("na") * threshold, 9))
-    pairs = left.join(right, [*scope, "word"]).filter(fits).select(*scope, "a", "b").distinct()
-    words = classes.select(*scope, F.col("id"), "words")
-    full = pairs.join(words.select(*scope, F.col("id").alias("a"), F.col("words").alias("wa")), [*scope, "a"]).join(words.select(*scope, F.col("id").alias("b"), F.col("words").alias("wb")), [*scope, "b"])
+    # a word in common at places pa and pb, if it is the first one, leaves room for so many in common
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    pairs = left.join(right, [*scope, "word"]).filter(fits).groupBy(*scope, "a", "b", "na", "nb").agg(F.max(room).alias("room"))
+    pairs = written(spark, pairs.filter(F.col("room") >= F.round((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)), 9)).select(*scope, "a", "b"), "word-pairs")
+    full = pairs.join(classes.select(*scope, F.col("id").alias("a"), F.col("words").alias("wa")), [*scope, "a"]).join(classes.select(*scope, F.col("id").alias("b"), F.col("words").alias("wb")), [*scope, "b"])
     near = full.select(*scope, "a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12).withColumn("copy", F.lit(False))
-    same = own.join(classes.withColumnRenamed("id", "a"), [*scope, "words"]).filter(F.col("id") != F.col("a")).select(*scope, "a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(True).alias("copy"))
+    heads = classes.filter("copies > 1").select(*scope, "key", F.col("id").alias("a"), "copies")
+    same = joined_to_heads(own.select(*scope, "key", "id"), heads, [*scope, "key"], total).filter(F.col("id") != F.col("a")).select(*scope, "a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(True).alias("copy"))
     return near.unionByName(same)
 
 

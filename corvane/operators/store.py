@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
+
+from corvane.sources.shared import written
 
 DOCUMENTS = T.StructType().add("doc_id", "string").add("filename", "string").add("total_pages", "integer").add("status", "string").add("doc_metadata", "string").add("created_at", "timestamp")
 SENTENCES = (
@@ -39,9 +42,22 @@ def listed(documents: DataFrame) -> DataFrame:
     return documents.orderBy(F.desc("created_at"), "doc_id")
 
 
+def numbered(spark: SparkSession, ordered: DataFrame, name: str) -> DataFrame:
+    """A sorted frame with the place of each row, from 1, under `name`.
+
+    The rows are written once with the partition that each lies in, so that the sizes of partitions and
+    the rows are read from the same deal; only one row a partition is summed up in one task.
+    """
+    own = written(spark, ordered.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    sizes = own.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = sizes.select("__part", "__first", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return own.join(F.broadcast(before), "__part").withColumn(name, F.col("__at") - F.col("__first") + F.col("__before") + 1).select(*ordered.columns, name)
+
+
 def with_status(documents: DataFrame, log: DataFrame) -> DataFrame:
-    """documents under the last status that the append-only log (doc_id, status, ts) has of each."""
-    last = log.groupBy("doc_id").agg(F.max_by("status", "ts").alias("__status"))
+    """documents under the last status that the append-only log (doc_id, status, ts) has of each;
+    of two at one time the larger name."""
+    last = log.groupBy("doc_id").agg(F.max_by("status", F.struct("ts", "status")).alias("__status"))
     return documents.join(last, "doc_id", "left").withColumn("status", F.coalesce("__status", "status")).drop("__status")
 
 

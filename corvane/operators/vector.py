@@ -8,7 +8,9 @@ from pyspark.sql.window import Window as W
 
 from corvane.functions.vectors import cosine, doubles
 
+#: Queries that are sent to all tasks at once; and cells, likewise.
 MAX_QUERIES = 10_000
+MAX_CELLS = 65_536
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int = 5, where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -18,14 +20,23 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5, where: Column | No
     return scored.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", most: int = MAX_QUERIES) -> DataFrame:
     """query_id, id, score, rank for a stated query set (query_id, query_vector), against all rows.
 
-    The queries are sent to the rows; more than MAX_QUERIES of them are an error, to be asked in blocks.
+    Up to `most` queries are sent to the rows. More are dealt to blocks of about that size, and the rows
+    to parts; each part meets each block once, by an equi-join, so no side is sent whole to a task.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"ask at most {MAX_QUERIES} queries at once")
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(queries), F.col("id") != F.col("query_id"))
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    n = queries.count()
+    if n <= most:
+        pairs = own.join(F.broadcast(queries), F.col("id") != F.col("query_id"))
+    else:
+        blocks = -(-n // most)
+        parts = max(1, -(-int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
+        upto = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
+        left = own.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", upto(blocks))
+        right = queries.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("part", upto(parts))
+        pairs = left.join(right, ["part", "block"]).filter("id <> query_id")
     scored = pairs.select("query_id", "id", cosine(F.col("v"), F.col("query_vector")).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -43,8 +54,11 @@ def centroids(vectors: DataFrame, by: str, vector_col: str = "embedding") -> Dat
 
 
 def ivf_top_k(vectors: DataFrame, queries: DataFrame, cells: DataFrame, by: str, probes: int = 10, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """As batch_top_k(), looking only into the `probes` cells whose centres are nearest: an equi-join on the cell."""
-    near = queries.crossJoin(F.broadcast(cells)).select("query_id", "query_vector", by, cosine(F.col("query_vector"), F.col("centre")).alias("c"))  # cells are few by design
+    """As batch_top_k(), looking only into the `probes` cells whose centres are nearest: an equi-join on the cell.
+    Cells are coarse by design; over MAX_CELLS of them are an error."""
+    if cells.limit(MAX_CELLS + 1).count() > MAX_CELLS:
+        raise ValueError(f"at most {MAX_CELLS} cells")
+    near = queries.join(F.broadcast(cells), F.lit(True)).select("query_id", "query_vector", by, cosine(F.col("query_vector"), F.col("centre")).alias("c"))
     near = near.withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("c"), by))).filter(F.col("at") <= probes)
     scored = vectors.join(near.select("query_id", "query_vector", by), by).filter(F.col(id_col) != F.col("query_id")).select("query_id", F.col(id_col).alias("id"), cosine(F.col(vector_col), F.col("query_vector")).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))

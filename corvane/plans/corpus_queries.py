@@ -76,11 +76,7 @@ def _docs(spark, sf_dir) -> DataFrame:
 @query("doc_list", DOCS_SQL + "SELECT doc_id, filename, coalesce(status, 'processing') AS status, row_number() OVER (ORDER BY created_at DESC, doc_id)::BIGINT AS pos FROM d")
 def doc_list(spark, sf_dir):
     """The whole list, newest first; the place of each row shows the order."""
-    ordered = store.listed(store.defaults(_docs(spark, sf_dir)))
-    numbered = ordered.select("doc_id", "filename", "status", "created_at").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
-    return numbered.join(F.broadcast(before), "part").select("doc_id", "filename", "status", (F.col("at") - F.col("first") + F.col("before") + 1).alias("pos"))
+    return store.numbered(spark, store.listed(store.defaults(_docs(spark, sf_dir))).select("doc_id", "filename", "status"), "pos")
 
 
 @query("doc_lookup", DOCS_SQL + "SELECT doc_id, filename, coalesce(status, 'processing') AS status, '{}' AS doc_metadata FROM d WHERE doc_id = 7")

@@ -134,10 +134,13 @@ SENT_BM25 = BM25.replace("(SELECT doc_id AS id, " + terms("text") + " AS t FROM
     CORPUS + PARAGRAPHS + f", qs AS (SELECT * FROM {ASKED}), {SENT_BM25}, top AS ({HITS.format(where='', k=5)}) SELECT t.query_id, t.id, t.rank::INT AS rank, round(t.score, 6) AS score, s.source AS filename, g.text AS passage FROM top t JOIN sents s USING (id) JOIN g ON g.doc_id = s.doc_id AND g.paragraph_id = s.paragraph_id",
 )
 def bm25_context(spark, sf_dir):
-    """The five best sentences of each query, each with its whole paragraph and file name."""
-    sents = corpus(table(spark, sf_dir, "documents"))
-    top = bm25.search(sents, _queries(spark), 5)
-    hits = sents.join(F.broadcast(top), "id").select("query_id", "id", "rank", "score", F.col("source").alias("filename"), "doc_id", "paragraph_id")  # five rows a query
+    """The five best sentences of each query, each with its whole paragraph and file name. A hit's id
+    names its document, so only the documents of hits are split again."""
+    docs = table(spark, sf_dir, "documents")
+    top = written(spark, bm25.search(corpus(docs), _queries(spark), 5), "hits")
+    wanted = top.select(F.substring_index("id", "_", 1).cast("long").alias("doc_id")).distinct()
+    sents = corpus(docs.join(wanted, "doc_id", "left_semi"))
+    hits = sents.join(top, "id").select("query_id", "id", "rank", "score", F.col("source").alias("filename"), "doc_id", "paragraph_id")
     whole = context.paragraph_contexts(sents.select("doc_id", "paragraph_id", "page_num", "char_offset_start", "id", "text"), hits.select(F.col("id").alias("target_id"), "doc_id", "paragraph_id").distinct())
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_num", "char_offset_start", "id", "text"))), lambda x: x["text"]), " ")
     passages = whole.groupBy("target_id").agg(text.alias("passage"))

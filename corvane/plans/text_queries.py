@@ -20,7 +20,7 @@ def token_estimate(spark, sf_dir):
 
 
 def _meta(x: str) -> str:
-    tests = [f"regexp_matches({trim(x)}, {quoted('(?i)' + p)})" for p in T.METADATA_PATTERNS] + [f"regexp_matches({trim(x)}, {quoted(p)})" for p in T.METADATA_PATTERNS_CASED]
+    tests = [f"regexp_matches({trim(x)}, {quoted(p if cased else '(?i)' + p)})" for p, cased in T.METADATA_PATTERNS]
     tests += [f"contains(lower({trim(x)}), {quoted(p)})" for p in T.BOILERPLATE_PHRASES]
     return f"({trim(x)} <> '' AND ({' OR '.join(tests)}))"
 
