@@ -5,11 +5,12 @@ prefixes of a conversation are rendered one turn longer each time, and consecuti
 compared. If each output begins with the one before (apart from a fixed tail), what it adds is the
 turn's span; a template whose output doesn't is one that rewrites history. Where a text lies within
 its span is found by rendering two probe texts in its place. Spans of assistant texts make the loss
-mask. A conversation of more than `prefix_turns` turns is rendered over a moving window of turns,
-and the joined spans must equal one whole rendering; else all prefixes are rendered.
+mask. All prefixes of a conversation are rendered, whatever its length, as nothing less finds every
+template that rewrites; so a conversation of n turns costs n renderings and two for each probe.
 
 Defined results: a null text or role is empty; turns are ordered by turn, role, text, nulls first,
-and repeated rows are turns each; rows of a null conv_id are one conversation.
+and repeated rows are turns each; each row of a null conv_id is a conversation of its own. A template
+that rewrites history has no spans, and digests() of its output is an error.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ Template = Callable[[Sequence[Turn]], str]
 START, END = "<|im_start|>", "<|im_end|>"
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 TURN = re.compile(r"<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
-PREFIX_TURNS = 64
 
 
 def escape(text: str) -> str:
@@ -80,15 +80,15 @@ def _probe(render: Template, before: Sequence[Turn], role: str) -> tuple[str, st
     return a[:head], a[len(a) - tail :] if tail else ""
 
 
-def _deltas(render: Template, turns: Sequence[Turn], context: int | None) -> list[str] | None:
-    """What each turn adds, seen with all turns before it or the last `context`; None if it rewrites."""
-    out = []
-    for k in range(len(turns)):
-        first = 0 if context is None else max(0, k - context)
-        before, after = render(turns[first:k]), render(turns[first : k + 1])
+def _deltas(render: Template, turns: Sequence[Turn]) -> list[str] | None:
+    """What each turn adds, seen with all turns before it; None if it rewrites."""
+    out, before = [], render([])
+    for k in range(1, len(turns) + 1):
+        after = render(turns[:k])
         if not after.startswith(before):
             return None
         out.append(after[len(before) :])
+        before = after
     return out
 
 
@@ -98,34 +98,19 @@ def _stable_tail(render: Template, turns: Sequence[Turn]) -> str:
     return os.path.commonprefix(outs)[::-1] if len(outs) > 1 else ""
 
 
-def render_spans(render: Template, turns: Sequence[Turn], prefix_turns: int = PREFIX_TURNS) -> Rendered:
+def render_spans(render: Template, turns: Sequence[Turn]) -> Rendered:
     """The output with the span of each turn and of its text."""
-    whole = render(turns)
-    tail = ""
-    body: Template = render
-    deltas = None
-    if len(turns) > prefix_turns:
-        deltas = _deltas(render, turns, 2)
-        if deltas is not None and render([]) + "".join(deltas) != whole:
-            deltas = None
-    if deltas is None:
-        deltas = _deltas(render, turns, None)
+    whole, body = render(turns), render
+    deltas = _deltas(render, turns)
     if deltas is None and (tail := _stable_tail(render, turns)):
         body = lambda x: render(x).removesuffix(tail)
-        deltas = _deltas(body, turns, None)
+        deltas = _deltas(body, turns)
     if deltas is None:
         return Rendered(whole, None, True)
     at, spans = len(body([])), []
-    # a probe after the last two turns does for a long conversation, if it fits the span
-    contexts = (None,) if len(turns) <= prefix_turns else (2, None)
     for k, ((role, _), delta) in enumerate(zip(turns, deltas, strict=True)):
-        for context in contexts:
-            before = turns[:k] if context is None else turns[max(0, k - context) : k]
-            head, end = _probe(body, before, role)
-            head = head[len(body(before)) :]
-            if delta.startswith(head) and delta.endswith(end) and len(head) + len(end) <= len(delta):
-                break
-        spans.append((at, at + len(delta), at + len(head), at + len(delta) - len(end)))
+        head, end = _probe(body, turns[:k], role)
+        spans.append((at, at + len(delta), len(head), at + len(delta) - len(end)))  # head: all before the text
         at += len(delta)
     return Rendered(whole, spans, False)
 
@@ -138,23 +123,24 @@ FORMATTED = "conv_id long, formatted string, loss array<struct<start: long, end:
 FORMATTED_ARROW = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("rewrites", pa.bool_())])
 
 
-def formatted(conversations: DataFrame, render: Template = marked, prefix_turns: int = PREFIX_TURNS) -> DataFrame:
+def formatted(conversations: DataFrame, render: Template = marked) -> DataFrame:
     """conv_id, formatted text, loss mask (spans in code points), rewrites; one row a conversation.
 
     Turns are dealt by conversation and sorted on disk if need be; one conversation at a time is held.
     """
     own = narrow(conversations, conv_id="conv_id:long", turn="turn:long", role="role:string", text="text:string")
+    own = own.select("conv_id", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"), "turn", "role", "text")
 
     def run(batches):
         def rows():
-            for conv_id, group in groupby(rows_of(batches), key=lambda x: x[0]):
-                turns = [(role or "", text or "") for _, _, role, text in group]
-                out = render_spans(render, turns, prefix_turns)
+            for (conv_id, _), group in groupby(rows_of(batches), key=lambda x: x[:2]):
+                turns = [(role or "", text or "") for _, _, _, role, text in group]
+                out = render_spans(render, turns)
                 yield conv_id, out.text, [{"start": a, "end": b} for a, b in loss_spans(out, turns)], out.rewrites
 
         return batches_of(rows(), FORMATTED_ARROW, 256)
 
-    return own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, FORMATTED)
+    return own.repartition("conv_id", "alone").sortWithinPartitions("conv_id", "alone", "turn", "role", "text").mapInArrow(run, FORMATTED)
 
 
 def digests(out: DataFrame) -> DataFrame:
@@ -162,7 +148,9 @@ def digests(out: DataFrame) -> DataFrame:
 
     def run(batches):
         def rows():
-            for conv_id, text, loss, _ in rows_of(batches):
+            for conv_id, text, loss, rewrites in rows_of(batches):
+                if rewrites:
+                    raise ValueError(f"conversation {conv_id}: the template rewrites history, so no mask is safe")
                 turns = read_back(text)
                 under = "".join(unescape(text[x["start"] : x["end"]]) for x in loss)
                 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
@@ -186,12 +174,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = rf"""
 WITH c AS (SELECT conv_id, turn, role, text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '{PROBE_TEXT}'), (-1, 1, 'assistant', '{PROBE_TEXT}')),
-t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
 e AS (SELECT *, replace(replace(role, '\', '\\'), '<|', '<\|') AS r, replace(replace(text, '\', '\\'), '<|', '<\|') AS x FROM t)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(24 + length(replace(r, chr(10), '\' || chr(10))) + length(x))::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """

@@ -54,9 +54,9 @@ def test_digests(spark, odd, sf):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "sy\nstem", ""]), st.text("<|im_end>\\start\n x", max_size=30)), max_size=6), st.integers(0, 3))
-def test_round_trip(turns, prefix_turns):
-    out = chat_format.render_spans(chat_format.marked, turns, prefix_turns)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "sy\nstem", ""]), st.text("<|im_end>\\start\n x", max_size=30)), max_size=6))
+def test_round_trip(turns):
+    out = chat_format.render_spans(chat_format.marked, turns)
     assert chat_format.read_back(out.text) == turns
     assert not out.rewrites
     assert [chat_format.unescape(out.text[a:b]) for a, b in chat_format.loss_spans(out, turns)] == [t for r, t in turns if r == "assistant"]
@@ -87,24 +87,32 @@ def test_black_boxes():
 
     assert chat_format.render_spans(forgetful, TURNS).rewrites
     numbered = lambda turns: f"{len(turns)} turns\n" + "".join(t for _, t in turns)
-    assert chat_format.render_spans(numbered, TURNS, 1).rewrites
+    assert chat_format.render_spans(numbered, TURNS).rewrites
 
 
-def test_long_conversations_are_rendered_by_windows():
-    calls = []
+def test_long_conversations_are_rendered_by_all_prefixes():
+    turns = [("assistant" if k % 2 else "user", f"turn {k}") for k in range(300)]
+    out = chat_format.render_spans(chat_format.marked, turns)
+    assert not out.rewrites and [out.text[a:b] for a, b in chat_format.loss_spans(out, turns)] == [t for r, t in turns if r == "assistant"]
 
-    def counting(turns):
-        calls.append(len(turns))
-        return chat_format.marked(turns)
+    def between(low, high):  # a history that only some prefixes show
+        return lambda turns: chat_format.marked(turns[5:] if low <= len(turns) < high else turns)
 
-    turns = [("assistant" if k % 2 else "user", f"turn {k}") for k in range(500)]
-    out = chat_format.render_spans(counting, turns)
-    assert sum(calls) < 20 * len(turns) and len(out.spans) == 500
+    for low, high in ((101, 200), (299, 300), (300, 999), (40, 41)):
+        assert chat_format.render_spans(between(low, high), turns).rewrites
 
-    def rare(turns):  # a history that only a whole rendering shows
-        return chat_format.marked(turns) if len(turns) < 300 else chat_format.marked(turns[5:])
 
-    assert chat_format.render_spans(rare, turns).rewrites
+def test_a_rewriting_template_has_no_digests(spark, odd):
+    forgetful = lambda turns: chat_format.marked(turns[-1:])
+    out = chat_format.formatted(odd.filter("conv_id = 1"), forgetful)
+    assert out.first()["rewrites"] and out.first()["loss"] == []
+    with pytest.raises(Exception, match="rewrites history"):
+        chat_format.digests(out).collect()
+
+
+def test_rows_without_conversation_are_alone(spark):
+    df = spark.createDataFrame([(None, k, "user", "x") for k in range(3)], "conv_id long, turn long, role string, text string")
+    assert [r["n_turns"] for r in chat_format.digests(chat_format.formatted(df)).collect()] == [1, 1, 1]
 
 
 # --- 9
