@@ -15,6 +15,7 @@ ids after the last separator make a document with closed = false; an id cut off
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -28,29 +29,65 @@ from pyspark.sql.window import Window as W
 from corvane.llm.common import batches_of, narrow, new_path, rows_of, written
 
 DTYPES = {2: "<u2", 4: "<u4"}
-BLOCKS_PER_SPAN = 1024
+#: Of the two-level sum: so many bytes (or other units of `block`) make a span.
+SPAN = 1 << 30
 BLOCK_SCHEMA = "file string, block long, content binary"
 PIECE = pa.schema([("file", pa.string()), ("block", pa.int64()), ("n_sep", pa.int64()), ("piece", pa.int64()), ("n_ids", pa.int64()), ("head", pa.binary())])
 
 
+def record_bytes(length: int, most: int) -> int:
+    """The largest divisor of a file's length that is at most `most`."""
+    if length <= most:
+        return length
+    best, k = 1, 1
+    while k * k <= length and k <= most:
+        if length % k == 0:
+            best = max(best, k, length // k if length // k <= most else 1)
+        k += 1
+    return best
+
+
+def _joined(file: str, record: int, block_bytes: int):
+    """Records (number, bytes) of one input split, in order, as blocks of block_bytes at whole ids."""
+
+    def run(records: Iterable[tuple[int, bytearray]]) -> Iterator[tuple[str, int, bytearray]]:
+        start, held = None, bytearray()
+        for number, data in records:
+            if start is None:
+                start = number * record
+            held += data
+            while len(held) >= block_bytes:
+                yield file, start, held[:block_bytes]
+                start += block_bytes
+                del held[:block_bytes]
+        if held:
+            yield file, start, held
+
+    return run
+
+
 def read_blocks(spark: SparkSession, path: str, width: int = 2, block_bytes: int = 1 << 20, whole_file_bytes: int = 256 << 20) -> DataFrame:
-    """Blocks (file, block, content) of all files in a folder, read by Spark alone.
+    """Blocks (file, block: the place of its first byte, content) of all files in a folder, read by Spark alone.
 
-    Files up to whole_file_bytes are read by one task each. Longer ones are read in fixed-length
-    records, by as many tasks as they have input splits; the record length is the largest divisor of
-    the file's length that is a multiple of the width and at most block_bytes.
+    Files up to whole_file_bytes are read by one task each. Longer ones are read in records, by as many
+    tasks as they have input splits, and records are joined to blocks. Hadoop's record reader wants a
+    length that divides the file's, so the largest divisor up to block_bytes is taken; splits are whole
+    records and whole ids. A file without such a divisor (a prime number of bytes) is read in small
+    records: slowly, but with the same blocks. Ids cut off at the end of a file are ignored either way.
     """
+    if block_bytes % width:
+        raise ValueError("a block must hold whole ids")
     files = spark.read.format("binaryFile").load(path)
     small = files.filter(F.col("length") <= whole_file_bytes).filter(F.col("length") >= width)
-    at = F.explode(F.expr(f"sequence(0L, (length - 1) div {block_bytes})")).alias("block")
-    out = small.select("path", "content", at).select(F.col("path").alias("file"), "block", F.expr(f"substring(content, int(block * {block_bytes}) + 1, {block_bytes})").alias("content"))
+    at = F.explode(F.expr(f"sequence(0L, length - 1, {block_bytes}L)")).alias("block")
+    out = small.select("path", "content", at).select(F.col("path").alias("file"), "block", F.expr(f"substring(content, int(block) + 1, {block_bytes})").alias("content"))
     for name, length in files.filter(F.col("length") > whole_file_bytes).select("path", "length").collect():  # names and lengths only
-        units = length // width
-        per = next(units // k for k in range(max(1, -(-units * width // block_bytes)), units + 1) if units % k == 0)
-        if length % width:
-            raise ValueError(f"{name}: a file over whole_file_bytes must hold whole ids")
-        rdd = spark.sparkContext.binaryRecords(name, per * width).zipWithIndex().map(lambda x, name=name: (name, x[1], bytearray(x[0])))
-        out = out.unionByName(spark.createDataFrame(rdd, BLOCK_SCHEMA))
+        record = record_bytes(length, block_bytes)
+        unit = math.lcm(record, block_bytes)
+        split = unit * max(1, (128 << 20) // unit) if unit <= 1 << 30 else record * width * max(1, (128 << 20) // (record * width))
+        conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(record), **{f"mapreduce.input.fileinputformat.split.{x}size": str(split) for x in ("min", "max")}}
+        records = spark.sparkContext.newAPIHadoopFile(name, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+        out = out.unionByName(spark.createDataFrame(records.mapPartitions(_joined(name, record, block_bytes)), BLOCK_SCHEMA))
     return out
 
 
@@ -70,13 +107,13 @@ def _pieces(eod: int, width: int, head: int):
     return scan
 
 
-def token_counts(spark: SparkSession, blocks: DataFrame, eod: int, width: int = 2, head: int = 0) -> DataFrame:
+def token_counts(spark: SparkSession, blocks: DataFrame, eod: int, width: int = 2, head: int = 0, span: int = SPAN) -> DataFrame:
     """Documents of flat token files: file, ordinal (from 0), n_ids (without the separator), head
-    (the first `head` ids, as bytes), closed (a separator ended it)."""
+    (the first `head` ids, as bytes), closed (a separator ended it). Blocks of a file are ordered by `block`."""
     if width not in DTYPES:
         raise ValueError("width is 2 or 4")
     pieces = written(spark, blocks.mapInArrow(_pieces(eod, width, head), "file string, block long, n_sep long, piece long, n_ids long, head binary"), "token-pieces")
-    sums = pieces.filter("piece = 0").select("file", "block", "n_sep", F.expr(f"block div {BLOCKS_PER_SPAN}").alias("span"))
+    sums = pieces.filter("piece = 0").select("file", "block", "n_sep", F.expr(f"block div {span}").alias("span"))
     in_span = sums.withColumn("within", F.sum("n_sep").over(W.partitionBy("file", "span").orderBy("block").rowsBetween(W.unboundedPreceding, -1)))
     spans = sums.groupBy("file", "span").agg(F.sum("n_sep").alias("n")).select("file", "span", F.sum("n").over(W.partitionBy("file").orderBy("span").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
     bases = in_span.join(spans, ["file", "span"]).select("file", "block", (F.coalesce("within", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("base"))

@@ -102,11 +102,12 @@ def test_token_counts(spark, docs, odd, empty):
 @pytest.mark.parametrize("width", [2, 4])
 @pytest.mark.parametrize("whole", [1 << 20, 4])
 def test_flat_files(spark, tmp_path, width, whole):
+    """Whole files and records give the same: prime numbers of ids, ids cut off at the end, empty files."""
     rng, eod = np.random.default_rng(3), 7
-    files = {"a": [7, 7, 1, 2, 7, 3, 7, 7], "b": [1, 2, 3], "c": [7], "d": rng.integers(0, 9, 1000).tolist(), "e": []}
+    files = {"a": [7, 7, 1, 2, 7, 3, 7, 7], "b": [1, 2, 3], "c": [7], "d": rng.integers(0, 9, 1000).tolist(), "e": [], "prime": rng.integers(0, 9, 997).tolist(), "cut": rng.integers(0, 9, 500).tolist()}
     expected = []
     for name, ids in files.items():
-        (tmp_path / name).write_bytes(np.array(ids, token_counts.DTYPES[width]).tobytes())
+        (tmp_path / name).write_bytes(np.array(ids, token_counts.DTYPES[width]).tobytes() + b"\7" * (width - 1 if name == "cut" else 0))
         docs, cut = [[]], False
         for x in ids:
             if x == eod:
@@ -117,10 +118,16 @@ def test_flat_files(spark, tmp_path, width, whole):
             if cut := k < len(docs) - 1 or d:
                 expected.append((name, k, len(d), np.array(d[:3], token_counts.DTYPES[width]).tobytes(), k < len(docs) - 1))
     blocks = token_counts.read_blocks(spark, str(tmp_path), width, 16, whole)
-    found = token_counts.token_counts(spark, blocks, eod, width, 3).collect()
+    found = token_counts.token_counts(spark, blocks, eod, width, 3, span=64).collect()
     assert sorted((r["file"].rsplit("/")[-1], r["ordinal"], r["n_ids"], bytes(r["head"]), r["closed"]) for r in found) == sorted(expected)
 
 
+def test_record_bytes():
+    for n in (1, 7, 64, 997, 1000, 2 * 997, 1 << 12):
+        for most in (1, 16, 100):
+            assert token_counts.record_bytes(n, most) == max(k for k in range(1, most + 1) if n % k == 0)
+
+
 # --- 2
 
 
