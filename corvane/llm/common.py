@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.sources.shared import new_path, written
+from corvane.sources.shared import new_path, released, written
 
-__all__ = ["A_TO_Z", "SPACES", "batches_of", "lower_words_of", "narrow", "new_path", "rows_of", "words_of", "written"]
+__all__ = ["A_TO_Z", "SPACES", "batches_of", "joined_by_group", "lower_words_of", "narrow", "new_path", "released", "rows_of", "words_of", "written"]
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`; bytes.split() cuts at just these bytes.
 SPACES = " \t\n\x0b\x0c\r"
@@ -35,6 +35,21 @@ def narrow(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*(F.col(f"`{spec.split(':')[0]}`").cast(spec.split(":")[1]).alias(own) for own, spec in columns.items()))
 
 
+#: Groups up to so many rows are left to one task; of larger ones, of over one row in a thousand, there are at most a thousand.
+GROUP_ROWS, HOT_GROUPS = 10_000, 1000
+
+
+def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined on a key to groups (one row a key, with n, its number of rows) where there are `total`
+    rows. The large groups' side is broadcast, so their rows stay where they are."""
+    if total <= GROUP_ROWS:
+        return rows.join(groups.drop("n"), key)
+    large = F.col("n") > max(GROUP_ROWS, total // HOT_GROUPS)
+    hot = F.broadcast(groups.filter(large).drop("n"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.filter(~large).drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows one at a time, so a batch of long texts isn't held twice."""
     for batch in batches:

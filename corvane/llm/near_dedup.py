@@ -14,11 +14,15 @@ With a Jaccard threshold (the pipeline's stage; op7 has none) texts whose sets o
 that similar are linked too. Such texts may differ in many bits, so candidates come from min-hashes:
 BANDS keys of ROWS min-hashes each, of which a pair at 0.8 shares one with probability 0.99998. What
 links is the exact similarity. Texts under a key are first compared with the next one in an order of the
-key's own; then all pairs under a key that are still in different components, so none is left out.
+key's own. Of texts that share a key with one of another component the private shingles are counted,
+those that none of the others has: they bound the similarity of every pair. Each text is then compared
+with the one under its key that has fewest of its own, and at last all pairs under a key that are still in
+different components and may reach the threshold by that bound. So no link is left out, and a large group
+of near copies costs pairs only for texts that could link and have not.
 
 Components come from alternating star contractions; each round's edges are a table in the shared
 folder. Defined results: a text without words (null, empty) has fingerprint 0 and is linked like any
-other; rows of a null doc_id get the component of their fingerprint.
+other; rows of a null doc_id get the component of their fingerprint (null if no row of it has an id).
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from corvane.llm.common import batches_of, lower_words_of, narrow, rows_of, written
+from corvane.llm.common import GROUP_ROWS, batches_of, joined_by_group, lower_words_of, narrow, released, rows_of, written
 
 SEED = 42
 SHINGLE = 3
@@ -58,14 +62,22 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, fp (the fingerprint as a signed long), key (of the text)."""
 
     def run(batches):
-        rows = ((doc_id, f - (1 << 64) if (f := fingerprint(text)) >> 63 else f) for doc_id, text in rows_of(batches))
-        return batches_of(rows, pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())]))
+        rows = ((doc_id, signed(fingerprint(text)), key) for doc_id, text, key in rows_of(batches))
+        return batches_of(rows, pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("key", pa.int64())]))
+
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, key long")
+
 
-    return narrow(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string").mapInArrow(run, "doc_id long, fp long")
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return narrow(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string").withColumn("key", F.xxhash64("text"))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -103,13 +115,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches):
         def rows():
             for doc_id, text, key in rows_of(batches):
-                f, hashes = fingerprint(text), shingle_set(text)
-                yield doc_id, f - (1 << 64) if f >> 63 else f, key, len(hashes), band_keys(hashes)
+                hashes = shingle_set(text)
+                yield doc_id, signed(fingerprint(text)), key, len(hashes), band_keys(hashes)
 
         return batches_of(rows(), pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("key", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))]))
 
-    own = narrow(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string").withColumn("key", F.xxhash64("text"))
-    return own.mapInArrow(run, "doc_id long, fp long, key long, size long, bands array<long>")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, key long, size long, bands array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
@@ -136,10 +147,14 @@ def jaccard_links(docs: DataFrame, prints: DataFrame, edges: DataFrame, jaccard:
     of all such links. prints: signatures(docs); edges: other links between fingerprints."""
     spark = docs.sparkSession
     texts = prints.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    index = texts.select("key", "fp", "size", F.explode("bands").alias("entry"))
-    order = W.partitionBy("entry").orderBy(F.xxhash64("entry", "key"), "key")
-    one = F.struct("key", "fp", "size")
-    index = index.select("entry", one.alias("x"), F.lead(one).over(order).alias("y"), F.lag("key").over(order).alias("before")).filter("y is not null or before is not null").drop("before")
+    index = texts.select(F.explode("bands").alias("entry"), F.struct("key", "fp", "size").alias("x"))
+    sizes = index.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = written(spark, sizes.withColumn("parts", F.ceil(F.col("n") / GROUP_ROWS)), "shingle-sizes")
+    index = joined_by_group(index, sizes, "entry", BANDS * prints.count())
+    # neighbours within parts of a large entry: what they miss is found below like any other pair
+    place = F.xxhash64("entry", "x.key")
+    order = W.partitionBy("entry", "part").orderBy("place", "x.key")
+    index = index.select("entry", "x", place.alias("place"), F.pmod(place, F.col("parts")).alias("part")).select("entry", "x", F.lead("x").over(order).alias("y"))
     index = written(spark, index, "shingle-entries")
     fits = f"x.fp <> y.fp and least(x.size, y.size) >= {jaccard} * greatest(x.size, y.size)"
 
@@ -153,14 +168,39 @@ def jaccard_links(docs: DataFrame, prints: DataFrame, edges: DataFrame, jaccard:
     own = narrow(docs, text=f"{text_col}:string").select(F.xxhash64("text").alias("key"), "text")
     own = own.join(index.select("x.key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     sets = written(spark, own.mapInArrow(hashed, "key long, hashes binary"), "shingle-sets")
-    first = written(spark, in_order(index.filter("y is not null").select("x", "y")), "shingle-pairs")
-    edges = written(spark, edges.unionByName(similar(first, sets, jaccard)).distinct(), "shingle-links")
-    nodes = components(edges)
-    named = index.select("entry", "x", F.col("x.fp").alias("node")).join(nodes, "node", "left").select("entry", "x", F.coalesce("component", "node").alias("c"))
-    apart = named.groupBy("entry").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("entry")
-    apart = written(spark, named.join(apart, "entry"), "shingle-apart")
-    rest = in_order(apart.join(apart.select("entry", F.col("x").alias("y"), F.col("c").alias("d")), "entry").filter("c < d").select("x", "y"))
-    return edges.unionByName(similar(rest.join(first, ["x", "y"], "left_anti"), sets, jaccard)).distinct()
+    tried = written(spark, in_order(index.filter("y is not null").select("x", "y")), "shingle-pairs")
+    edges = written(spark, edges.unionByName(similar(tried, sets, jaccard)).distinct(), "shingle-links")
+
+    def apart(entries: DataFrame, edges: DataFrame) -> DataFrame:
+        """Entries with the component c of each text, where a key joins more than one."""
+        named = entries.withColumn("node", F.col("x.fp")).join(components(edges), "node", "left").select(*entries.columns, F.coalesce("component", "node").alias("c"))
+        named = written(spark, named, "shingle-named")
+        several = named.groupBy("entry").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most").drop("least", "most")
+        return written(spark, joined_by_group(named, several, "entry", named.count()), "shingle-apart")
+
+    def each_shingle(batches):
+        for batch in batches:
+            for key, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(hashes, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key)), pa.array(h.view(np.int64))], names=["key", "h"])
+
+    parted = apart(index.select("entry", "x"), edges)
+    shingles = sets.join(parted.select("x.key").distinct(), "key", "left_semi").mapInArrow(each_shingle, "key long, h long")
+    private = shingles.groupBy("h").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("texts")).filter("texts = 1").groupBy("key").agg(F.count(F.lit(1)).alias("own"))
+    bounded = parted.join(private, parted["x.key"] == private["key"], "left").drop("key", "c")
+    bounded = bounded.select("entry", F.struct("x.key", "x.fp", "x.size", (F.col("x.size") - F.coalesce("own", F.lit(0))).alias("shared")).alias("x"))
+    bounded = written(spark, bounded, "shingle-bounds")
+    least = bounded.groupBy("entry").agg(F.min_by("x", F.struct(F.expr("x.size - x.shared"), F.col("x.key"))).alias("y"), F.count(F.lit(1)).alias("n"))
+    reach = f"least(x.shared, y.shared) >= {jaccard / (1 + jaccard)} * (x.size + y.size) - 1e-6"
+    led = in_order(joined_by_group(bounded, least, "entry", bounded.count()).filter(reach).select("x", "y"))
+    edges = written(spark, edges.unionByName(similar(written(spark, led, "shingle-led"), sets, jaccard)).distinct(), "shingle-links")
+    left = apart(bounded, edges)
+    # a text that not even the shortest under its key can match goes before pairs are made
+    sizes = left.groupBy("entry").agg(F.min("x.size").alias("shortest"), F.count(F.lit(1)).alias("n"))
+    left = joined_by_group(left, sizes, "entry", left.count()).filter(f"x.shared >= {jaccard / (1 + jaccard)} * (x.size + greatest(shortest, x.shared)) - 1e-6").drop("shortest")
+    left = written(spark, left, "shingle-left")
+    rest = in_order(left.join(left.select("entry", F.col("x").alias("y"), F.col("c").alias("d")), "entry").filter("c < d").filter(reach).select("x", "y"))
+    return edges.unionByName(similar(written(spark, rest, "shingle-rest"), sets, jaccard)).distinct()
 
 
 def links(prints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -175,8 +215,9 @@ def links(prints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
         for i in range(SEGMENT_BITS)
     ]
     index = distinct.select("fp", F.explode(F.array(*entries)).alias("entry"))
-    counted = index.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("entry"))).filter("n > 1")
-    counted = written(spark, counted, "simhash-entries")
+    total = 2 * SEGMENT_BITS * distinct.count()
+    sizes = written(spark, index.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-sizes")
+    counted = written(spark, joined_by_group(index, sizes.withColumn("of", F.col("n")), "entry", total).withColumnRenamed("of", "n"), "simhash-entries")
     near = F.expr(f"flatten(transform(fps, a -> transform(filter(fps, b -> b > a and bit_count(a ^ b) <= {DISTANCE}), b -> struct(a as a, b as b))))")
     small = counted.filter(F.col("n") <= max_bucket).groupBy("entry").agg(F.collect_list("fp").alias("fps")).select(F.explode(near).alias("e")).select("e.a", "e.b")
     flipped = F.expr(f"concat(array(fp), transform(sequence(0, {BITS - 1}), i -> fp ^ shiftleft(1L, i)))")
@@ -193,54 +234,64 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame):
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    def large_star(e: DataFrame) -> DataFrame:
+    one = F.count(F.lit(1)).alias("n")
+
+    def large_star(e: DataFrame, total: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))  # a: the centre
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), one)
+        return joined_by_group(both.filter("b > a"), least, "a", total).select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
 
-    def small_star(e: DataFrame) -> DataFrame:
-        least = e.groupBy("b").agg(F.min("a").alias("m"))  # b: the centre, larger than its a
-        moved = e.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    def small_star(e: DataFrame, total: int) -> DataFrame:
+        least = e.groupBy("b").agg(F.min("a").alias("m"), one)  # b: the centre, larger than its a
+        moved = joined_by_group(e, least, "b", total).filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         return moved.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
 
     before = None
     while (now := state(edges)) != before:
         before = now
         if now[0]:
-            edges = written(spark, small_star(large_star(edges)), "edges")
+            old, edges = edges, written(spark, small_star(large_star(edges, now[0]), now[0]), "edges")
+            released(spark, old)
     return edges.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "node")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET, jaccard: float | None = None) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id of every row. jaccard: links texts of
-    at least this five-word similarity too."""
+def _named(docs: DataFrame, id_col: str, text_col: str, max_bucket: int, jaccard: float | None) -> tuple[DataFrame, DataFrame]:
+    """The rows' prints (doc_id, fp, key), and (fp, component, n) of each fingerprint, n being its rows."""
     spark = docs.sparkSession
     prints = written(spark, (fingerprints if jaccard is None else signatures)(docs, id_col, text_col), "fingerprints")
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = links(prints, max_bucket)
     if jaccard is not None:
         edges = jaccard_links(docs, prints, edges, jaccard, text_col)
     nodes = components(edges)
-    # a fingerprint's component is named by a fingerprint; its smallest doc_id names it in the result
-    named = firsts.join(nodes, firsts["fp"] == nodes["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = named.filter("component is not null").groupBy("component").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "component").select("fp", "component_id")
-    out = prints.join(of, "fp")
+    firsts = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    return prints, firsts.join(nodes, firsts["fp"] == nodes["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "n")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET, jaccard: float | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hex digits), component_id of every row. jaccard: links texts of
+    at least this five-word similarity too."""
+    prints, named = _named(docs, id_col, text_col, max_bucket, jaccard)
+    total = prints.count()
+    # a component is named by a fingerprint; its smallest doc_id names it in the result
+    of = joined_by_group(prints.select("doc_id", "fp"), named, "fp", total)
+    least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    out = joined_by_group(of, least, "component", total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
-    """docs with one row of each component, that of its smallest doc_id, under all its columns.
-
-    Rows that repeat an id and a text are one row. Rows of a null doc_id stay, once for each text.
-    """
-    found = near_dedup(docs, id_col, text_col, jaccard=jaccard)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    without = docs.filter(F.col(f"`{id_col}`").isNull())
-    repeats = docs.groupBy(id_col).count().filter(f"count > 1 and `{id_col}` is not null").limit(1).count()
-    once = docs.dropDuplicates([id_col, text_col]) if repeats else docs
-    out = once.join(keep, id_col, "left_semi")
-    return out.unionByName(without.dropDuplicates([text_col])).select(*docs.columns) if without.limit(1).count() else out.select(*docs.columns)
+    """docs with one row of each component, under all its columns: that of its smallest doc_id, nulls last,
+    and of one id that of the smallest text digest. Rows that repeat an id and a text are one row."""
+    prints, named = _named(docs, id_col, text_col, MAX_BUCKET, jaccard)
+    of = joined_by_group(prints.select("doc_id", "fp", "key"), named, "fp", prints.count())
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    chosen = of.groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.key")
+    repeats = prints.groupBy("doc_id", "key").count().filter("count > 1").limit(1).count()
+    keyed_docs = docs.withColumn("__key", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("key").alias("__chosen"))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__chosen"))
+    out = keyed_docs.join(chosen, same, "left_semi")
+    return (out.dropDuplicates([id_col, "__key"]) if repeats else out).drop("__key")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
