@@ -2,8 +2,8 @@
 
 Base spans are what four patterns match. They are the protected entities. Over the whole corpus the
 method counts in how many distinct texts a term stands with an entity, n(t, e), and in how many it
-stands at all, n(t). Terms are whole runs of letters and digits, of any length, that no base span touches. P(e | t) = n(t, e) / n(t) tells how strongly the term reveals the entity. A term
-seen with one entity in at least min_texts distinct texts, with P(e | t) at or over `generalise`, is a
+stands at all, n(t). Terms are whole runs of letters and digits, of any length, that no base span touches.
+P(e | t) = n(t, e) / n(t) tells how strongly the term reveals the entity. A term seen with one entity in at least min_texts distinct texts, with P(e | t) at or over `generalise`, is a
 span of kind "term"; sanitised() writes a placeholder for it, and drops it at or over `remove`.
 Counts are of distinct texts, so copies of a text are no evidence.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import A_TO_Z, batches_of, narrow, rows_of, written
+from corvane.llm.common import A_TO_Z, batches_of, joined_by_group, narrow, rows_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -146,7 +146,7 @@ def revealing_terms(docs: DataFrame, min_texts: int = 3, generalise: float = 0.8
         return batches_of(rows, pa.schema([("entity", pa.string()), ("key", pa.int64())]))
 
     # an entity of fewer texts can't stand with a term in min_texts of them
-    often = own.mapInArrow(mentions, "entity string, key long").distinct().groupBy("entity").count().filter(F.col("count") >= min_texts).select("entity")
+    often = own.mapInArrow(mentions, "entity string, key long").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_texts)
     often = written(spark, often, "pii-entities")
     named = _few(often, "entity")
     sent_names = None if named is None else spark.sparkContext.broadcast(named)
@@ -167,13 +167,13 @@ def revealing_terms(docs: DataFrame, min_texts: int = 3, generalise: float = 0.8
         return batches_of(rows(), pa.schema([("term", pa.string()), ("entity", pa.string()), ("key", pa.int64())]))
 
     seen = own.mapInArrow(pairs, "term string, entity string, key long")
-    seen = written(spark, (seen if named is not None else seen.join(often, "entity", "left_semi")).distinct(), "pii-pairs")
+    seen = written(spark, (seen if named is not None else joined_by_group(seen, often, "entity", docs.count()).select(*seen.columns)).distinct(), "pii-pairs")
     together = seen.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= min_texts)
     # a term stands in at least the texts where it stands with any entity, so most terms need no further count
     near_any = seen.groupBy("term").agg(F.countDistinct("key").alias("near_any"))
     together = together.join(near_any, "term").filter(F.col("together") >= generalise * F.col("near_any")).select("term", "entity", "together")
     together = written(spark, together, "pii-together")
-    terms = together.select("term").distinct()
+    terms = together.groupBy("term").agg(F.max("together").alias("n"))
     candidates = _few(terms, "term")
     sent = None if candidates is None else spark.sparkContext.broadcast(candidates)
 
@@ -191,7 +191,7 @@ def revealing_terms(docs: DataFrame, min_texts: int = 3, generalise: float = 0.8
         return batches_of(rows(), pa.schema([("term", pa.string()), ("key", pa.int64())]))
 
     stands = own.mapInArrow(standing, "term string, key long")
-    alone = (stands if sent else stands.join(terms, "term", "left_semi")).groupBy("term").agg(F.countDistinct("key").alias("alone"))
+    alone = (stands if sent else joined_by_group(stands, terms, "term", docs.count())).groupBy("term").agg(F.countDistinct("key").alias("alone"))
     return together.join(alone, "term").groupBy("term").agg(F.max(F.col("together") / F.col("alone")).alias("p")).filter(F.col("p") >= generalise)
 
 
@@ -202,7 +202,7 @@ def _with_terms(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str):
     terms = written(spark, terms, "pii-terms")
     if terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
         return None, spark.sparkContext.broadcast({r["term"]: r["p"] for r in terms.collect()})
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(f"`{text_col}`")))
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
 
     def tokens(batches):
         rows = ((key, t) for key, text in rows_of(batches) if text for t in {term(x) for x in TOKEN.findall(text)})
@@ -210,7 +210,8 @@ def _with_terms(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str):
 
     has = keyed.select("__key", F.col(f"`{text_col}`").cast("string")).mapInArrow(tokens, "__key long, term string")
     found = has.distinct().join(terms, "term").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("term", "p"))).alias("__terms"))
-    return keyed.join(found, "__key", "left").drop("__key"), None
+    sizes = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
+    return joined_by_group(keyed, sizes.join(found, "__key", "left"), "__key", docs.count()).select(*docs.columns, "__terms"), None
 
 
 def spans_of(text: str | None, terms: dict[str, float]) -> dict[str, list[Span]]:

@@ -243,20 +243,60 @@ def test_personal_data(docs, odd, empty):
     assert pii.personal_data(empty, pii.revealing_terms(empty)).count() == 0
 
 
+def brute_terms(data, min_texts=3, generalise=0.8):
+    """The terms by their definition: over distinct texts, all tokens that no base span touches."""
+    alone, together = defaultdict(set), defaultdict(set)
+    for text in {t for _, t in data if t}:
+        spans = naive(text)
+        free = {low(m[0]) for m in re.finditer(r"[^\W_]+", text) if all(m.end() <= a or m.start() >= b for x in spans.values() for a, b in x)}
+        entities = {pii.entity(k, text[a:b]) for k, x in spans.items() for a, b in x}
+        for t in free:
+            alone[t].add(text)
+            for e in entities:
+                together[t, e].add(text)
+    out = {}
+    for (t, _), texts in together.items():
+        if len(texts) >= min_texts and (p := len(texts) / len(alone[t])) >= generalise:
+            out[pii.term(t)] = max(p, out.get(pii.term(t), 0))
+    return out
+
+
+ODD_LETTERS = [(30 + k, f"footnote² ½cup Ⅷth naïve Kim_Lee x{k} mail odd@mail.example.org") for k in range(4)] + [(40, "footnote² again, footnote 2"), (41, "Kim² alone")]
+
+
+@pytest.mark.parametrize("most", [pii.MAX_BROADCAST_TERMS, 0])
+def test_terms_are_those_of_brute_force(spark, docs, odd, monkeypatch, most):
+    """On both sides of the bound: real texts, odd rows, letters outside ASCII, superscripts, copies."""
+    monkeypatch.setattr(pii, "MAX_BROADCAST_TERMS", most)
+    data = ODD_LETTERS * 2 + [(100, ODD_LETTERS[0][1])] * 5
+    for df, own in [(docs, pairs(docs)), (odd, ODD), (frame(spark, data), data)]:
+        expected = brute_terms(own)
+        terms = pii.revealing_terms(df)
+        assert {r["term"]: round(r["p"], 9) for r in terms.collect()} == {t: round(p, 9) for t, p in expected.items()}
+        wanted = []
+        for i, t in own:
+            spans = naive(t)
+            taken = [x for v in spans.values() for x in v]
+            spans["term"] = [m.span() for m in re.finditer(r"[^\W_]+", t or "") if pii.term(m[0]) in expected and all(m.end() <= a or m.start() >= b for a, b in taken)]
+            wanted.append((i, ",".join(f"{k}:{a}:{b}" for k, x in spans.items() for a, b in x)))
+        same(pii.personal_data(df, terms), wanted, ["doc_id", "spans"])
+
+
 TALKS = [(k, f"t{k} number report by Quillfeather reach quill@mail.example.org filler") for k in range(4)] + [(9, "a clean report mentions nobody"), (10, "Quillfeather came"), (11, None)]
 
 
 def test_revealing_terms(spark, monkeypatch):
-    """A name that stands with one address nearly always goes; words that stand everywhere stay."""
+    """A token that stands in its texts with one address nearly always goes ("by" as well as the name, as
+    no other text has it); words that stand elsewhere stay."""
     data = [(k, t.replace("number", f"n{'abcd'[k % 4] * 5}")) for k, t in TALKS[:4]] + [*TALKS[4:], *((20 + k, f"filler report reach w{k}") for k in range(8))]
     df = frame(spark, data * 2)  # copies are no evidence
-    expected = {"quillfeather": 0.8}
+    expected = {"quillfeather": 0.8, "by": 1.0}
     for most in (pii.MAX_BROADCAST_TERMS, 0):
         monkeypatch.setattr(pii, "MAX_BROADCAST_TERMS", most)
         terms = pii.revealing_terms(df)
         assert {r["term"]: round(r["p"], 4) for r in terms.collect()} == expected
         out = {r["doc_id"]: r["text"] for r in pii.sanitised(df, terms).collect()}
-        assert out[10] == "[TERM] came" and out[9] == data[4][1] and out[11] is None and out[0] == "t0 naaaaa report by [TERM] reach [EMAIL] filler"
+        assert out[10] == "[TERM] came" and out[9] == data[4][1] and out[11] is None and out[0] == "t0 naaaaa report  [TERM] reach [EMAIL] filler"
         spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(df, terms).collect()}
         assert spans[10] == "term:0:12" and spans[0].startswith("email:") and ",term:" in spans[0]
         assert pii.sanitised(df, terms).columns == df.columns
