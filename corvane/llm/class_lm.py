@@ -2,19 +2,22 @@
 
     P(text) = product over its tokens of P(class | class before) * P(token | class)
 
-The most frequent words are assigned to classes by exchange clustering: a word moves to the class
-that raises the likelihood of the corpus' class bigrams most, until none moves. The bigrams are
-counted over all training documents; the cluster vocabulary (2,048 words) is a parameter of the model,
-so the table of its pairs has a fixed bound. Every other word, seen or not, belongs to a shape class
-(its last mark, digits, length), whose emission has an additive floor for unseen words.
-
-Counts of all words are kept as a table. The `head` most frequent ones (of bounded length) go to the
-workers; every other word of a document is shuffled to its count. So nothing that grows with the
-corpus is broadcast, and each count is exact.
+The CLUSTERED most frequent words are assigned to classes by exchange clustering: a word moves to the
+class that raises the likelihood of the corpus' class bigrams most, until none moves. Every other word
+that the training documents hold at least LEAST times is then put into the class that its own contexts
+(classes before and after it, counted over the whole corpus) make likeliest: the exchange's gain, to first
+order, against the classes as they stand. So the words with a class of their own grow with the corpus.
+Rarer and unseen words belong to a shape class (last mark, digits, length), whose emission has an
+additive floor. Transitions are counted anew over the corpus under the final classes.
+
+Texts are tokenised twice: for the counts of words, and to be written as numbers of the `head` most
+frequent words (of bounded length), which go to the workers. Each occurrence of any other word is a row
+that is shuffled to its count and class and back to its text. So nothing that grows with the corpus is
+broadcast, each count is exact, and the size of the head changes no score.
 
 Defined results: a null or empty text is its end token alone; a null doc_id counts as the text ''
 (crc32 0: held out); with no training document every count is 0; repeated rows are scored, and
-learned from, each.
+learned from, each; of words of one count those with the smaller digests are in the head.
 """
 
 from __future__ import annotations
@@ -22,7 +25,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,11 +38,17 @@ from corvane.llm.common import batches_of, lower_words_of, narrow, rows_of, writ
 #: The end token; no word holds white space.
 END = b"\n"
 HEAD_WORDS, LONGEST_HEAD = 200_000, 64
-CLUSTERED, CLASSES = 2048, 64
+CLUSTERED, CLASSES, LEAST = 2048, 64, 5
 FLOOR = 0.1
 BACKOFF = 5.0
 FLUSH = 300_000
 SHAPES = 24
+#: The group of words that the head cuts is cut into so many parts.
+PARTS = 4096
+#: Tables of bigrams are summed up in so many tasks.
+MERGERS = 8
+#: Head words that are put into classes at once.
+BLOCK = 4096
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -76,62 +84,146 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def bigrams(docs: DataFrame, clustered: dict[bytes, int], size: int) -> DataFrame:
-    """pair (first * size + second), n over the training documents. A word's number is its place among
-    the clustered words, or that of its shape after them; an end token stands before each text."""
+def split_head(counts: DataFrame, most: int) -> tuple[list[tuple[bytes, int]], DataFrame]:
+    """The head: at most `most` words of bounded length with their counts, the most frequent first, and
+    the end token in any case; and the table of all other words.
+
+    Counts are grouped by eighths of a doubling (a few hundred rows); whole groups are taken from the top
+    as long as they fit. The next group is cut by its words' digests, so a flat vocabulary fills the head too.
+    """
+    end = F.col("word") == END.decode()
+    grouped = counts.withColumn("size", F.floor(8 * F.log2("c")).cast("int")).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)).cast("int"))
+    short = grouped.filter((F.octet_length("word") <= LONGEST_HEAD) & ~end)
+    left, lowest, cut = most - 1, None, None
+    for r in sorted(short.groupBy("size").count().collect(), key=lambda r: -r["size"]):
+        if r["count"] > left:
+            cut = r["size"]
+            break
+        left, lowest = left - r["count"], r["size"]
+    taken = F.col("size") >= lowest if lowest is not None else F.lit(False)
+    if cut is not None:
+        upto = -1
+        for r in sorted(short.filter(F.col("size") == cut).groupBy("part").count().collect(), key=lambda r: r["part"]):
+            if r["count"] > left:
+                break
+            left, upto = left - r["count"], r["part"]
+        taken = taken | ((F.col("size") == cut) & (F.col("part") <= upto))
+    inside = end | (taken & (F.octet_length("word") <= LONGEST_HEAD))
+    found = {r["word"].encode(): r["c"] for r in grouped.filter(inside).select("word", "c").collect()}
+    found.setdefault(END, 0)
+    return sorted(found.items(), key=lambda x: (-x[1], x[0])), grouped.filter(~inside).select("word", "c")
+
+
+ENCODED = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("word", pa.string()), ("pos", pa.int64()), ("before", pa.int32()), ("after", pa.int32())]
+ENCODED_SQL = "row long, doc_id long, held_out boolean, n_tokens long, ids binary, word string, pos long, before int, after int"
+
+
+def encoded(docs: DataFrame, head: list[tuple[bytes, int]]) -> DataFrame:
+    """A row of each text: ids, the compressed numbers of its tokens in the head, -1 - shape for others;
+    and a row of each token that isn't in the head: word, pos, and the numbers before and after it."""
+    sent = docs.sparkSession.sparkContext.broadcast({w: k for k, (w, _) in enumerate(head)})
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, k = np.zeros(size * size, np.int64), 0, len(clustered)
-        held: list[int] = []
-        end = clustered.get(END, 0)
-        known: dict[bytes, int] = dict(clustered)
+    def run(batches):
+        get = sent.value.get
+        end, part = get(END), TaskContext.get().partitionId() << 33
+        shapes: dict[bytes, int] = {}
+        texts: list[list] = [[] for _ in range(5)]
+        rare: list[list] = [[] for _ in range(6)]  # row, held_out, word, pos, before, after
 
-        def add():
-            a = np.array(held, np.int64)
-            pairs, n = np.unique(a[:-1] * size + a[1:], return_counts=True)
-            total[pairs] += n
+        def made() -> pa.RecordBatch:
+            n, m = len(texts[0]), len(rare[0])
+            columns = [[*texts[0], *rare[0]], [*texts[1], *[None] * m], [*texts[2], *rare[1]], [*texts[3], *[None] * m], [*texts[4], *[None] * m]]
+            arrays = [pa.array(c, f) for c, (_, f) in zip(columns, ENCODED[:5], strict=True)]
+            arrays.append(pa.array([*[None] * n, *rare[2]], pa.binary()).cast(pa.string()))
+            arrays += [pa.array([*[None] * n, *c], f) for c, (_, f) in zip(rare[3:], ENCODED[6:], strict=True)]
+            for x in (*texts, *rare):
+                x.clear()
+            return pa.RecordBatch.from_arrays(arrays, schema=pa.schema(ENCODED))
 
-        for doc_id, text in rows_of(batches):
-            if held_out(doc_id):
-                continue
+        for k, (doc_id, text) in enumerate(rows_of(batches)):
             words = lower_words_of(text)
-            try:
-                ids = [known[w] for w in words]
-            except KeyError:
-                if len(known) > FLUSH:
-                    known = dict(clustered)
-                for w in words:
-                    if w not in known:
-                        known[w] = k + shape(w)
-                ids = [known[w] for w in words]
-            held += ids if held else [end, *ids]
-            held.append(end)
-            if len(held) > 200_000:
-                add()
-                held = [end]
-        if held:
-            add()
-        at = np.flatnonzero(total)
-        for s in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[s : s + (1 << 16)]), pa.array(total[at[s : s + (1 << 16)]])], names=["pair", "n"])
+            ids = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
+            at, held = np.flatnonzero(ids < 0), held_out(doc_id)
+            for i in at.tolist():
+                w = words[i]
+                if (own := shapes.get(w)) is None:
+                    if len(shapes) > FLUSH:
+                        shapes.clear()
+                    own = shapes[w] = shape(w)
+                ids[i] = -1 - own
+            whole = np.concatenate(([end], ids, [end])).astype(np.int32)
+            for x, v in zip(texts, (part + k, doc_id, held, len(words) + 1, pa.compress(whole[1:].tobytes(), "zstd", asbytes=True)), strict=True):
+                x.append(v)
+            for x, v in zip(rare, ([part + k] * len(at), [held] * len(at), [words[i] for i in at.tolist()], at.tolist(), whole[at].tolist(), whole[at + 2].tolist()), strict=True):
+                x += v
+            if len(rare[0]) + len(texts[0]) > 32_768:
+                yield made()
+        if texts[0]:
+            yield made()
+
+    return docs.mapInArrow(run, ENCODED_SQL)
+
+
+def numbers(ids: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(ids, decompressed_size=4 * n, codec="zstd"), np.int32)
+
+
+def codes_of(ids: np.ndarray, of_head: np.ndarray, shapes_from: int) -> np.ndarray:
+    """Of each number: its head word's code, or that of its shape."""
+    return np.where(ids >= 0, of_head[ids], shapes_from - 1 - ids)
 
-    return docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
+def training_runs(batches, end: int):
+    """The numbers of training texts, an end token before each, joined to runs of some 4 million."""
+    held, n = [np.array([end], np.int32)], 1
+    for is_held, tokens, ids in rows_of(batches):
+        if not is_held:
+            held.append(numbers(ids, tokens))
+            n += tokens
+            if n > 4_000_000:
+                yield np.concatenate(held)
+                held, n = [np.array([end], np.int32)], 1
+    if n > 1:
+        yield np.concatenate(held)
 
-def bigram_table(pairs: DataFrame, size: int) -> np.ndarray:
-    """The counts as a size * size array; each partition sends its numbers as one compressed run."""
 
-    def packed(batches):
-        found = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
-        if found:
-            at, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(at)
-            runs = [zlib.compress(x.astype(t).tobytes(), 1) for x, t in ((np.diff(at[order], prepend=0), "<u4"), (n[order], "<i8"))]
+def bigram_table(texts: DataFrame, of_head: np.ndarray, shapes_from: int, end: int, known_only: bool = False) -> np.ndarray:
+    """Bigrams of codes over the training texts; each task sends its numbers as compressed runs.
+    known_only: of two neighbours in the head alone."""
+    size = shapes_from + SHAPES
+    sent = texts.sparkSession.sparkContext.broadcast(of_head)
+
+    def run(batches):
+        total = np.zeros(size * size, np.int64)
+        for ids in training_runs(batches, end):
+            codes = codes_of(ids, sent.value, shapes_from).astype(np.int64)
+            pairs = codes[:-1] * size + codes[1:]
+            total += np.bincount(pairs[(ids[:-1] >= 0) & (ids[1:] >= 0)] if known_only else pairs, minlength=size * size)
+        at = np.flatnonzero(total)
+        if len(at):
+            runs = [zlib.compress(x.tobytes(), 1) for x in (np.diff(at, prepend=0).astype("<u4"), total[at].astype("<i8"))]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in runs], names=["steps", "n"])
 
+    return collected_table(texts.select("held_out", "n_tokens", "ids").mapInArrow(run, "steps binary, n binary"), size)
+
+
+def collected_table(runs: DataFrame, size: int) -> np.ndarray:
+    """The sum of tables that tasks sent. They are merged in groups of tasks before they reach the driver."""
+
+    def merged(batches):
+        total = np.zeros(size * size, np.int64)
+        for _, steps, n in rows_of(batches):
+            steps, n = np.frombuffer(zlib.decompress(steps), "<u4"), np.frombuffer(zlib.decompress(n), "<i8")
+            total[np.cumsum(steps, dtype=np.int64)] += n
+        at = np.flatnonzero(total)
+        if len(at):
+            packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(at, prepend=0).astype("<u4"), total[at].astype("<i8"))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["steps", "n"])
+
     table = np.zeros(size * size, np.int64)
-    for r in pairs.mapInArrow(packed, "steps binary, n binary").collect():  # at most size * size numbers in all
-        steps, n = (np.frombuffer(zlib.decompress(x), t) for x, t in ((r["steps"], "<u4"), (r["n"], "<i8")))
+    few = runs.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGERS))).select("part", "steps", "n").repartition(MERGERS, "part").mapInArrow(merged, "steps binary, n binary")
+    for r in few.collect():  # at most MERGERS tables
+        steps, n = np.frombuffer(zlib.decompress(r["steps"]), "<u4"), np.frombuffer(zlib.decompress(r["n"]), "<i8")
         table[np.cumsum(steps, dtype=np.int64)] += n
     return table.reshape(size, size)
 
@@ -182,18 +274,101 @@ def exchange(counts: np.ndarray, n_words: int, classes: int, fixed: int, rounds:
     return cls
 
 
+def likeliest(left: np.ndarray, right: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """The class (below `classes`) of each word from its counts of classes before (left) and after (right) it,
+    given the bigrams of classes: the gain in likelihood of putting it there, to first order."""
+    n = table.astype(np.float64) + 0.1
+    after, before = np.log(n[:classes]), np.log(n[:, :classes])
+    gain = right @ after.T + left @ before
+    gain -= right.sum(axis=1, keepdims=True) * np.log(n[:classes].sum(axis=1)) + left.sum(axis=1, keepdims=True) * np.log(n[:, :classes].sum(axis=0))
+    return gain.argmax(axis=1)
+
+
+def head_classes(texts: DataFrame, of_head: np.ndarray, first: int, table: np.ndarray, classes: int, end: int) -> np.ndarray:
+    """The likeliest class of each head word from the place `first` on. Contexts are counted in each task and
+    sent as compressed runs, by blocks of words."""
+    size = len(table)
+    sent = texts.sparkSession.sparkContext.broadcast((of_head, table))
+
+    def contexts(batches):
+        of, _ = sent.value
+        for ids in training_runs(batches, end):
+            codes = codes_of(ids, of, classes).astype(np.int64)
+            mine = ids >= first
+            left, right = np.flatnonzero(mine[1:]) + 1, np.flatnonzero(mine[:-1])
+            keys = np.concatenate(((ids[left].astype(np.int64) - first) * 2 * size + codes[left - 1], (ids[right].astype(np.int64) - first) * 2 * size + size + codes[right + 1]))
+            keys, n = np.unique(keys, return_counts=True)
+            block = keys // (2 * size * BLOCK)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(keys)]))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    own = (keys[a:b] - block[a] * 2 * size * BLOCK).astype("<u4")
+                    yield pa.RecordBatch.from_arrays([pa.array([int(block[a])], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (own, n[a:b].astype("<u4")))], names=["block", "keys", "n"])
+
+    def assigned(batches):
+        _, table = sent.value
+        now, total = None, None
+
+        def made():
+            own = total.reshape(BLOCK, 2, size)
+            used = np.flatnonzero(own.any(axis=(1, 2)))
+            best = likeliest(own[used, 0], own[used, 1], table, classes)
+            return pa.RecordBatch.from_arrays([pa.array(first + now * BLOCK + used, pa.int64()), pa.array(best, pa.int64())], names=["id", "class"])
+
+        for block, keys, n in rows_of(batches):
+            if block != now:
+                if now is not None:
+                    yield made()
+                now, total = block, np.zeros(BLOCK * 2 * size)
+            total[np.frombuffer(zlib.decompress(keys), "<u4")] += np.frombuffer(zlib.decompress(n), "<u4")
+        if now is not None:
+            yield made()
+
+    runs = texts.select("held_out", "n_tokens", "ids").mapInArrow(contexts, "block int, keys binary, n binary")
+    found = runs.repartition("block").sortWithinPartitions("block").mapInArrow(assigned, "id long, class long").collect()  # of head words only
+    out = of_head.copy()
+    for r in found:
+        out[r["id"]] = r["class"]
+    return out
+
+
+def other_classes(rare: DataFrame, others: DataFrame, of_head: np.ndarray, table: np.ndarray, classes: int, least: int) -> DataFrame:
+    """word, class of each word outside the head that is held at least `least` times: as head_classes()."""
+    size = len(table)
+    sent = rare.sparkSession.sparkContext.broadcast((of_head, table))
+
+    def contexts(batches):
+        of, _ = sent.value
+        for batch in batches:
+            words = batch.column(0)
+            each = [codes_of(np.asarray(batch.column(k)), of, classes) + (k - 1) * size for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, words]), pa.array(np.concatenate(each), pa.int64())], names=["word", "context"])
+
+    def assigned(batches):
+        for batch in batches:
+            total = np.zeros((batch.num_rows, 2 * size))
+            for k, found in enumerate(batch.column(1).to_pylist()):
+                for x in found:
+                    total[k, x["context"]] = x["n"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(likeliest(total[:, :size], total[:, size:], sent.value[1], classes), pa.int64())], names=["word", "class"])
+
+    often = others.filter(F.col("c") >= least).select("word")
+    own = rare.filter("not held_out").join(often, "word", "left_semi").select("word", "before", "after")
+    counted = own.mapInArrow(contexts, "word string, context long").groupBy("word", "context").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("found")).mapInArrow(assigned, "word string, class long")
+
+
 @dataclass(frozen=True)
 class Model:
-    """Bounded by its parameters; counts of words outside `head` stay in a table."""
+    """Bounded by its parameters; words outside the head stay in a table."""
 
-    head: dict  # word -> (place)
-    counts: np.ndarray  # by place in head
+    head: list  # (word, count)
     classes: np.ndarray  # by place in head
     emission: np.ndarray  # log10 by place in head
     transition: np.ndarray  # log10 by class before and class
-    shape_class: int  # the first shape's class
-    shape_tokens: np.ndarray
-    shape_words: np.ndarray
+    class_tokens: np.ndarray  # tokens of each class' own words, over the whole vocabulary
+    class_words: np.ndarray
+    own_classes: int  # those before the shapes'
     train_tokens: int
     vocabulary: int
 
@@ -202,145 +377,155 @@ class Model:
         return self.train_tokens + 0.1 * (self.vocabulary + 1)
 
 
-def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """At most `most` words of bounded length with their counts, the most frequent first.
+@dataclass(frozen=True)
+class Trained:
+    model: Model
+    words: DataFrame  # word, c, class of all words outside the head
+    texts: DataFrame  # encoded() rows of texts
+    resolved: DataFrame  # each token outside the head: row, held_out, class_before, class, class_after (-1: not in the head), c
 
-    Counts are grouped by eighths of a doubling (a few hundred rows); whole groups are taken from the
-    top as long as they fit, so only the words that are taken reach the driver.
-    """
-    short = counts.filter(F.octet_length("word") <= LONGEST_HEAD).withColumn("group", F.floor(8 * F.log2("c")).cast("int"))
-    lowest, total = None, 0
-    for r in sorted(short.groupBy("group").count().collect(), key=lambda r: -r["group"]):
-        if (total := total + r["count"]) > most:
-            break
-        lowest = r["group"]
-    if lowest is None:
-        return []
-    return sorted(((r["word"].encode(), r["c"]) for r in short.filter(F.col("group") >= lowest).collect()), key=lambda x: (-x[1], x[0]))
 
+def resolved_tokens(rare: DataFrame, words: DataFrame, of_head: np.ndarray, classes: int) -> DataFrame:
+    """Each token outside the head with its class and its neighbours', from its word's row and the token before."""
+    sent = rare.sparkSession.sparkContext.broadcast(of_head)
+    joined = rare.join(words, "word", "left").select("row", "pos", "held_out", "before", "after", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(-1)).alias("class"), "own_shape")
 
-def train(docs: DataFrame, counts: DataFrame, head_words: int = HEAD_WORDS, clustered: int = CLUSTERED, classes: int = CLASSES) -> Model:
-    """docs: doc_id, text; counts: word_counts(docs)."""
+    def run(batches):
+        last = (-1, -1, -1)
+        for batch in batches:
+            row, pos, before, after, c, cls, own = (np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1, 3, 4, 5, 6, 7))
+            cls = np.where(cls >= 0, cls, classes + own)
+            # where the token before isn't in the head it is the row before
+            prior = np.concatenate(([last[2]], cls[:-1]))
+            left = np.where(before >= 0, sent.value[np.maximum(before, 0)], prior)
+            right = np.where(after >= 0, sent.value[np.maximum(after, 0)], -1)
+            last = (int(row[-1]), int(pos[-1]), int(cls[-1])) if len(row) else last
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (left, cls, right, c))], names=["row", "held_out", "class_before", "class", "class_after", "c"])
+
+    return joined.repartition("row").sortWithinPartitions("row", "pos").mapInArrow(run, "row long, held_out boolean, class_before long, class long, class_after long, c long")
+
+
+def trained(docs: DataFrame, head_words: int = HEAD_WORDS, clustered: int = CLUSTERED, classes: int = CLASSES, least: int = LEAST) -> Trained:
+    """The model, and the texts as numbers. docs: doc_id, text."""
+    spark = docs.sparkSession
+    counts = written(spark, word_counts(docs), "word-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = most_frequent(counts, head_words)
-    k = min(clustered, len(head))
-    ids = {w: i for i, (w, _) in enumerate(head[:k])}
-    size = k + SHAPES
-    table = bigram_table(bigrams(docs, ids, size), size)
-    classes = max(1, min(classes, k))
+    head, others = split_head(counts, head_words)
+    both = written(spark, encoded(docs, head), "lm-tokens")
+    texts, rare = both.filter("ids is not null"), both.filter("word is not null")
+    number, shapes = np.array([c for _, c in head], np.int64), np.array([shape(w) for w, _ in head], np.int64)
+    end = next(i for i, (w, _) in enumerate(head) if w == END)
+    k = min(clustered, int((number > 0).sum()))
+    size, classes = k + SHAPES, max(1, min(classes, k))
+
+    # exchange of the most frequent words, the others standing for their shapes
+    table = bigram_table(texts, np.where(np.arange(len(head)) < k, np.arange(len(head)), k + shapes), k, end)
     cls = exchange(table, k, classes, SHAPES)
-    groups = classes + SHAPES
-    member = np.zeros((size, groups))
+    member = np.zeros((size, classes + SHAPES))
     member[np.arange(size), cls] = 1.0
-    n = member.T @ table @ member
+    of_head = np.concatenate((cls[:k], classes + shapes[k:]))
+    by_class = member.T @ table @ member
+
+    # all other words held often enough, given those classes
+    found = head_classes(texts, of_head, k, by_class, classes, end)
+    final = np.where((np.arange(len(head)) >= k) & (number >= least), found, of_head)
+    assigned = other_classes(rare, others, of_head, by_class, classes, least) if others.filter(F.col("c") >= least).limit(1).count() else None
+    words = others.withColumn("class", F.lit(-1).cast("long")) if assigned is None else others.join(assigned, "word", "left").select("word", "c", F.coalesce("class", F.lit(-1).cast("long")).alias("class"))
+    words = written(spark, words, "lm-words")
+
+    def shaped(batches):
+        for batch in batches:
+            own = pa.array([shape(w.encode()) for w in batch.column(0).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, "own_shape"])
+
+    named = rare.select("word", "row", "pos", "held_out", "before", "after").mapInArrow(shaped, "word string, row long, pos long, held_out boolean, before int, after int, own_shape long")
+    resolved = written(spark, resolved_tokens(named, words, final, classes), "lm-resolved")
+
+    # transitions under the final classes: neighbours in the head, then all others
+    groups = classes + SHAPES
+    n = bigram_table(texts, final, classes, end, known_only=True)
+
+    def pairs(batches):
+        seen = np.zeros(groups * groups, np.int64)
+        for batch in batches:
+            left, own, right = (np.asarray(batch.column(x)) for x in (0, 1, 2))
+            seen += np.bincount(left * groups + own, minlength=groups * groups)
+            seen += np.bincount((own * groups + right)[right >= 0], minlength=groups * groups)
+        at = np.flatnonzero(seen)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (np.diff(at, prepend=0).astype("<u4"), seen[at].astype("<i8"))], names=["steps", "n"])
+
+    n = n + collected_table(resolved.filter("not held_out").select("class_before", "class", "class_after").mapInArrow(pairs, "steps binary, n binary"), groups)
     of = n.sum(axis=0)
     prior = (of + 0.5) / (of.sum() + 0.5 * groups)
     transition = np.log10((n + BACKOFF * prior) / (n.sum(axis=1, keepdims=True) + BACKOFF))
-    number = np.array([c for _, c in head], np.float64)
-    own = np.array([cls[i] if i < k else classes + shape(w) for i, (w, _) in enumerate(head)], np.int64)
-    clustered_tokens = np.bincount(cls[:k], weights=number[:k], minlength=groups) if k else np.zeros(groups)
-
-    # tokens and words of each shape, over the whole vocabulary but the clustered words
-    def shapes(batches):
-        seen = Counter()
-        for word, c in rows_of(batches):
-            if (w := word.encode()) not in ids:
-                s = shape(w)
-                seen[s, 0] += c
-                seen[s, 1] += 1
-        return batches_of(((s, seen[s, 0], seen[s, 1]) for s in {a for a, _ in seen}), pa.schema([("shape", pa.int32()), ("tokens", pa.int64()), ("words", pa.int64())]))
-
-    tokens, words = np.zeros(SHAPES), np.zeros(SHAPES)
-    for r in counts.mapInArrow(shapes, "shape int, tokens long, words long").groupBy("shape").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect():
-        tokens[r["shape"]], words[r["shape"]] = r["tokens"], r["words"]
-    s = own[k:] - classes
-    emission = np.concatenate((np.log10(number[:k] / clustered_tokens[own[:k]]), np.log10((number[k:] + FLOOR) / (tokens[s] + FLOOR * (words[s] + 1))))) if head else np.zeros(0)
-    return Model({w: i for i, (w, _) in enumerate(head)}, number, own, emission, transition, classes, tokens, words, int(total), int(kinds))
-
-
-def scores(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+
+    # tokens and words of each class, over the whole vocabulary
+    tokens, kind = (np.bincount(final, weights=x, minlength=groups) for x in (number, number > 0))
+
+    def of_words(batches):
+        seen = np.zeros((2, groups))
+        for word, c, own in rows_of(batches):
+            at = own if own >= 0 else classes + shape(word.encode())
+            seen[0, at] += c
+            seen[1, at] += 1
+        at = np.flatnonzero(seen[1])
+        yield from batches_of(((int(x), int(seen[0, x]), int(seen[1, x])) for x in at), pa.schema([("class", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64())]))
+
+    for r in words.mapInArrow(of_words, "class long, tokens long, words long").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect():
+        tokens[r["class"]] += r["tokens"]
+        kind[r["class"]] += r["words"]
+    emission = emitted(number, final, tokens, kind, classes)
+    return Trained(Model(head, final, emission, transition, tokens, kind, classes, int(total), int(kinds)), words, texts, resolved)
+
+
+def emitted(c: np.ndarray, cls: np.ndarray, tokens: np.ndarray, words: np.ndarray, classes: int) -> np.ndarray:
+    """log10 P(token | class): a word's share of its class; in a shape class with a floor for unseen words."""
+    share = np.maximum(c, 1e-300) / np.maximum(tokens[cls], 1e-300)
+    return np.where(cls < classes, np.log10(share), np.log10((c + FLOOR) / (tokens[cls] + FLOOR * (words[cls] + 1))))
+
+
+def scores(of: Trained) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    columns = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.string()), ("shape", pa.int32())]
+    sent, m = of.texts.sparkSession.sparkContext.broadcast(of.model), of.model
 
-    def run(batches):
+    def known(batches):
         m = sent.value
-        get, first = m.head.get, m.shape_class
-        floor = m.floor
-        base_of = np.append(np.log10((m.counts + 0.1) / floor), 0.0) if floor else np.zeros(1)
-        emit_of, class_of, known_of = np.append(m.emission, 0.0), np.append(m.classes, 0), np.append(m.counts > 0, False)
-        end = get(END, -1)
-        before = int(class_of[end]) if end >= 0 else first
-        part = TaskContext.get().partitionId() << 33
-
-        docs_held: list[tuple] = []
-        rare_words: list[bytes] = []
-        rare_row: list[int] = []
-        rare_n: list[int] = []
-        rare_shape: list[int] = []
+        number = np.array([c for _, c in m.head], np.float64)
+        base = np.append(np.log10((number + 0.1) / m.floor), 0.0)
+        emission, cls, seen = np.append(m.emission, 0.0), np.append(m.classes, 0), np.append(number > 0, False)
+        before = m.classes[next(i for i, (w, _) in enumerate(m.head) if w == END)]
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
-        def made() -> pa.RecordBatch:
-            """What is held: rows of texts, then rows of their rare words."""
-            texts = [*zip(*docs_held, strict=True)] or [()] * 7
-            none = len(rare_words)
-            arrays = [pa.array([*texts[0], *rare_row], pa.int64())]
-            arrays += [pa.array([*c, *[None] * none], f) for c, (_, f) in zip(texts[1:3], columns[1:3], strict=True)]
-            arrays.append(pa.array([*texts[3], *rare_n], pa.int64()))
-            arrays += [pa.array([*c, *[None] * none], f) for c, (_, f) in zip(texts[4:7], columns[4:7], strict=True)]
-            arrays.append(pa.array([*[None] * len(docs_held), *rare_words], pa.binary()).cast(pa.string()))
-            arrays.append(pa.array([*[None] * len(docs_held), *rare_shape], pa.int32()))
-            for x in (docs_held, rare_words, rare_row, rare_n, rare_shape):
-                x.clear()
-            return pa.RecordBatch.from_arrays(arrays, schema=pa.schema(columns))
+        def rows():
+            for row, doc_id, held, n, packed in rows_of(batches):
+                ids = np.maximum(numbers(packed, n), -1)
+                own = cls[ids]
+                steps = m.transition[np.concatenate(([before], own[:-1])), own]
+                both = (ids >= 0) & np.concatenate(([True], ids[:-1] >= 0))
+                yield row, doc_id, held, n, int(seen[ids].sum()), float(base[ids].sum()), float(steps[both].sum() + emission[ids].sum())
 
-        for k, (doc_id, text) in enumerate(rows_of(batches)):
-            words = lower_words_of(text)
-            words.append(END)
-            ids = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
-            cls = class_of[ids]
-            rare: dict[bytes, list[int]] = {}
-            for i in np.flatnonzero(ids < 0).tolist():
-                own = rare.get(words[i])
-                if own is None:
-                    own = rare[words[i]] = [0, shape(words[i])]
-                own[0] += 1
-                cls[i] = first + own[1]
-            step = m.transition[np.concatenate(([before], cls[:-1])), cls].sum()
-            docs_held.append((part + k, doc_id, held_out(doc_id), len(words), int(known_of[ids].sum()), float(base_of[ids].sum()), float(step + emit_of[ids].sum())))
-            rare_words += rare
-            rare_row += [part + k] * len(rare)
-            rare_n += [n for n, _ in rare.values()]
-            rare_shape += [s for _, s in rare.values()]
-            if len(rare_words) + len(docs_held) > 32_768:
-                yield made()
-        if docs_held:
-            yield made()
+        return batches_of(rows(), schema)
 
-    both = written(spark, docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word string, shape int"), "lm-rows")
-    floor = model.floor
-    few = F.array(*(F.lit(float(t + FLOOR * (w + 1))) for t, w in zip(model.shape_tokens, model.shape_words, strict=True)))
-    rare = both.filter("word is not null").select("row", "word", "shape", F.col("n_tokens").alias("n"))
-    # no word of bounded length outside the head is as frequent as its last
-    other = counts.filter((F.octet_length("word") > LONGEST_HEAD) | (F.col("c") < int(min(model.counts)))) if len(model.counts) else counts
-    c = F.coalesce("c", F.lit(0))
-    joined = rare.join(other, "word", "left").select(
-        "row",
-        F.when(c > 0, F.col("n")).otherwise(0).alias("n_known"),
-        (F.col("n") * F.log10((c + 0.1) / F.lit(floor))).alias("base"),
-        (F.col("n") * F.log10((c + FLOOR) / F.element_at(few, F.col("shape") + 1))).alias("score"),
-    )
-    more = joined.groupBy("row").agg(*(F.sum(x).alias(f"more_{x}") for x in ("n_known", "base", "score")))
-    out = both.filter("word is null").join(more, "row", "left")
+    def others(batches):
+        m = sent.value
+        for batch in batches:
+            row, left, own, right, c = (np.asarray(batch.column(k)) for k in range(5))
+            score = m.transition[left, own] + np.where(right >= 0, m.transition[own, right], 0.0) + emitted(c, own, m.class_tokens, m.class_words, m.own_classes)
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), np.log10((c + 0.1) / m.floor), score)]
+            yield pa.RecordBatch.from_arrays([pa.array(row[first]), *map(pa.array, sums)], names=["row", "more_n_known", "more_base", "more_score"])
+
+    docs = of.texts.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(known, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    parts = of.resolved.select("row", "class_before", "class", "class_after", "c").mapInArrow(others, "row long, more_n_known long, more_base double, more_score double")
+    more = parts.groupBy("row").agg(*(F.sum(x).alias(x) for x in ("more_n_known", "more_base", "more_score")))
     plus = lambda x: F.col(x) + F.coalesce(f"more_{x}", F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", plus("n_known").cast("long").alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), plus("base").alias("base_score"), plus("score").alias("score"))
+    return docs.join(more, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known").cast("long").alias("n_known"), F.lit(m.train_tokens).cast("long").alias("train_tokens"), plus("base").alias("base_score"), plus("score").alias("score"))
 
 
-def class_lm(docs: DataFrame, head_words: int = HEAD_WORDS, clustered: int = CLUSTERED, classes: int = CLASSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def class_lm(docs: DataFrame, head_words: int = HEAD_WORDS, clustered: int = CLUSTERED, classes: int = CLASSES, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, model and scores over the whole table."""
-    own = narrow(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string")
-    counts = written(docs.sparkSession, word_counts(own), "word-counts")
-    return scores(own, counts, train(own, counts, head_words, clustered, classes))
+    return scores(trained(narrow(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string"), head_words, clustered, classes, least))
 
 
 def perplexity(log10_probability: float, tokens: int) -> float:
