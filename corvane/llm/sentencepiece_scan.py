@@ -1,19 +1,24 @@
 """10. SentencePiece encoding and decoding; giant documents by a max-plus parallel scan.
 
 A document up to GIANT characters is encoded whole by the library. A longer one is normalised and cut
-into chunks, which are dealt out. At a chunk's boundary the state is the piece that lies across it (or
-ends there); where a word ends the state is a plain cut, as no piece spans two words. Each chunk
-yields a matrix: the best score from each state at its start to each state at its end. The matrices
-multiply in the max-plus semiring; as that is associative, their prefix and suffix products come from
-a doubling scan, and the best state at each boundary from their sum. Each chunk is then backtraced on
-its own between its two states.
+into chunks of CHUNK characters, wherever that falls, which are dealt out. At a chunk's boundary the
+state is the piece that lies across it (or ends there). Each chunk yields a matrix: the best score from
+each state at its start to each state at its end. The matrices multiply in the max-plus semiring; as
+that is associative, their prefix and suffix products come from a doubling scan, and the best state at
+each boundary from their sum. Each chunk is then backtraced on its own between its two states.
+
+No piece spans two words (a model with one that does is scanned without this), so within a chunk every
+path passes each word start, and the chunk's matrix is a product: from its entry states to the first word
+start, the words between, each a 1x1 matrix that is remembered by word, and from the last word start to
+its exit states. Ids of giant documents come from these lattices alone.
 
 Scores. In a unigram model a piece adds its own score. In a BPE model a segmentation is that of the
 merges just if each two neighbours, merged alone, stay the two of them; so a step scores 0 if they
 do and minus infinity if not, and just one path is left.
 
 Defined results: a null or empty text has no ids; characters that no piece holds become byte pieces;
-repeated rows are encoded each; null ids stay null.
+repeated rows are encoded each; null ids stay null; round_trip tells whether the decoded ids are the
+given text (a literal space mark comes back as a space, so it is false then), at any length.
 """
 
 from __future__ import annotations
@@ -32,8 +37,6 @@ from pyspark.sql import functions as F
 from corvane.llm.common import batches_of, narrow, rows_of, written
 
 GIANT, CHUNK = 1 << 16, 1 << 15
-#: How far after its place a boundary may move to the end of a word.
-LOOK_AHEAD = 1 << 12
 SPACE = "▁"
 #: The state of a boundary between two words, and of a text's ends: (characters before it, piece).
 CUT = (0, "")
@@ -61,6 +64,19 @@ class Pieces:
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.unknown_score = min(self.scores.values()) - 10.0
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.words: dict[str, tuple[float, list[str]]] = {}
+        self.one_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+
+    def word(self, text: str) -> tuple[float, list[str]]:
+        """The best path through a whole word: its score and pieces. Short words are remembered."""
+        if (found := self.words.get(text)) is None:
+            best = forward(self, text, 0, len(text), [CUT])[len(text)]
+            found = max(of[0][0] for of in best.values()), path(self, text, 0, len(text), CUT, CUT)
+            if len(text) <= 64:
+                if len(self.words) > 200_000:
+                    self.words.clear()
+                self.words[text] = found
+        return found
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text: the best-scored merge first, the leftmost of equals."""
@@ -107,10 +123,6 @@ class Pieces:
     def normal(self, text: str) -> str:
         return self.sp.normalize(text)
 
-    def encode_words(self, normal: str) -> np.ndarray:
-        """Ids of whole words of a normalised text that begins with a space."""
-        return self.encode(normal[1:].replace(SPACE, " ")) if len(normal) > 1 else np.array(self.id_list(normal), "<u4")
-
     def spelled(self, ids: np.ndarray) -> str:
         """The normalised text of some ids."""
         table = self.bytes
@@ -125,21 +137,19 @@ def pieces_of(path: str, kind: str = "bpe") -> Pieces:
     return Pieces(path, kind)
 
 
-def is_cut(text: str, at: int) -> bool:
-    return at in (0, len(text)) or (text[at] == SPACE and text[at - 1] != SPACE)
+def is_cut(model: Pieces, text: str, at: int) -> bool:
+    """Whether no piece can lie across this place."""
+    return at in (0, len(text)) or (model.one_word and text[at] == SPACE and text[at - 1] != SPACE)
+
 
+def boundaries(text: str, chunk: int = CHUNK) -> list[int]:
+    return [*range(0, len(text), chunk), len(text)] if text else [0, 0]
 
-def boundaries(text: str, chunk: int = CHUNK, look_ahead: int = LOOK_AHEAD) -> list[int]:
-    """Places near multiples of the chunk size, at the end of a word if one is near."""
-    out = [0]
-    for p in range(chunk, len(text), chunk):
-        at = p
-        while at < min(len(text), p + look_ahead) and not is_cut(text, at):
-            at += 1
-        at = at if at < len(text) and is_cut(text, at) else p
-        if at > out[-1]:
-            out.append(at)
-    return [*out, len(text)]
+
+def word_starts(model: Pieces, text: str, start: int, end: int, cuts: tuple[bool, bool]) -> list[int]:
+    """The places of [start, end] that no piece lies across."""
+    inner = [k for k in range(start + 1, end) if text[k] == SPACE and text[k - 1] != SPACE] if model.one_word else []
+    return [*([start] if cuts[0] else []), *inner, *([end] if cuts[1] and end > start else [])]
 
 
 def states_at(model: Pieces, text: str, at: int, cut: bool) -> list[tuple[int, str]]:
@@ -182,34 +192,39 @@ def exit_place(end: int, state: tuple[int, str]) -> int:
     return end - state[0] + len(state[1])
 
 
-def matrix(model: Pieces, text: str, start: int, end: int, cuts: tuple[bool, bool]) -> tuple[list, list, np.ndarray]:
-    """States at the start, states at the end, best scores between them."""
-    entries, exits = states_at(model, text, start, cuts[0]), states_at(model, text, end, cuts[1])
+def between(model: Pieces, text: str, start: int, end: int, entries: list, exits: list) -> np.ndarray:
+    """Best scores from each entry state at start to each exit state at end, through the whole lattice."""
     out = np.full((len(entries), len(exits)), -np.inf)
-    if all(cuts):
-        out[0, 0] = 0.0  # whole words; which path they take changes no other chunk
-        return entries, exits, out
     best = forward(model, text, start, end, entries)
     for j, state in enumerate(exits):
-        at = best.get(exit_place(end, state), {})
-        for piece, of in at.items():
+        for piece, of in best.get(exit_place(end, state), {}).items():
             if state == CUT or piece == state[1]:
                 for k, (s, _) in of.items():
                     out[k, j] = max(out[k, j], s)
-    if not cuts[1]:
-        for k, (before, piece) in enumerate(entries):  # a piece that spans the whole chunk
-            for j, state in enumerate(exits):
-                if piece == state[1] and start - before == end - state[0]:
-                    out[k, j] = 0.0
-    return entries, exits, out
+    for k, (before, piece) in enumerate(entries):  # one piece lies across both ends
+        for j, state in enumerate(exits):
+            if piece and piece == state[1] and start - before == end - state[0]:
+                out[k, j] = 0.0
+    return out
 
 
-def backtrace(model: Pieces, text: str, start: int, end: int, cuts: tuple[bool, bool], entry: tuple[int, str], leave: tuple[int, str]) -> np.ndarray:
-    """Ids of the pieces after the entry state's up to the exit state's."""
-    if all(cuts):
-        return model.encode_words(text[start:end])
-    first = start - entry[0] + len(entry[1])
-    at = exit_place(end, leave)
+def matrix(model: Pieces, text: str, start: int, end: int, cuts: tuple[bool, bool]) -> tuple[list, list, np.ndarray]:
+    """States at the start, states at the end, best scores between them."""
+    entries, exits = states_at(model, text, start, cuts[0]), states_at(model, text, end, cuts[1])
+    at = word_starts(model, text, start, end, cuts)
+    if not at:
+        return entries, exits, between(model, text, start, end, entries, exits)
+    words = sum(model.word(text[a:b])[0] for a, b in zip(at, at[1:], strict=False))
+    head = between(model, text, start, at[0], entries, [CUT]) if at[0] > start else np.zeros((1, 1))
+    tail = between(model, text, at[-1], end, [CUT], exits) if at[-1] < end else np.zeros((1, 1))
+    return entries, exits, times(head + words, tail)
+
+
+def path(model: Pieces, text: str, start: int, end: int, entry: tuple[int, str], leave: tuple[int, str]) -> list[str]:
+    """The pieces after the entry state's up to the exit state's."""
+    first, at = start - entry[0] + len(entry[1]), exit_place(end, leave)
+    if at <= first:
+        return []
     best = forward(model, text, start, end, [entry])
     piece = leave[1] or max(best[at], key=lambda p: best[at][p][0][0])
     out = []
@@ -220,7 +235,19 @@ def backtrace(model: Pieces, text: str, start: int, end: int, cuts: tuple[bool,
         if at > first and model.kind != "bpe":
             before = max(best[at], key=lambda p: best[at][p][0][0])
         piece = before
-    return np.array(model.id_list(reversed(out)), "<u4")
+    return out[::-1]
+
+
+def backtrace(model: Pieces, text: str, start: int, end: int, cuts: tuple[bool, bool], entry: tuple[int, str], leave: tuple[int, str]) -> np.ndarray:
+    """Ids of the pieces after the entry state's up to the exit state's."""
+    at = word_starts(model, text, start, end, cuts)
+    if not at:
+        return np.array(model.id_list(path(model, text, start, end, entry, leave)), "<u4")
+    out = path(model, text, start, at[0], entry, CUT) if at[0] > start else []
+    for a, b in zip(at, at[1:], strict=False):
+        out += model.word(text[a:b])[1]
+    out += path(model, text, at[-1], end, CUT, leave) if at[-1] < end else []
+    return np.array(model.id_list(out), "<u4")
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -281,18 +308,19 @@ def _chunk_rows(path: str, kind: str, chunk: int):
         def rows():
             for n, (doc_id, text) in enumerate(rows_of(batches)):
                 normal = model.normal(text)
+                same = normal.replace(SPACE, " ").removeprefix(" ") == text
                 places = boundaries(normal, chunk)
                 for k, (s, e) in enumerate(zip(places, places[1:], strict=False)):
                     a, b = max(0, s - model.longest), min(len(normal), e + model.longest)
-                    yield part + n, doc_id, k, normal[a:b], s - a, e - a, is_cut(normal, s), is_cut(normal, e)
+                    yield part + n, doc_id, k, normal[a:b], s - a, e - a, is_cut(model, normal, s), is_cut(model, normal, e), same
 
-        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int32()), ("text", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cut_start", pa.bool_()), ("cut_end", pa.bool_())])
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int32()), ("text", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cut_start", pa.bool_()), ("cut_end", pa.bool_()), ("same", pa.bool_())])
         return batches_of(rows(), schema, 64)
 
     return run
 
 
-CHUNKS = "row long, doc_id long, chunk int, text string, start long, end long, cut_start boolean, cut_end boolean"
+CHUNKS = "row long, doc_id long, chunk int, text string, start long, end long, cut_start boolean, cut_end boolean, same boolean"
 
 
 def _matrices(path: str, kind: str):
@@ -331,16 +359,16 @@ def giant_ids(docs: DataFrame, path: str, kind: str = "bpe", chunk: int = CHUNK)
         model = pieces_of(path, kind)
 
         def rows():
-            for row, chunk, doc_id, text, start, end, a, b, in_before, in_piece, out_before, out_piece in rows_of(batches):
+            for row, chunk, doc_id, text, start, end, a, b, same, in_before, in_piece, out_before, out_piece in rows_of(batches):
                 entry, leave = (in_before, in_piece), (out_before, out_piece)
                 ids = backtrace(model, text, start, end, (a, b), entry, leave)
                 own = text[start - in_before + len(in_piece) : exit_place(end, leave)]
-                yield row, doc_id, chunk, ids.tolist(), len(ids), zlib.crc32(ids.tobytes()), model.spelled(ids) == own
+                yield row, doc_id, chunk, ids.tolist(), len(ids), zlib.crc32(ids.tobytes()), same and model.spelled(ids) == own
 
         schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int32()), ("ids", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())])
         return batches_of(rows(), schema, 16)
 
-    return chunks.join(states, ["row", "chunk"]).select("row", "chunk", "doc_id", "text", "start", "end", "cut_start", "cut_end", "in_before", "in_piece", "out_before", "out_piece").mapInArrow(traced, "row long, doc_id long, chunk int, ids array<long>, n_ids long, ids_crc32 long, round_trip boolean")
+    return chunks.join(states, ["row", "chunk"]).select("row", "chunk", "doc_id", "text", "start", "end", "cut_start", "cut_end", "same", "in_before", "in_piece", "out_before", "out_piece").mapInArrow(traced, "row long, doc_id long, chunk int, ids array<long>, n_ids long, ids_crc32 long, round_trip boolean")
 
 
 def _combined(group: pd.DataFrame) -> pd.DataFrame:
