@@ -148,6 +148,27 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.license_scan(df, known.limit(0), {}).filter("license_id is not null").count() == 0
 
 
+def test_whole_licence_files(spark):
+    """Files as they are distributed: titles, copyright lines, wrapped lines, long texts by their digests."""
+    import textwrap
+    from pathlib import Path
+
+    wrap = lambda x: "\n\n".join(textwrap.fill(p, 78) for p in x.split("\n"))
+    files = [(k, f"{title}\n\nCopyright (c) 2019-2024, Some Holder <a@b.org>\nAll rights reserved.\n\n{wrap(text)}\n") for k, text in license_scan.LICENSES.items() for title in license_scan.TITLES[k]]
+    files += [(k, wrap(text)) for k, text in license_scan.LICENSES.items()]
+    shared = Path("/usr/share/common-licenses")
+    for name, k in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("MPL-2.0", "MPL-2.0"), ("LGPL-2.1", "LGPL-2.1")):
+        if (shared / name).exists():
+            text = (shared / name).read_text()
+            files += [(k, text), (k, text.upper().replace("HTTP:", "https:")), (k, text.replace("\n", "\r\n"))]
+    out = license_scan.license_scan(frame(spark, [(n, t) for n, (_, t) in enumerate(files)]), license_scan.known_digests(spark))
+    assert {r["doc_id"]: r["license_id"] for r in out.collect()} == {n: k for n, (k, _) in enumerate(files)}
+    lines = [(0, "x\nLicensed under CC BY-NC 4.0.\ny"), (1, "(c) You must retain this"), (2, "copyright notice and this permission notice")]
+    rows_ = {r["doc_id"]: r for r in license_scan.license_scan(frame(spark, lines), license_scan.known_digests(spark)).collect()}
+    assert rows_[0]["notices"] == "CC-BY-NC-4.0" and rows_[1]["canonical_sha256"] == hashlib.sha256(b"c you must retain this").hexdigest()
+    assert rows_[2]["canonical_sha256"] == hashlib.sha256(b"copyright notice and this permission notice").hexdigest()
+
+
 # --- 3
 
 
