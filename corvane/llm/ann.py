@@ -1,13 +1,18 @@
 """9. Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Vectors are scaled to unit length, so the largest cosine is the smallest distance. A table hashes a
-vector by k projections on Gaussian (2-stable) directions, floor((a.v + b) / w) each. A query visits
-the bucket it falls into and perturbed ones, by -1, 0 or +1 in each projection, in order of estimated
-success (the sum of squared distances to the walls crossed). Candidates of all tables are merged and
-ranked by their exact cosine in double precision.
+vector by k projections on Gaussian (2-stable) directions, floor((a.v + b) / w) each; k grows with the
+logarithm of the number of vectors. A query visits the bucket it falls into and perturbed ones, moved by -1
+or +1 in some projections, in order of estimated success: the sum of squared distances to the walls
+crossed, for which the expected distances of a query's nearest, second nearest ... wall stand, so the order
+is made once, by a heap, and holds for every query under its own order of walls.
 
-Probes are fitted on a bounded sample of vectors: the fewest that find the asked share of the
-sample's own neighbours, which are farther than those of the whole table, so the true recall is higher.
+Index and probes hold ids only. Ids that share a bucket with a query in any table are merged to distinct
+candidates, and only then meet their vectors: of each block of queries a candidate's vector is sent once,
+with the list of the queries that ask for it, and ranked by its exact cosine in double precision.
+
+Probes are fitted to true neighbours: those of a bounded sample of queries among all vectors, found by
+comparing that sample with every row. The fewest probes that find the asked share of them are taken.
 
 Equal vectors are one class with its smallest ids, enough for any query's k nearest. A bucket with
 more rows than SALT_ROWS is dealt to as many salts as it needs, and its queries go to each of them.
@@ -15,14 +20,15 @@ A query for which the tables give too few candidates is ranked against all rows,
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no
 part, as queries or candidates; rows with a null vec_id take none; the vectors of one table have one
-length (the most frequent takes part); of rows that repeat a vec_id and vector one counts.
+length (the most frequent takes part, of equally frequent ones the shorter); of rows that repeat a vec_id
+and vector one counts; an empty table, or one without queries, gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -32,56 +38,84 @@ from pyspark.sql.window import Window as W
 
 from corvane.llm.common import narrow, written
 
-SAMPLE_ROWS, SAMPLE_QUERIES = 4096, 256
-TABLES = 2
-#: Projections of a table grow with the logarithm of the number of vectors, between these.
-LEAST_PROJECTIONS, MOST_PROJECTIONS = 4, 10
+SAMPLE_QUERIES = 256
+TABLES = 16
+LEAST_PROJECTIONS = 4
+#: So many probes of a table are tried when they are fitted; if they don't do, fewer projections are taken.
+MOST_PROBES = 4096
 #: Rows that a worker makes at once.
-ROWS_AT_ONCE = 4096
+ROWS_AT_ONCE = 65_536
 WIDTH = 2.0
-RECALL = 0.95
-SALT_ROWS = 4096
+RECALL = 0.93
+SALT_ROWS = 1024
+#: Queries whose vectors a task of the ranking holds.
+QUERY_BLOCK = 2048
 SEED = 7
 
 
+def perturbations(projections: int, most: int) -> np.ndarray:
+    """Sets of walls to cross, likeliest first, as rows of 0 and 1 over the 2 * projections walls in order of
+    their distance. Walls r and 2 * projections - 1 - r are those of one projection, so no set has both."""
+    m = projections
+    j = np.arange(1, 2 * m + 1, dtype=np.float64)
+    up = j <= m
+    # expected squared distance of the j-th nearest wall, in units of the width
+    z = np.where(up, j * (j + 1) / (4 * (m + 1) * (m + 2)), 1 - (2 * m + 1 - j) / (m + 1) + (2 * m + 1 - j) * (2 * m + 2 - j) / (4 * (m + 1) * (m + 2)))
+    out, heap = [np.zeros(2 * m, np.uint64)], [(z[0], (0,))]
+    while heap and len(out) < most:
+        cost, walls = heapq.heappop(heap)
+        last = walls[-1]
+        if last + 1 < 2 * m:
+            heapq.heappush(heap, (cost + z[last + 1], (*walls, last + 1)))
+            heapq.heappush(heap, (cost - z[last] + z[last + 1], (*walls[:-1], last + 1)))
+        if not {2 * m - 1 - w for w in walls} & set(walls):
+            row = np.zeros(2 * m, np.uint64)
+            row[list(walls)] = 1
+            out.append(row)
+    return np.array(out)
+
+
 @dataclass(frozen=True)
 class Hasher:
     directions: np.ndarray  # tables, projections, dimension; of a unit vector, projections of unit variance
     offsets: np.ndarray
-    probes: int
+    odd: np.ndarray  # tables, projections: what a cell's number is multiplied by
+    sets: np.ndarray  # perturbations, as many as are visited
 
     @classmethod
     def drawn(cls, dimension: int, tables: int, projections: int, probes: int, seed: int = SEED) -> Hasher:
         rng = np.random.default_rng(seed)
-        return cls(rng.normal(size=(tables, projections, dimension)), rng.uniform(0, WIDTH, size=(tables, projections)), probes)
+        odd = rng.integers(0, 1 << 62, (tables, projections), np.uint64) * np.uint64(2) + np.uint64(1)
+        return cls(rng.normal(size=(tables, projections, dimension)), rng.uniform(0, WIDTH, size=(tables, projections)), odd, perturbations(projections, probes))
+
+    def visiting(self, probes: int) -> Hasher:
+        return Hasher(self.directions, self.offsets, self.odd, self.sets[:probes])
 
     def projected(self, unit: np.ndarray, table: int) -> np.ndarray:
         return (unit @ self.directions[table].T + self.offsets[table]) / WIDTH
 
-    def keys(self, unit: np.ndarray, table: int) -> np.ndarray:
-        return self.key(np.floor(self.projected(unit, table)).astype(np.int64), table)
+    def sums(self, cells: np.ndarray, table: int) -> np.ndarray:
+        return (cells.astype(np.int64).view(np.uint64) * self.odd[table]).sum(axis=1, dtype=np.uint64)
 
     @staticmethod
-    def key(cells: np.ndarray, table: int) -> np.ndarray:
-        """A bucket's key: the table and 6 bits for each cell (clipped; equal for index and queries)."""
-        out = np.full(cells.shape[:-1], table, np.int64)
-        for j in range(cells.shape[-1]):
-            out = out * 64 + np.clip(cells[..., j] + 32, 0, 63)
-        return out
+    def key(sums: np.ndarray, table: int) -> np.ndarray:
+        """A bucket's key: a 64-bit digest of its cells and table. Two buckets of one key only share candidates."""
+        x = sums + np.uint64(table * 0x9E3779B97F4A7C15 % 2**64)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+        return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+    def keys(self, unit: np.ndarray, table: int) -> np.ndarray:
+        return self.key(self.sums(np.floor(self.projected(unit, table)), table), table)
 
     def probe_keys(self, unit: np.ndarray, table: int) -> np.ndarray:
         """Keys of the buckets to visit, likeliest first: one row a query."""
         at = self.projected(unit, table)
         cells = np.floor(at)
         inside = at - cells
-        moves = np.array([*product((-1, 0, 1), repeat=at.shape[1])], np.int64)
-        cost = np.stack((inside**2, np.zeros_like(inside), (1 - inside) ** 2), axis=2)  # queries, projections, move
-        out = []
-        for c, own in zip(cost, cells.astype(np.int64), strict=True):
-            total = c[np.arange(len(own)), moves + 1].sum(axis=1)
-            best = np.argsort(total, kind="stable")[: self.probes]
-            out.append(self.key(own + moves[best], table))
-        return np.array(out).reshape(len(unit), -1)
+        order = np.argsort(np.concatenate((inside, 1 - inside), axis=1), axis=1, kind="stable")
+        step = np.concatenate((-self.odd[table].view(np.int64), self.odd[table].view(np.int64))).view(np.uint64)
+        return self.key(self.sums(cells, table)[:, None] + step[order] @ self.sets.T, table)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -90,28 +124,26 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def projections_for(n: int) -> int:
-    return min(MOST_PROJECTIONS, max(LEAST_PROJECTIONS, round(np.log2(max(n, 2)) / 3)))
-
-
-def fitted(sample: np.ndarray, k: int, tables: int = TABLES, projections: int = LEAST_PROJECTIONS, recall: float = RECALL, queries: int = SAMPLE_QUERIES) -> Hasher:
-    """The hasher with the fewest probes that reach the recall on the sample."""
-    most = 3**projections
-    hasher = Hasher.drawn(sample.shape[1], tables, projections, most)
-    u = unit(sample)
-    q = u[:queries]
-    if len(u) <= k + 1:
-        return hasher
-    cosine = q @ u.T
-    cosine[np.arange(len(q)), np.arange(len(q))] = -np.inf
-    nearest = np.argsort(-cosine, axis=1)[:, :k]
-    place = np.full((len(q), k), most, np.int64)  # the first probe that finds a neighbour, in any table
-    for t in range(tables):
-        keys, own = hasher.probe_keys(q, t), hasher.keys(u, t)
-        for i in range(len(q)):
-            at = {key: p for p, key in reversed([*enumerate(keys[i].tolist())])}
-            place[i] = np.minimum(place[i], [at.get(x, most) for x in own[nearest[i]].tolist()])
-    probes = int(np.sort(place, axis=None)[min(place.size - 1, int(np.ceil(recall * place.size)))]) + 1
-    return Hasher(hasher.directions, hasher.offsets, min(most, probes))
+    return max(LEAST_PROJECTIONS, round(np.log2(max(n, 2))) - 2)
+
+
+def fitted(queries: np.ndarray, neighbours: np.ndarray, of: np.ndarray, tables: int = TABLES, projections: int = LEAST_PROJECTIONS, recall: float = RECALL) -> Hasher:
+    """The hasher with the fewest probes that find the asked share of the neighbours; neighbours[i] is one of
+    queries[of[i]]. Where MOST_PROBES don't find it, with one projection less, down to none left out."""
+    while True:
+        hasher = Hasher.drawn(queries.shape[1], tables, projections, MOST_PROBES)
+        most = len(hasher.sets)
+        place = np.full(len(of), most, np.int64)  # the first probe that finds a neighbour, in any table
+        q, v = unit(queries), unit(neighbours)
+        for t in range(tables):
+            own = hasher.keys(v, t)
+            for s in range(0, len(of), 512):
+                found = hasher.probe_keys(q[of[s : s + 512]], t) == own[s : s + 512, None]
+                place[s : s + 512] = np.minimum(place[s : s + 512], np.where(found.any(axis=1), found.argmax(axis=1), most))
+        needed = int(np.sort(place)[max(0, int(np.ceil(recall * len(place))) - 1)]) if len(place) else most - 1
+        if needed < most or projections == 1:
+            return hasher.visiting(min(most, needed + 1))
+        projections -= 1
 
 
 def _type(vectors: DataFrame) -> str:
@@ -141,18 +173,17 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _keyed(hasher: Hasher, probes: bool):
-    """(key, id, vector) of index rows, or of queries for each bucket that they visit."""
+    """(key, id) of index rows, or of queries for each bucket that they visit, from (id, vector)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, ROWS_AT_ONCE // hasher.probes) if probes else ROWS_AT_ONCE
+        step = max(1, ROWS_AT_ONCE // len(hasher.sets)) if probes else ROWS_AT_ONCE
         for batch in batches:
             for s in range(0, batch.num_rows, step):
                 part = batch.slice(s, step)
-                u = unit(_vectors(part.column(1)))
+                u, ids = unit(_vectors(part.column(1))), np.asarray(part.column(0))
                 for t in range(len(hasher.directions)):
                     keys = hasher.probe_keys(u, t) if probes else hasher.keys(u, t)[:, None]
-                    at = np.repeat(np.arange(len(u)), keys.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at))], names=["key", "id", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(ids, keys.shape[1]))], names=["key", "id"])
 
     return run
 
@@ -219,14 +250,115 @@ def _ranked(keep: int):
     return run
 
 
-def _in_buckets(index: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
-    """query, class, score of the nearest, from (key, id, vector) on both sides."""
+def candidates(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """Distinct (query, class) pairs that share a bucket, from (key, id) on both sides. Large buckets are dealt."""
     sizes = index.groupBy("key").count().filter(F.col("count") > SALT_ROWS).select("key", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
     salts = F.coalesce("salts", F.lit(1))
-    left = index.join(sizes, "key", "left").select("key", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.lit(0).alias("side"), "id", "vector")
-    right = queries.join(index.select("key").distinct(), "key", "left_semi").join(sizes, "key", "left").select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(1).alias("side"), "id", "vector")
-    both = left.unionByName(right).repartition("key", "salt").sortWithinPartitions("key", "salt", "side")
-    return both.mapInArrow(_ranked(keep), RANKED)
+    left = index.join(sizes, "key", "left").select("key", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.col("id").alias("class"))
+    right = probes.join(sizes, "key", "left").select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("id").alias("query"))
+    return left.join(right, ["key", "salt"]).select("query", "class").distinct()
+
+
+def _scored(keep: int):
+    """From rows (block, salt, side, id, vector, queries), sorted by the first three: side 0 are a block's
+    queries, side 1 its candidates with the queries that ask for each. The nearest of each query."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, vectors, found, held = None, [], [], [], 0
+
+        def out():
+            q, c, s = _best(found, keep)
+            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=["query", "class", "score"])
+
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(k)) for k in (0, 1, 2)], axis=1)
+            cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                ids, v = np.asarray(part.column(3)), _vectors(part.column(4))
+                if (bucket := tuple(keys[a, :2])) != now:
+                    now, names, vectors = bucket, [], []
+                if keys[a, 2] == 0:
+                    names.append(ids)
+                    vectors.append(v)
+                    continue
+                q_ids, q = np.concatenate(names), np.concatenate(vectors)
+                order = np.argsort(q_ids)
+                q_ids, q = q_ids[order], q[order]
+                norm = np.sqrt((q * q).sum(axis=1))
+                lists = part.column(5)
+                of = np.repeat(np.arange(len(ids)), np.diff(np.asarray(lists.offsets)))
+                at = np.searchsorted(q_ids, np.asarray(lists.flatten()))
+                own = np.sqrt((v * v).sum(axis=1))
+                for s in range(0, len(of), ROWS_AT_ONCE):
+                    x, y = of[s : s + ROWS_AT_ONCE], at[s : s + ROWS_AT_ONCE]
+                    # the exact measure, summed in one order whatever the block
+                    score = (q[y] * v[x]).sum(axis=1) / (norm[y] * own[x])
+                    found.append((q_ids[y], ids[x], score))
+                    held += len(x)
+                    if held > 400_000:
+                        found[:] = [_best(found, keep)]
+                        held = len(found[0][0])
+            if held > 200_000:
+                yield out()
+                found, held = [], 0
+        if found:
+            yield out()
+
+    return run
+
+
+def ranked(pairs: DataFrame, classes: DataFrame, searched: DataFrame, keep: int) -> DataFrame:
+    """query, class, score of the nearest by exact cosine. pairs: (query, class); classes: (class, vector);
+    searched: (id, vector) of the queries."""
+    n = searched.count()
+    blocks, salts = max(1, -(-n // QUERY_BLOCK)), max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salts = max(1, -(-salts // blocks))
+    block = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks)).cast("int").alias("block")
+    asked = pairs.groupBy(block("query"), "class").agg(F.collect_list("query").alias("queries"))
+    right = asked.join(classes.select("class", "vector"), "class").select("block", F.pmod(F.xxhash64("class", F.lit(1)), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("side"), F.col("class").alias("id"), "vector", "queries")
+    none = F.array().cast("array<long>")
+    left = searched.select(block("id"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("side"), "id", "vector", none.alias("queries"))
+    both = left.unionByName(right).repartition("block", "salt").sortWithinPartitions("block", "salt", "side")
+    return both.mapInArrow(_scored(keep), RANKED)
+
+
+def _of_sample(sample: np.ndarray, names: np.ndarray, keep: int):
+    """From (class, vector) rows: the nearest to each of a few queries, in each task, with their vectors."""
+
+    def run(batches):
+        u, found, vectors = unit(sample), [], {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, v = np.asarray(batch.column(0)), _vectors(batch.column(1))
+            near = u @ unit(v).T
+            near[names[:, None] == ids[None, :]] = -np.inf
+            k = min(keep, len(ids))
+            best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            found.append((np.repeat(np.arange(len(u)), k), ids[best].reshape(-1), np.take_along_axis(near, best, 1).reshape(-1)))
+            vectors |= {int(ids[x]): v[x] for x in np.unique(best)}
+            q, c, s = _best(found, keep)
+            found = [(q, c, s)]
+            kept = set(c.tolist())
+            vectors = {i: x for i, x in vectors.items() if i in kept}
+        if found:
+            q, c, s = found[0]
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s), pa.array([vectors[int(x)].tolist() for x in c], kind)], names=["query", "class", "score", "vector"])
+
+    return run
+
+
+def true_neighbours(classes: DataFrame, names: np.ndarray, sample: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest vectors of each sample query among all, and the query of each: 256 * k rows reach the driver."""
+    found = classes.select("class", "vector").mapInArrow(_of_sample(sample, names, k), "query long, class long, score double, vector array<double>")
+    at = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "class"))
+    near = found.withColumn("at", at).filter((F.col("at") <= k) & (F.col("score") > -2)).select("query", "vector").collect()
+    dimension = sample.shape[1]
+    return np.array([r["vector"] for r in near], np.float64).reshape(-1, dimension), np.array([r["query"] for r in near], np.int64)
 
 
 def _nearest(found: DataFrame, keep: int) -> DataFrame:
@@ -238,32 +370,54 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLE
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every` its k nearest."""
     spark = vectors.sparkSession
     classes = written(spark, classes_of(vectors, k), "ann-classes")
-    sample = classes.select("vector").limit(SAMPLE_ROWS).collect()
+    total = classes.count()
     schema = "query_id long, rank int, vec_id long, score double"
+    sample = classes.select("class", "vector").orderBy(F.xxhash64("class", F.lit(SEED)), "class").limit(SAMPLE_QUERIES).collect()
     if not sample:
         return spark.createDataFrame([], schema)
-    hasher = fitted(np.array([r["vector"] for r in sample], np.float64), k, tables, projections or projections_for(classes.count()), recall)
+    names, own = np.array([r["class"] for r in sample], np.int64), np.array([r["vector"] for r in sample], np.float64)
+    hasher = fitted(own, *true_neighbours(classes, names, own, k), tables, projections or projections_for(total), recall)
     # a query is searched once for each distinct vector, under the name of its class
     named = queries_of(vectors, every).join(classes, "vector").select("vec_id", "class")
-    searched = classes.join(named.select("class").distinct(), "class", "left_semi").select(F.col("class").alias("id"), "vector")
-    keyed = f"key long, id long, vector {_type(vectors)}"
-    index = classes.select(F.col("class").alias("id"), "vector").mapInArrow(_keyed(hasher, False), keyed)
-    probes = searched.mapInArrow(_keyed(hasher, True), keyed)
+    searched = written(spark, classes.join(named.select("class").distinct(), "class", "left_semi").select(F.col("class").alias("id"), "vector"), "ann-queries")
+    index = classes.select(F.col("class").alias("id"), "vector").mapInArrow(_keyed(hasher, False), "key long, id long")
+    probes = searched.mapInArrow(_keyed(hasher, True), "key long, id long")
     keep = k + 1
-    found = written(spark, _nearest(_in_buckets(index, probes, keep), keep), "ann-found")
-    enough = min(keep, classes.limit(keep).count())
+    found = written(spark, _nearest(ranked(candidates(index, probes), classes, searched, keep), keep), "ann-found")
+    enough = min(keep, total)
     short = searched.join(found.groupBy("query").count().filter(F.col("count") >= enough).select(F.col("query").alias("id")), "id", "left_anti")
     short = written(spark, short, "ann-short")
-    if short.limit(1).count():
-        blocks = max(1, classes.count() // SALT_ROWS)
-        everything = classes.select(F.pmod("class", F.lit(blocks)).cast("long").alias("key"), F.col("class").alias("id"), "vector")
-        asked = short.select(F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("key"), "id", "vector")
-        found = _nearest(found.unionByName(_in_buckets(everything, asked, keep)), keep)
+    if n := short.count():
+        # each part of the rows meets each block of these queries once
+        parts = max(1, total // SALT_ROWS)
+        blocks = max(1, -(-n // QUERY_BLOCK))
+        upto = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
+        mine = short.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), upto(parts).alias("part"), F.col("id").alias("query"))
+        lists = mine.groupBy("block", "part").agg(F.collect_list("query").alias("queries"))
+        rows = classes.select("class", "vector", F.pmod(F.xxhash64("class"), F.lit(parts)).cast("int").alias("part"))
+        right = rows.join(lists, "part").select("block", F.col("part").alias("salt"), F.lit(1).alias("side"), F.col("class").alias("id"), "vector", "queries")
+        left = short.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), upto(parts).alias("salt"), F.lit(0).alias("side"), "id", "vector", F.array().cast("array<long>").alias("queries"))
+        both = left.unionByName(right).repartition("block", "salt").sortWithinPartitions("block", "salt", "side")
+        found = _nearest(found.unionByName(both.mapInArrow(_scored(keep), RANKED)), keep)
     listed = found.join(classes.select("class", "ids"), "class").select(F.col("query").alias("class"), "score", F.explode("ids").alias("vec_id"))
     pairs = named.withColumnRenamed("vec_id", "query_id").join(listed, "class").filter("vec_id <> query_id")
     at = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", at).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def share_ranked(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECALL) -> tuple[int, float]:
+    """Projections of a table, and the mean share of all distinct vectors that a query is compared with."""
+    spark = vectors.sparkSession
+    classes = written(spark, classes_of(vectors, k), "ann-classes")
+    total = classes.count()
+    sample = classes.select("class", "vector").orderBy(F.xxhash64("class", F.lit(SEED)), "class").limit(SAMPLE_QUERIES).collect()
+    names, own = np.array([r["class"] for r in sample], np.int64), np.array([r["vector"] for r in sample], np.float64)
+    hasher = fitted(own, *true_neighbours(classes, names, own, k), TABLES, projections_for(total), recall)
+    searched = classes.filter(f"class % {every} = 0").select(F.col("class").alias("id"), "vector")
+    index = classes.select(F.col("class").alias("id"), "vector").mapInArrow(_keyed(hasher, False), "key long, id long")
+    pairs = candidates(index, searched.mapInArrow(_keyed(hasher, True), "key long, id long")).count()
+    return hasher.directions.shape[1], pairs / total / max(1, searched.count())
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -180,7 +180,34 @@ def test_odd_vectors(spark):
 
 
 def test_probes_come_in_order_of_estimated_success():
+    sets = ann.perturbations(4, 1000)
+    assert len(sets) == 81 == len({tuple(x) for x in sets.tolist()})  # -1, 0 or +1 in each of 4 projections
+    assert not (sets[:, :4] * sets[:, :3:-1]).any() and not sets[0].any() and sets[1].tolist() == [1] + [0] * 7
     h = ann.Hasher.drawn(8, 2, 4, 81)
     u = ann.unit(np.random.default_rng(0).normal(size=(50, 8)))
     keys = h.probe_keys(u, 0)
     assert (keys[:, 0] == h.keys(u, 0)).all() and all(len(set(k)) == 81 for k in keys.tolist())
+    # what a probe visits is the bucket of a point just beyond the walls it crosses
+    at = h.projected(u, 0)
+    cells, inside = np.floor(at), at - np.floor(at)
+    for i in range(50):
+        order = np.argsort(np.concatenate((inside[i], 1 - inside[i])), kind="stable")
+        for s, key in zip(h.sets, keys[i], strict=True):
+            moved = cells[i].copy()
+            for r in np.flatnonzero(s):
+                moved[order[r] % 4] += -1 if order[r] < 4 else 1
+            assert h.key(h.sums(moved[None], 0), 0)[0] == key
+
+
+def test_fitted_probes_find_the_asked_share():
+    rng = np.random.default_rng(3)
+    q = rng.normal(size=(40, 16))
+    near = np.repeat(q, 5, axis=0) + 0.5 * rng.normal(size=(200, 16))
+    of = np.repeat(np.arange(40), 5)
+    for asked in (0.5, 0.95):
+        h = ann.fitted(q, near, of, 4, 9, asked)
+        found = np.zeros(200, bool)
+        for t in range(4):
+            found |= (h.probe_keys(ann.unit(q)[of], t) == h.keys(ann.unit(near), t)[:, None]).any(axis=1)
+        assert asked <= found.mean() < asked + 0.1
+    assert ann.projections_for(10**9) > ann.projections_for(10**6) > ann.projections_for(10**3)
