@@ -15,10 +15,12 @@ that similar are linked too. Such texts may differ in many bits, so candidates c
 BANDS keys of ROWS min-hashes each, of which a pair at 0.8 shares one with probability 0.99998. What
 links is the exact similarity. Texts under a key are first compared with the next one in an order of the
 key's own. Of texts that share a key with one of another component the private shingles are counted,
-those that none of the others has: they bound the similarity of every pair. Each text is then compared
-with the one under its key that has fewest of its own, and at last all pairs under a key that are still in
-different components and may reach the threshold by that bound. So no link is left out, and a large group
-of near copies costs pairs only for texts that could link and have not.
+those that none of the others has, and each text is compared with the key's leader, the one with fewest of
+them. So each text has shingles that the leader has, shingles that others but not the leader have, and
+private ones; the smaller number of the first kind and of the second bound what two texts have in common.
+At last all pairs under a key are compared that are still in different components and may reach the
+threshold by that bound. So no link is left out, and a large group of near copies costs pairs only for
+texts that could link and have not.
 
 Components come from alternating star contractions; each round's edges are a table in the shared
 folder. Defined results: a text without words (null, empty) has fingerprint 0 and is linked like any
@@ -123,23 +125,29 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, key long, size long, bands array<long>")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
-    """Edges (a, b) between fingerprints of the pairs (x, y: structs of key, fp, size) that reach jaccard."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, y (structs of key, fp, size, ...) of the pairs, with how many shingles are in common."""
+    spark = pairs.sparkSession
 
     def run(batches):
         def rows():
-            for a, b, left, right in rows_of(batches):
+            for kx, ky, left, right in rows_of(batches):
                 left, right = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                if common / (len(left) + len(right) - common) >= jaccard:
-                    yield a, b
+                yield kx, ky, len(np.intersect1d(left, right, assume_unique=True))
 
-        return batches_of(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        return batches_of(rows(), pa.schema([("kx", pa.int64()), ("ky", pa.int64()), ("common", pa.int64())]))
 
-    own = pairs.select(F.col("x.key").alias("kx"), F.col("y.key").alias("ky"), F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    pairs = written(spark, pairs, "shingle-pairs")
+    own = pairs.select(F.col("x.key").alias("kx"), F.col("y.key").alias("ky")).distinct()
     own = own.join(sets.select(F.col("key").alias("kx"), F.col("hashes").alias("left")), "kx").join(sets.select(F.col("key").alias("ky"), F.col("hashes").alias("right")), "ky")
-    found = own.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = own.select("kx", "ky", "left", "right").mapInArrow(run, "kx long, ky long, common long")
+    return pairs.join(found, (pairs["x.key"] == found["kx"]) & (pairs["y.key"] == found["ky"])).drop("kx", "ky")
+
+
+def similar(found: DataFrame, jaccard: float) -> DataFrame:
+    """Edges (a, b) between fingerprints of the pairs that reach jaccard."""
+    near = found.filter(f"x.fp <> y.fp and common >= {jaccard} * (x.size + y.size - common)")
+    return near.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
 
 
 def jaccard_links(docs: DataFrame, prints: DataFrame, edges: DataFrame, jaccard: float, text_col: str = "text") -> DataFrame:
@@ -168,8 +176,8 @@ def jaccard_links(docs: DataFrame, prints: DataFrame, edges: DataFrame, jaccard:
     own = narrow(docs, text=f"{text_col}:string").select(F.xxhash64("text").alias("key"), "text")
     own = own.join(index.select("x.key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     sets = written(spark, own.mapInArrow(hashed, "key long, hashes binary"), "shingle-sets")
-    tried = written(spark, in_order(index.filter("y is not null").select("x", "y")), "shingle-pairs")
-    edges = written(spark, edges.unionByName(similar(tried, sets, jaccard)).distinct(), "shingle-links")
+    tried = in_order(index.filter("y is not null").select("x", "y"))
+    edges = written(spark, edges.unionByName(similar(overlaps(tried, sets), jaccard)).distinct(), "shingle-links")
 
     def apart(entries: DataFrame, edges: DataFrame) -> DataFrame:
         """Entries with the component c of each text, where a key joins more than one."""
@@ -187,20 +195,25 @@ def jaccard_links(docs: DataFrame, prints: DataFrame, edges: DataFrame, jaccard:
     parted = apart(index.select("entry", "x"), edges)
     shingles = sets.join(parted.select("x.key").distinct(), "key", "left_semi").mapInArrow(each_shingle, "key long, h long")
     private = shingles.groupBy("h").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("texts")).filter("texts = 1").groupBy("key").agg(F.count(F.lit(1)).alias("own"))
-    bounded = parted.join(private, parted["x.key"] == private["key"], "left").drop("key", "c")
-    bounded = bounded.select("entry", F.struct("x.key", "x.fp", "x.size", (F.col("x.size") - F.coalesce("own", F.lit(0))).alias("shared")).alias("x"))
+    bounded = parted.join(private, parted["x.key"] == private["key"], "left").select("entry", "x", F.coalesce("own", F.lit(0)).alias("own"))
     bounded = written(spark, bounded, "shingle-bounds")
-    least = bounded.groupBy("entry").agg(F.min_by("x", F.struct(F.expr("x.size - x.shared"), F.col("x.key"))).alias("y"), F.count(F.lit(1)).alias("n"))
-    reach = f"least(x.shared, y.shared) >= {jaccard / (1 + jaccard)} * (x.size + y.size) - 1e-6"
-    led = in_order(joined_by_group(bounded, least, "entry", bounded.count()).filter(reach).select("x", "y"))
-    edges = written(spark, edges.unionByName(similar(written(spark, led, "shingle-led"), sets, jaccard)).distinct(), "shingle-links")
-    left = apart(bounded, edges)
+    least = bounded.groupBy("entry").agg(F.min_by("x", F.struct("own", "x.key")).alias("y"), F.count(F.lit(1)).alias("n"))
+    led = written(spark, joined_by_group(bounded, least, "entry", bounded.count()), "shingle-led")
+    common = written(spark, overlaps(led.filter("x.key <> y.key").select("x", "y").distinct(), sets), "shingle-overlaps")
+    edges = written(spark, edges.unionByName(similar(common, jaccard)).distinct(), "shingle-links")
+    with_leader = common.select(F.col("x.key").alias("kx"), F.col("y.key").alias("ky"), "common")
+    led = led.join(with_leader, (led["x.key"] == with_leader["kx"]) & (led["y.key"] == with_leader["ky"]), "left").select(
+        "entry", F.struct("x.key", "x.fp", "x.size", F.coalesce("common", "x.size").alias("led"), F.when(F.col("common").isNull(), 0).otherwise(F.expr("x.size - common - own")).alias("other")).alias("x")
+    )
+    left = apart(led, edges)
+    share = jaccard / (1 + jaccard)
     # a text that not even the shortest under its key can match goes before pairs are made
     sizes = left.groupBy("entry").agg(F.min("x.size").alias("shortest"), F.count(F.lit(1)).alias("n"))
-    left = joined_by_group(left, sizes, "entry", left.count()).filter(f"x.shared >= {jaccard / (1 + jaccard)} * (x.size + greatest(shortest, x.shared)) - 1e-6").drop("shortest")
+    left = joined_by_group(left, sizes, "entry", left.count()).filter(f"x.led + x.other >= {share} * (x.size + greatest(shortest, x.led + x.other)) - 1e-6").drop("shortest")
     left = written(spark, left, "shingle-left")
+    reach = f"least(x.led, y.led) + least(x.other, y.other) >= {share} * (x.size + y.size) - 1e-6"
     rest = in_order(left.join(left.select("entry", F.col("x").alias("y"), F.col("c").alias("d")), "entry").filter("c < d").filter(reach).select("x", "y"))
-    return edges.unionByName(similar(written(spark, rest, "shingle-rest"), sets, jaccard)).distinct()
+    return edges.unionByName(similar(overlaps(rest, sets), jaccard)).distinct()
 
 
 def links(prints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
