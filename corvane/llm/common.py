@@ -36,13 +36,13 @@ def narrow(docs: DataFrame, **columns: str) -> DataFrame:
 
 
 #: Groups up to so many rows are left to one task; of larger ones, of over one row in a thousand, there are at most a thousand.
-GROUP_ROWS, HOT_GROUPS = 10_000, 1000
+GROUP_ROWS, HOT_GROUPS = 1000, 1000
 
 
 def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
     """rows joined on a key to groups (one row a key, with n, its number of rows) where there are `total`
     rows. The large groups' side is broadcast, so their rows stay where they are."""
-    if total <= GROUP_ROWS:
+    if total <= 10 * GROUP_ROWS:
         return rows.join(groups.drop("n"), key)
     large = F.col("n") > max(GROUP_ROWS, total // HOT_GROUPS)
     hot = F.broadcast(groups.filter(large).drop("n"))
