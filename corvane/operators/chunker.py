@@ -34,16 +34,18 @@ def chunked(sentences: list[str], embedder: Embedder, max_tokens: int = MAX_TOKE
     if len(sentences) <= 1:
         return [sentences] if sentences else []
     vectors = np.asarray(embedder(sentences), np.float64)
-    out, current, tokens = [], [0], estimate(sentences[0])
+    sizes = [estimate(x) for x in sentences]
+    out, current, tokens, total = [], [0], sizes[0], vectors[0].copy()
     for k in range(1, len(sentences)):
-        more = estimate(sentences[k])
-        if cosine(vectors[current].mean(axis=0), vectors[k]) < threshold or tokens + more > max_tokens:
+        # the mean's direction is the sum's
+        if cosine(total, vectors[k]) < threshold or tokens + sizes[k] > max_tokens:
             out.append(current)
             current = [*(current[-overlap:] if overlap else []), k]
-            tokens = sum(estimate(sentences[i]) for i in current)
+            tokens, total = sum(sizes[i] for i in current), vectors[current].sum(axis=0)
         else:
-            current = [*current, k]
-            tokens += more
+            current.append(k)
+            tokens += sizes[k]
+            total += vectors[k]
     return [[sentences[i] for i in c] for c in [*out, current]]
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
 
+TIMEOUT = 30.0
+
+
 @dataclass(frozen=True)
 class Tool:
     name: str
@@ -47,8 +52,25 @@ class ToolRegistry:
         except Exception as e:
             return {"success": False, "output": None, "error": str(e)}
 
-    def execute_many(self, calls: list[tuple[str, dict]]) -> list[dict]:
-        return [self.execute(name, **arguments) for name, arguments in calls]
+    def execute_many(self, calls: list[tuple[str, dict]], timeout: float | None = TIMEOUT, parallel: bool = True) -> list[dict]:
+        """Results in the order of the calls, at the same time or one by one. A call that takes over `timeout`
+        seconds is a failed result; its thread is left to end."""
+        pool = ThreadPoolExecutor(max_workers=max(1, len(calls)) if parallel else 1)
+        started = [pool.submit(self.execute, name, **arguments) for name, arguments in calls] if parallel else []
+        out, began = [], time.monotonic()
+        for k, (name, arguments) in enumerate(calls):
+            if not parallel:
+                began = time.monotonic()
+                started.append(pool.submit(self.execute, name, **arguments))
+            try:
+                left = None if timeout is None else max(0.0, began + timeout - time.monotonic())
+                out.append(started[k].result(left))
+            except TimeoutError:
+                out.append({"success": False, "output": None, "error": f"timed out after {timeout:g} s"})
+                if not parallel:
+                    pool = ThreadPoolExecutor(max_workers=1)
+        pool.shutdown(wait=False)
+        return out
 
 
 class Approvals:
@@ -87,3 +109,28 @@ def formatted_hits(hits: list[dict]) -> str:
 
 def formatted_findings(findings: list[dict], most: int = 500) -> str:
     return "\n\n".join(f"[{i}] {f['source']}:\n{f['content'][:most]}{'...' if len(f['content']) > most else ''}" for i, f in enumerate(findings, 1))
+
+
+def document_search(search: Callable[[str, int, str | None], list[dict]]) -> Tool:
+    """The tool that searches the documents: search(query, top_k, doc_id) -> hits with text, filename, page_num."""
+
+    def run(query: str = "", top_k: int = 5, doc_id: str | None = None) -> str:
+        if not query:
+            raise ValueError("a query is required")
+        hits = search(query, top_k, doc_id)
+        return formatted_hits(hits) if hits else "No document matches this query."
+
+    parameters = {
+        "type": "object",
+        "properties": {"query": {"type": "string"}, "top_k": {"type": "integer", "default": 5}, "doc_id": {"type": "string"}},
+        "required": ["query"],
+    }
+    return Tool("document_search", run, "Passages of the documents that answer a query, with their sources.", parameters)
+
+
+def researched(registry: ToolRegistry, query: str, top_k: int = 5, confidence: float = 0.9) -> list[dict]:
+    """A first look into the documents, before any other step; nothing if there is no such tool or it fails."""
+    if registry.get("document_search") is None:
+        return []
+    found = registry.execute("document_search", query=query, top_k=top_k)
+    return [{"source": "document_search", "content": found["output"], "confidence": confidence}] if found["success"] else []

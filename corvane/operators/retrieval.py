@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corvane.functions.text import content_type, table_caption
-from corvane.operators import fusion
-from corvane.operators.plugins import Scorer, reranked
+from corvane.operators import bm25, context, fusion, vector
+from corvane.operators.plugins import Embedder, Scorer, embedded, reranked
+from corvane.sources.shared import written
 
 
 def candidate_count(k: int, fast: bool = False) -> int:
@@ -49,6 +50,44 @@ def fast_search(vector: DataFrame | None, keyword: DataFrame | None, items: Data
     return reranked(found.filter(F.col("rank") <= 20), queries, k, scorer)
 
 
+def search(
+    sentences: DataFrame,
+    vectors: DataFrame,
+    queries: DataFrame,
+    embedder: Embedder,
+    k: int = 3,
+    alpha: float = 0.5,
+    method: str = "weighted",
+    where: Column | None = None,
+    fast: bool = False,
+    paragraphs: bool = True,
+    scorer: Scorer | None = None,
+) -> DataFrame:
+    """query_id, rank, score, id, doc_id, page_num, paragraph_id, text for queries (query_id, query).
+
+    sentences: id, doc_id, page_num, paragraph_id, char_offset_start, text; vectors: id, embedding. Both
+    indexes are asked, their lists fused, and each hit gets its paragraph's text (paragraphs) or its own.
+    where: a condition on sentences (a document, pages), under which hits are found; it doesn't change scores.
+    """
+    most = candidate_count(k, fast)
+    wanted = most if fast else fetch_count(k)
+    keep = None if where is None else sentences.filter(where).select("id")
+    keyword = bm25.search(sentences, queries, wanted, keep=keep)
+    asked = embedded(queries, embedder, "query", "query_vector").select("query_id", "query_vector")
+    own = vectors if keep is None else vectors.join(keep, "id", "left_semi")
+    near = vector.batch_top_k(own, asked, wanted, id_col="id")
+    top = fused(near, keyword, "weighted" if fast else method, alpha, most)
+    top = written(sentences.sparkSession, top, "search-hits")  # at most `most` rows a query
+    hits = top.join(sentences.select("id", "doc_id", "page_num", "paragraph_id", "text"), "id")
+    if paragraphs:
+        whole = context.paragraph_contexts(sentences.select("doc_id", "paragraph_id", "page_num", "char_offset_start", "id", "text"), hits.select(F.col("id").alias("target_id"), "doc_id", "paragraph_id").distinct())
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_num", "char_offset_start", "id", "text"))), lambda x: x["text"]), " ")
+        hits = hits.drop("text").join(whole.groupBy(F.col("target_id").alias("id")).agg(text.alias("text")), "id")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+    out = reranked(hits.withColumn("rank", rank).filter(F.col("rank") <= (20 if fast else most)), queries, k, scorer)
+    return out.select("query_id", "rank", "score", "id", "doc_id", "page_num", "paragraph_id", "text")
+
+
 def fallback_summary(chunks: Column, kind: Column) -> Column:
     """Of an ordered array of (text, page_num): captions of tables, else both ends of the text."""
     first = F.substring(F.get(chunks, F.lit(0))["text"], 1, 200)

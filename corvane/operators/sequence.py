@@ -95,3 +95,16 @@ def chat_history(messages: DataFrame, limit: int = 50, newest: bool = False, by:
 
 def sessions(messages: DataFrame, by: str = "conv_id", order: str = "turn") -> DataFrame:
     return messages.groupBy(by).agg(F.count(F.lit(1)).alias("message_count"), F.min(order).alias("first"), F.max(order).alias("last"))
+
+
+def sessions_of_log(log: DataFrame) -> DataFrame:
+    """session_id, created_at, updated_at, metadata of the live sessions of an append-only log (session_id, op,
+    ts, metadata), op being create, update or delete.
+
+    A delete ends a session, and what comes later begins a new one; the last metadata given counts. An
+    update of a session that isn't there creates it. Of one time, updates come first and deletes last.
+    """
+    at = F.struct("ts", F.when(F.col("op") == "delete", 2).when(F.col("op") == "create", 1).otherwise(0))
+    gone = log.filter("op = 'delete'").groupBy("session_id").agg(F.max(at).alias("__gone"))
+    own = log.filter("op <> 'delete'").withColumn("__at", at).join(gone, "session_id", "left").filter("__gone is null or __at > __gone")
+    return own.groupBy("session_id").agg(F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), F.max_by("metadata", F.struct("__at", "metadata")).alias("metadata"))

@@ -259,3 +259,15 @@ def batched_summary(spark, sf_dir):
 
     own = paragraphs(table(spark, sf_dir, "documents")).select("doc_id", F.col("pos").alias("rank"), F.col("para").alias("text"))
     return chunker.batched_summaries(own, extractive_summary)
+
+
+@query(
+    "session_log",
+    """WITH l AS (SELECT user_id AS session_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS op, ts, props AS metadata FROM events),
+g AS (SELECT session_id, max(ts) AS gone FROM l WHERE op = 'delete' GROUP BY 1)
+SELECT session_id, min(ts) AS created_at, max(ts) AS updated_at, arg_max(metadata, ts) AS metadata FROM l LEFT JOIN g USING (session_id) WHERE op <> 'delete' AND (gone IS NULL OR ts > gone) GROUP BY 1""",
+)
+def session_log(spark, sf_dir):
+    """Live sessions after a log of creates, updates and deletes."""
+    kind = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("update")
+    return sequence.sessions_of_log(table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), kind.alias("op"), "ts", F.col("props").alias("metadata")))

@@ -276,3 +276,19 @@ def cumulative_context(spark, sf_dir):
 
     up = own.select("doc_id", F.lit("last").alias("target_paragraph"), "paragraph_id", "page_num", F.col("para").alias("text"), F.row_number().over(W.partitionBy("doc_id").orderBy("pos")).alias("rank"))
     return retrieval.cumulative_context(up).select("doc_id", "summary_chunks", "table_count", "formula_count", F.md5("context").alias("digest"))
+
+
+FILTERED = CORPUS + PARAGRAPHS + f""", qs AS (SELECT 'q1' AS query_id, 'the tion ing' AS query), {SENT_BM25},
+keep AS (SELECT id FROM sents WHERE doc_id % 7 = 3 AND page_num BETWEEN 1 AND 2),
+b AS ({HITS.format(where='WHERE id IN (SELECT id FROM keep)', k=20)}),
+f AS (SELECT query_id, id, 0.5 * score / max(score) OVER () AS score, rank FROM b)
+SELECT f.id, f.rank::INT AS rank, round(f.score, 6) AS score, s.doc_id, md5(g.text) AS digest FROM f JOIN sents s USING (id) JOIN g ON g.doc_id = s.doc_id AND g.paragraph_id = s.paragraph_id WHERE f.rank <= 5"""
+
+
+@query("search_filtered", FILTERED)
+def search_filtered(spark, sf_dir):
+    """Search within some documents' first pages: whole paragraphs; the vector index is still empty."""
+    sents = corpus(table(spark, sf_dir, "documents"))
+    none = spark.createDataFrame([], "id string, embedding array<float>")
+    out = retrieval.search(sents, none, spark.createDataFrame(QUERY_LIST[:1], "query_id string, query string"), hashing_embedder(16), 5, where=F.expr("doc_id % 7 = 3 and page_num between 1 and 2"))
+    return out.select("id", "rank", F.round("score", 6).alias("score"), "doc_id", F.md5("text").alias("digest"))

@@ -34,38 +34,76 @@ def ingest_pages(stream: DataFrame, target: str, checkpoint: str, done: Callable
 
 
 VERDICT = "session_id long, seq long, rule string, verdict string"
-STATE = "tools array<string>, args array<string>, results array<string>, fails array<string>, fired int, last_seq long"
+STATE = "tools array<string>, args array<string>, results array<string>, fail_tools array<string>, fail_counts array<int>, fired int, last_seq long"
 
 
 def loop_verdicts(calls: DataFrame, repeats: int = 3, cycles: int = 2, failures: int = 3) -> DataFrame:
-    """The verdict on every call, from the last few calls and the failure run kept as state."""
+    """The verdict on every call, from the last few calls and the failures of each tool in the run that lasts.
+
+    Calls of a session must come in order from one micro-batch to the next, as a log's files do; within one
+    they are sorted. A call with a smaller seq than the last one judged is an error, not a wrong verdict.
+    """
     keep = max(repeats, 2 * cycles)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tools, args, results, fails, fired, _ = (list(x) if hasattr(x, "__iter__") and not isinstance(x, str) else x for x in state.get) if state.exists else ([], [], [], [], 0, -1)
-        out, seq = [], -1
+        tools, args, results, names, counts, fired, seq = (list(x) if hasattr(x, "__iter__") and not isinstance(x, str) else x for x in state.get) if state.exists else ([], [], [], [], [], 0, None)
+        fails, out = dict(zip(names, counts, strict=True)), []
         rows = pd.concat([*batches]).sort_values("seq")
         for r in rows.itertuples():
+            if seq is not None and int(r.seq) < seq:
+                raise ValueError(f"session {key[0]}: call {r.seq} comes after call {seq}")
             seq, tool = int(r.seq), r.tool.lower()
             tools, args, results = [*tools, tool][-keep:], [*args, r.args_hash][-keep:], [*results, r.result_hash][-keep:]
-            fails = [] if r.success else [*fails, r.tool]
+            fails = {} if r.success else {**fails, r.tool: fails.get(r.tool, 0) + 1}
             same = repeats > 0 and len(tools) >= repeats and len(set(zip(tools[-repeats:], args[-repeats:], results[-repeats:], strict=True))) == 1
             last = tools[-2 * cycles :]
             pong = cycles >= 2 and len(last) == 2 * cycles and len(set(last)) == 2 and len(set(last[::2])) == 1 and len(set(last[1::2])) == 1
-            streak = any(fails.count(t) >= failures for t in set(fails))
+            streak = any(n >= failures for n in fails.values())
             rule = "no_progress" if same else "ping_pong" if pong else "failure_streak" if streak else None
             fired += rule is not None
             out.append((key[0], seq, rule, "CONTINUE" if rule is None else "INJECT_WARNING" if fired == 1 else "HARD_STOP"))
-        state.update((tools, args, results, fails, fired, seq))
+        state.update((tools, args, results, [*fails], [*fails.values()], fired, seq))
         yield pd.DataFrame(out, columns=["session_id", "seq", "rule", "verdict"])
 
     return calls.groupBy("session_id").applyInPandasWithState(step, VERDICT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def live_entries(entries: DataFrame, seconds: int = 3600) -> DataFrame:
-    """A stream of cache writes (key, ts): the newest entry of each key within its time to live;
-    the watermark drops what has expired from state."""
-    return entries.withWatermark("ts", f"{seconds} seconds").groupBy(F.window("ts", f"{seconds} seconds"), "key").agg(F.max("ts").alias("newest"), F.count(F.lit(1)).alias("writes"))
+ENTRY = "key string, newest timestamp, writes long"
+
+
+def expired_entries(entries: DataFrame, seconds: int = 3600, late: str = "0 seconds") -> DataFrame:
+    """From a stream of cache writes (key, ts) the entries whose time to live is over: key, newest write, writes.
+
+    The state of a key is its live entry. It goes, and is put out, once the watermark is beyond the time to
+    live; a write after that begins a new entry.
+    """
+
+    def row(key: tuple, newest: int, writes: int) -> tuple:
+        return key[0], pd.Timestamp(newest, unit="ms"), writes
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out, columns, live = [], ["key", "newest", "writes"], 1000 * seconds
+        if state.hasTimedOut:
+            out.append(row(key, *state.get))
+            state.remove()
+        else:
+            newest, writes = state.get if state.exists else (None, 0)
+            for at in sorted(t.value // 1_000_000 for x in batches for t in x["ts"]):
+                if newest is not None and at > newest + live:
+                    out.append(row(key, newest, writes))
+                    newest, writes = None, 0
+                newest, writes = max(at, newest or at), writes + 1
+            if newest + live < state.getCurrentWatermarkMs():
+                out.append(row(key, newest, writes))
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((newest, writes))
+                state.setTimeoutTimestamp(newest + live)
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    return entries.withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, ENTRY, "newest long, writes long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def file_stream(spark: SparkSession, schema, path: str, files_per_batch: int = 100) -> DataFrame:
