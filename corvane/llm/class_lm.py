@@ -11,9 +11,11 @@ Rarer and unseen words belong to a shape class (last mark, digits, length), whos
 additive floor. Transitions are counted anew over the corpus under the final classes.
 
 Texts are tokenised twice: for the counts of words, and to be written as numbers of the `head` most
-frequent words (of bounded length), which go to the workers. Each occurrence of any other word is a row
-that is shuffled to its count and class and back to its text. So nothing that grows with the corpus is
-broadcast, each count is exact, and the size of the head changes no score.
+frequent words, which go to the workers. Each occurrence of any other word is a row. These rows are
+shuffled by word, so that a word's occurrences are its count and its contexts at once, and give it its class;
+then by text. A word over LONGEST bytes is known by its digest, so every frequent word is in the head, and no
+word outside it has more than a small share of the rows. So nothing that grows with the corpus is broadcast,
+each count is exact, and the size of the head changes no score.
 
 Defined results: a null or empty text is its end token alone; a null doc_id counts as the text ''
 (crc32 0: held out); with no training document every count is 0; repeated rows are scored, and
@@ -22,6 +24,7 @@ learned from, each; of words of one count those with the smaller digests are in
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -29,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +41,7 @@ from corvane.llm.common import batches_of, lower_words_of, narrow, rows_of, writ
 
 #: The end token; no word holds white space.
 END = b"\n"
-HEAD_WORDS, LONGEST_HEAD = 200_000, 64
+HEAD_WORDS, LONGEST = 200_000, 64
 CLUSTERED, CLASSES, LEAST = 2048, 64, 5
 FLOOR = 0.1
 BACKOFF = 5.0
@@ -55,6 +59,11 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 10 == 0
 
 
+def name(word: bytes) -> bytes:
+    """A word, or the digest that stands for a long one."""
+    return word if len(word) <= LONGEST else b"#" + hashlib.sha256(word).hexdigest().encode()
+
+
 def shape(word: bytes) -> int:
     """The class, below SHAPES, of a word that isn't clustered."""
     if word == END:
@@ -79,21 +88,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
                         counts.clear()
             yield from counts.items()
 
-        return batches_of(((w.decode(), n) for w, n in rows()), pa.schema([("word", pa.string()), ("c", pa.int64())]))
+        return batches_of(((name(w).decode(), n) for w, n in rows()), pa.schema([("word", pa.string()), ("c", pa.int64())]))
 
     return docs.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def split_head(counts: DataFrame, most: int) -> tuple[list[tuple[bytes, int]], DataFrame]:
-    """The head: at most `most` words of bounded length with their counts, the most frequent first, and
-    the end token in any case; and the table of all other words.
+    """The head: at most `most` words with their counts, the most frequent first, and the end token in any
+    case; and the table of all other words.
 
     Counts are grouped by eighths of a doubling (a few hundred rows); whole groups are taken from the top
     as long as they fit. The next group is cut by its words' digests, so a flat vocabulary fills the head too.
     """
     end = F.col("word") == END.decode()
     grouped = counts.withColumn("size", F.floor(8 * F.log2("c")).cast("int")).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)).cast("int"))
-    short = grouped.filter((F.octet_length("word") <= LONGEST_HEAD) & ~end)
+    short = grouped.filter(~end)
     left, lowest, cut = most - 1, None, None
     for r in sorted(short.groupBy("size").count().collect(), key=lambda r: -r["size"]):
         if r["count"] > left:
@@ -108,7 +117,7 @@ def split_head(counts: DataFrame, most: int) -> tuple[list[tuple[bytes, int]], D
                 break
             left, upto = left - r["count"], r["part"]
         taken = taken | ((F.col("size") == cut) & (F.col("part") <= upto))
-    inside = end | (taken & (F.octet_length("word") <= LONGEST_HEAD))
+    inside = end | taken
     found = {r["word"].encode(): r["c"] for r in grouped.filter(inside).select("word", "c").collect()}
     found.setdefault(END, 0)
     return sorted(found.items(), key=lambda x: (-x[1], x[0])), grouped.filter(~inside).select("word", "c")
@@ -146,11 +155,17 @@ def encoded(docs: DataFrame, head: list[tuple[bytes, int]]) -> DataFrame:
             at, held = np.flatnonzero(ids < 0), held_out(doc_id)
             for i in at.tolist():
                 w = words[i]
+                if len(w) > LONGEST:
+                    w = words[i] = name(w)
+                    if (k_of := get(w)) is not None:
+                        ids[i] = k_of
+                        continue
                 if (own := shapes.get(w)) is None:
                     if len(shapes) > FLUSH:
                         shapes.clear()
                     own = shapes[w] = shape(w)
                 ids[i] = -1 - own
+            at = np.flatnonzero(ids < 0)
             whole = np.concatenate(([end], ids, [end])).astype(np.int32)
             for x, v in zip(texts, (part + k, doc_id, held, len(words) + 1, pa.compress(whole[1:].tobytes(), "zstd", asbytes=True)), strict=True):
                 x.append(v)
@@ -332,30 +347,59 @@ def head_classes(texts: DataFrame, of_head: np.ndarray, first: int, table: np.nd
     return out
 
 
-def other_classes(rare: DataFrame, others: DataFrame, of_head: np.ndarray, table: np.ndarray, classes: int, least: int) -> DataFrame:
-    """word, class of each word outside the head that is held at least `least` times: as head_classes()."""
+OTHERS = "word string, row long, pos long, held_out boolean, before int, after int, c long, class long, first boolean"
+
+
+def other_classes(rare: DataFrame, of_head: np.ndarray, table: np.ndarray, classes: int, least: int) -> DataFrame:
+    """The rows of tokens outside the head with their word's count c in training texts and its class: the
+    likeliest if it is held `least` times, else its shape's. first: one training row of each word."""
     size = len(table)
     sent = rare.sparkSession.sparkContext.broadcast((of_head, table))
+    columns = ["word", "row", "pos", "held_out", "before", "after"]
 
-    def contexts(batches):
-        of, _ = sent.value
-        for batch in batches:
-            words = batch.column(0)
-            each = [codes_of(np.asarray(batch.column(k)), of, classes) + (k - 1) * size for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, words]), pa.array(np.concatenate(each), pa.int64())], names=["word", "context"])
-
-    def assigned(batches):
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def made(rows: pa.Table) -> pa.RecordBatch:
+            of, table = sent.value
+            rows = rows.combine_chunks()
+            coded = rows.column(0).dictionary_encode().combine_chunks()
+            g, names = np.asarray(coded.indices), coded.dictionary.to_pylist()
+            train = ~np.asarray(rows.column(3))
+            c = np.bincount(g[train], minlength=len(names))
+            cls = np.array([classes + shape(w.encode()) for w in names], np.int64)
+            often = np.flatnonzero(c >= least)
+            place = np.full(len(names), -1)
+            place[often] = np.arange(len(often))
+            mine = np.flatnonzero(train & (place[g] >= 0))
+            left, right = (np.bincount(place[g[mine]] * size + codes_of(np.asarray(rows.column(k))[mine], of, classes), minlength=len(often) * size).reshape(-1, size) for k in (4, 5))
+            if len(often):
+                cls[often] = likeliest(left, right, table, classes)
+            first = np.zeros(len(g), bool)
+            at = np.flatnonzero(train)
+            first[at[np.unique(g[at], return_index=True)[1]]] = True
+            out = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in rows.columns]
+            return pa.RecordBatch.from_arrays([*out, pa.array(c[g]), pa.array(cls[g]), pa.array(first)], names=[*columns, "c", "class", "first"])
+
+        n = 0
         for batch in batches:
-            total = np.zeros((batch.num_rows, 2 * size))
-            for k, found in enumerate(batch.column(1).to_pylist()):
-                for x in found:
-                    total[k, x["context"]] = x["n"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(likeliest(total[:, :size], total[:, size:], sent.value[1], classes), pa.int64())], names=["word", "class"])
-
-    often = others.filter(F.col("c") >= least).select("word")
-    own = rare.filter("not held_out").join(often, "word", "left_semi").select("word", "before", "after")
-    counted = own.mapInArrow(contexts, "word string, context long").groupBy("word", "context").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("found")).mapInArrow(assigned, "word string, class long")
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n > 30_000:  # whole words: all but the last one's rows
+                rows = pa.Table.from_batches(held)
+                last = rows.column(0)[-1]
+                ends = int(pc.index(rows.column(0), last).as_py())
+                if ends:
+                    yield made(rows.slice(0, ends))
+                held = rows.slice(ends).to_batches()
+                n = len(rows) - ends
+                if not ends:
+                    n = 0  # one word fills what is held: it goes on
+        if held:
+            yield made(pa.Table.from_batches(held))
+
+    return rare.select(*columns).repartition("word").sortWithinPartitions("word").mapInArrow(run, OTHERS)
 
 
 @dataclass(frozen=True)
@@ -380,29 +424,33 @@ class Model:
 @dataclass(frozen=True)
 class Trained:
     model: Model
-    words: DataFrame  # word, c, class of all words outside the head
+    words: DataFrame  # OTHERS of all tokens outside the head
     texts: DataFrame  # encoded() rows of texts
-    resolved: DataFrame  # each token outside the head: row, held_out, class_before, class, class_after (-1: not in the head), c
+    resolved: DataFrame  # each token outside the head: RESOLVED
+
+
+RESOLVED = "row long, held_out boolean, class_before long, class long, class_after long, c long, first boolean"
 
 
-def resolved_tokens(rare: DataFrame, words: DataFrame, of_head: np.ndarray, classes: int) -> DataFrame:
-    """Each token outside the head with its class and its neighbours', from its word's row and the token before."""
-    sent = rare.sparkSession.sparkContext.broadcast(of_head)
-    joined = rare.join(words, "word", "left").select("row", "pos", "held_out", "before", "after", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(-1)).alias("class"), "own_shape")
+def resolved_tokens(tokens: DataFrame, of_head: np.ndarray) -> DataFrame:
+    """Each token outside the head with its class and its neighbours' (-1: one after it that isn't in the head)."""
+    sent = tokens.sparkSession.sparkContext.broadcast(of_head)
 
     def run(batches):
-        last = (-1, -1, -1)
+        last = -1
         for batch in batches:
-            row, pos, before, after, c, cls, own = (np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1, 3, 4, 5, 6, 7))
-            cls = np.where(cls >= 0, cls, classes + own)
+            if not batch.num_rows:
+                continue
+            before, after, cls = (np.asarray(batch.column(k)).astype(np.int64) for k in (3, 4, 6))
             # where the token before isn't in the head it is the row before
-            prior = np.concatenate(([last[2]], cls[:-1]))
+            prior = np.concatenate(([last], cls[:-1]))
             left = np.where(before >= 0, sent.value[np.maximum(before, 0)], prior)
             right = np.where(after >= 0, sent.value[np.maximum(after, 0)], -1)
-            last = (int(row[-1]), int(pos[-1]), int(cls[-1])) if len(row) else last
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (left, cls, right, c))], names=["row", "held_out", "class_before", "class", "class_after", "c"])
+            last = int(cls[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(left, pa.int64()), batch.column(6), pa.array(right, pa.int64()), batch.column(5), batch.column(7)], names=["row", "held_out", "class_before", "class", "class_after", "c", "first"])
 
-    return joined.repartition("row").sortWithinPartitions("row", "pos").mapInArrow(run, "row long, held_out boolean, class_before long, class long, class_after long, c long")
+    own = tokens.select("row", "pos", "held_out", "before", "after", "c", "class", "first")
+    return own.repartition("row").sortWithinPartitions("row", "pos").mapInArrow(run, RESOLVED)
 
 
 def trained(docs: DataFrame, head_words: int = HEAD_WORDS, clustered: int = CLUSTERED, classes: int = CLASSES, least: int = LEAST) -> Trained:
@@ -410,7 +458,7 @@ def trained(docs: DataFrame, head_words: int = HEAD_WORDS, clustered: int = CLUS
     spark = docs.sparkSession
     counts = written(spark, word_counts(docs), "word-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head, others = split_head(counts, head_words)
+    head, _ = split_head(counts, head_words)
     both = written(spark, encoded(docs, head), "lm-tokens")
     texts, rare = both.filter("ids is not null"), both.filter("word is not null")
     number, shapes = np.array([c for _, c in head], np.int64), np.array([shape(w) for w, _ in head], np.int64)
@@ -429,52 +477,34 @@ def trained(docs: DataFrame, head_words: int = HEAD_WORDS, clustered: int = CLUS
     # all other words held often enough, given those classes
     found = head_classes(texts, of_head, k, by_class, classes, end)
     final = np.where((np.arange(len(head)) >= k) & (number >= least), found, of_head)
-    assigned = other_classes(rare, others, of_head, by_class, classes, least) if others.filter(F.col("c") >= least).limit(1).count() else None
-    words = others.withColumn("class", F.lit(-1).cast("long")) if assigned is None else others.join(assigned, "word", "left").select("word", "c", F.coalesce("class", F.lit(-1).cast("long")).alias("class"))
-    words = written(spark, words, "lm-words")
-
-    def shaped(batches):
-        for batch in batches:
-            own = pa.array([shape(w.encode()) for w in batch.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, "own_shape"])
-
-    named = rare.select("word", "row", "pos", "held_out", "before", "after").mapInArrow(shaped, "word string, row long, pos long, held_out boolean, before int, after int, own_shape long")
-    resolved = written(spark, resolved_tokens(named, words, final, classes), "lm-resolved")
+    words = other_classes(rare, of_head, by_class, classes, least)
+    resolved = written(spark, resolved_tokens(words, final), "lm-resolved")
 
     # transitions under the final classes: neighbours in the head, then all others
     groups = classes + SHAPES
     n = bigram_table(texts, final, classes, end, known_only=True)
 
+    # its last two rows hold, of each class, the tokens and the words outside the head
+    wide = groups + 2
+
     def pairs(batches):
-        seen = np.zeros(groups * groups, np.int64)
+        seen = np.zeros(wide * wide, np.int64)
         for batch in batches:
-            left, own, right = (np.asarray(batch.column(x)) for x in (0, 1, 2))
-            seen += np.bincount(left * groups + own, minlength=groups * groups)
-            seen += np.bincount((own * groups + right)[right >= 0], minlength=groups * groups)
+            left, own, right, first = (np.asarray(batch.column(x)) for x in range(4))
+            for x in (left * wide + own, (own * wide + right)[right >= 0], groups * wide + own, (groups + 1) * wide + own[first]):
+                seen += np.bincount(x, minlength=wide * wide)
         at = np.flatnonzero(seen)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (np.diff(at, prepend=0).astype("<u4"), seen[at].astype("<i8"))], names=["steps", "n"])
 
-    n = n + collected_table(resolved.filter("not held_out").select("class_before", "class", "class_after").mapInArrow(pairs, "steps binary, n binary"), groups)
+    more = collected_table(resolved.filter("not held_out").select("class_before", "class", "class_after", "first").mapInArrow(pairs, "steps binary, n binary"), wide)
+    n = n + more[:groups, :groups]
     of = n.sum(axis=0)
     prior = (of + 0.5) / (of.sum() + 0.5 * groups)
     transition = np.log10((n + BACKOFF * prior) / (n.sum(axis=1, keepdims=True) + BACKOFF))
 
     # tokens and words of each class, over the whole vocabulary
-    tokens, kind = (np.bincount(final, weights=x, minlength=groups) for x in (number, number > 0))
-
-    def of_words(batches):
-        seen = np.zeros((2, groups))
-        for word, c, own in rows_of(batches):
-            at = own if own >= 0 else classes + shape(word.encode())
-            seen[0, at] += c
-            seen[1, at] += 1
-        at = np.flatnonzero(seen[1])
-        yield from batches_of(((int(x), int(seen[0, x]), int(seen[1, x])) for x in at), pa.schema([("class", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64())]))
-
-    for r in words.mapInArrow(of_words, "class long, tokens long, words long").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect():
-        tokens[r["class"]] += r["tokens"]
-        kind[r["class"]] += r["words"]
+    tokens, kind = (np.bincount(final, weights=x, minlength=groups) + y[:groups] for x, y in zip((number, number > 0), more[groups:], strict=True))
     emission = emitted(number, final, tokens, kind, classes)
     return Trained(Model(head, final, emission, transition, tokens, kind, classes, int(total), int(kinds)), words, texts, resolved)
 

@@ -507,9 +507,9 @@ def test_class_lm_score_is_that_of_its_classes(docs, odd, head):
     for df, data in both(docs, odd):
         of = class_lm.trained(df.select("doc_id", "text"), head, 30, 6)
         k, chosen = of.model.own_classes, {w.decode(): int(c) for (w, _), c in zip(of.model.head, of.model.classes, strict=True)}
-        chosen |= {r["word"]: r["class"] for r in of.words.collect() if r["class"] >= 0}
-        cls = lambda w: chosen[w] if w in chosen else k + class_lm.shape(w.encode())
-        tokens = [[*words(low(t)), "\n"] for _, t in data]
+        chosen |= {r["word"]: r["class"] for r in of.words.collect()}
+        cls = chosen.__getitem__
+        tokens = [[*(class_lm.name(w.encode()).decode() for w in words(low(t))), "\n"] for _, t in data]
         counts, steps = Counter(), Counter()
         for (i, _), x in zip(data, tokens, strict=True):
             if zlib.crc32(str("" if i is None else i).encode()) % 10:
@@ -559,9 +559,8 @@ def test_model_is_a_distribution(docs):
     assert np.allclose((10**m.transition).sum(axis=1), 1)
     total = np.zeros(6 + class_lm.SHAPES)
     np.add.at(total, m.classes, 10**m.emission * np.array([c > 0 for _, c in m.head]))
-    for r in of.words.collect():
-        own = r["class"] if r["class"] >= 0 else 6 + class_lm.shape(r["word"].encode())
-        total[own] += 10 ** float(class_lm.emitted(np.array([r["c"]]), np.array([own]), m.class_tokens, m.class_words, 6)[0])
+    for r in of.words.select("word", "c", "class").distinct().filter("c > 0").collect():
+        total[r["class"]] += 10 ** float(class_lm.emitted(np.array([r["c"]]), np.array([r["class"]]), m.class_tokens, m.class_words, 6)[0])
     total[6:] += class_lm.FLOOR / (m.class_tokens[6:] + class_lm.FLOOR * (m.class_words[6:] + 1))
     assert np.allclose(total[m.class_words > 0], 1)
 
