@@ -7,9 +7,10 @@ or +1 in some projections, in order of estimated success: the sum of squared dis
 crossed, for which the expected distances of a query's nearest, second nearest ... wall stand, so the order
 is made once, by a heap, and holds for every query under its own order of walls.
 
-Index and probes hold ids only. Ids that share a bucket with a query in any table are merged to distinct
-candidates, and only then meet their vectors: of each block of queries a candidate's vector is sent once,
-with the list of the queries that ask for it, and ranked by its exact cosine in double precision.
+Index and probes hold ids only. The queries of a block that visit a bucket are one list, which each row of
+the bucket takes along; a row's lists from all tables are merged to the distinct queries that it is a
+candidate of. Only then vectors come in: of each block of queries a candidate's vector is sent once, with
+that list, and ranked by its exact cosine in double precision.
 
 Probes are fitted to true neighbours: those of a bounded sample of queries among all vectors, found by
 comparing that sample with every row. The fewest probes that find the asked share of them are taken.
@@ -250,13 +251,19 @@ def _ranked(keep: int):
     return run
 
 
-def candidates(index: DataFrame, probes: DataFrame) -> DataFrame:
-    """Distinct (query, class) pairs that share a bucket, from (key, id) on both sides. Large buckets are dealt."""
+def block_of(column: str, blocks: int):
+    return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+
+
+def candidates(index: DataFrame, probes: DataFrame, blocks: int) -> DataFrame:
+    """block, class, queries: the distinct queries of each block that share a bucket with a class, from
+    (key, id) on both sides. Large buckets are dealt."""
     sizes = index.groupBy("key").count().filter(F.col("count") > SALT_ROWS).select("key", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
     salts = F.coalesce("salts", F.lit(1))
     left = index.join(sizes, "key", "left").select("key", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.col("id").alias("class"))
-    right = probes.join(sizes, "key", "left").select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("id").alias("query"))
-    return left.join(right, ["key", "salt"]).select("query", "class").distinct()
+    lists = probes.groupBy("key", block_of("id", blocks).alias("block")).agg(F.collect_list("id").alias("queries"))
+    right = lists.join(sizes, "key", "left").select("key", "block", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "queries")
+    return left.join(right, ["key", "salt"]).groupBy("block", "class").agg(F.array_distinct(F.flatten(F.collect_list("queries"))).alias("queries"))
 
 
 def _scored(keep: int):
@@ -310,17 +317,13 @@ def _scored(keep: int):
     return run
 
 
-def ranked(pairs: DataFrame, classes: DataFrame, searched: DataFrame, keep: int) -> DataFrame:
-    """query, class, score of the nearest by exact cosine. pairs: (query, class); classes: (class, vector);
+def ranked(asked: DataFrame, classes: DataFrame, searched: DataFrame, blocks: int, keep: int) -> DataFrame:
+    """query, class, score of the nearest by exact cosine. asked: candidates(); classes: (class, vector);
     searched: (id, vector) of the queries."""
-    n = searched.count()
-    blocks, salts = max(1, -(-n // QUERY_BLOCK)), max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    salts = max(1, -(-salts // blocks))
-    block = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks)).cast("int").alias("block")
-    asked = pairs.groupBy(block("query"), "class").agg(F.collect_list("query").alias("queries"))
+    salts = max(1, -(-int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
     right = asked.join(classes.select("class", "vector"), "class").select("block", F.pmod(F.xxhash64("class", F.lit(1)), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("side"), F.col("class").alias("id"), "vector", "queries")
     none = F.array().cast("array<long>")
-    left = searched.select(block("id"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("side"), "id", "vector", none.alias("queries"))
+    left = searched.select(block_of("id", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("side"), "id", "vector", none.alias("queries"))
     both = left.unionByName(right).repartition("block", "salt").sortWithinPartitions("block", "salt", "side")
     return both.mapInArrow(_scored(keep), RANKED)
 
@@ -383,20 +386,21 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLE
     index = classes.select(F.col("class").alias("id"), "vector").mapInArrow(_keyed(hasher, False), "key long, id long")
     probes = searched.mapInArrow(_keyed(hasher, True), "key long, id long")
     keep = k + 1
-    found = written(spark, _nearest(ranked(candidates(index, probes), classes, searched, keep), keep), "ann-found")
+    blocks = max(1, -(-searched.count() // QUERY_BLOCK))
+    found = written(spark, _nearest(ranked(candidates(index, probes, blocks), classes, searched, blocks, keep), keep), "ann-found")
     enough = min(keep, total)
     short = searched.join(found.groupBy("query").count().filter(F.col("count") >= enough).select(F.col("query").alias("id")), "id", "left_anti")
     short = written(spark, short, "ann-short")
     if n := short.count():
         # each part of the rows meets each block of these queries once
         parts = max(1, total // SALT_ROWS)
-        blocks = max(1, -(-n // QUERY_BLOCK))
+        blocks = -(-n // QUERY_BLOCK)
         upto = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
-        mine = short.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), upto(parts).alias("part"), F.col("id").alias("query"))
+        mine = short.select(block_of("id", blocks).alias("block"), upto(parts).alias("part"), F.col("id").alias("query"))
         lists = mine.groupBy("block", "part").agg(F.collect_list("query").alias("queries"))
         rows = classes.select("class", "vector", F.pmod(F.xxhash64("class"), F.lit(parts)).cast("int").alias("part"))
         right = rows.join(lists, "part").select("block", F.col("part").alias("salt"), F.lit(1).alias("side"), F.col("class").alias("id"), "vector", "queries")
-        left = short.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), upto(parts).alias("salt"), F.lit(0).alias("side"), "id", "vector", F.array().cast("array<long>").alias("queries"))
+        left = short.select(block_of("id", blocks).alias("block"), upto(parts).alias("salt"), F.lit(0).alias("side"), "id", "vector", F.array().cast("array<long>").alias("queries"))
         both = left.unionByName(right).repartition("block", "salt").sortWithinPartitions("block", "salt", "side")
         found = _nearest(found.unionByName(both.mapInArrow(_scored(keep), RANKED)), keep)
     listed = found.join(classes.select("class", "ids"), "class").select(F.col("query").alias("class"), "score", F.explode("ids").alias("vec_id"))
@@ -415,7 +419,8 @@ def share_ranked(vectors: DataFrame, every: int = 50, k: int = 5, recall: float
     hasher = fitted(own, *true_neighbours(classes, names, own, k), TABLES, projections_for(total), recall)
     searched = classes.filter(f"class % {every} = 0").select(F.col("class").alias("id"), "vector")
     index = classes.select(F.col("class").alias("id"), "vector").mapInArrow(_keyed(hasher, False), "key long, id long")
-    pairs = candidates(index, searched.mapInArrow(_keyed(hasher, True), "key long, id long")).count()
+    asked = candidates(index, searched.mapInArrow(_keyed(hasher, True), "key long, id long"), max(1, -(-searched.count() // QUERY_BLOCK)))
+    pairs = asked.agg(F.sum(F.size("queries"))).first()[0] or 0
     return hasher.directions.shape[1], pairs / total / max(1, searched.count())
 
 
