@@ -12,11 +12,13 @@ pieces of its length: pieces are dealt to (length, bucket) groups of bounded siz
 summed up over buckets, so no length is ranked by one task.
 
 Defined results: a null or empty text is one piece holding only the end id; equal rows are packed
-each; an empty table gives an empty table.
+each, and pieces of one length are dealt to sequences by digests of their rows (which of equal ones goes
+where makes no difference); an empty table gives an empty table; null ids stay null.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -41,9 +43,23 @@ PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
 PUNCTUATION = b".,;:!?()[]{}\"#$%&*+/=@^_`~"
 
 
+# How a tokenizer must treat texts for its words to be encoded one by one.
+WORD_WISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordIds(dict):
     """White-space word -> its ids as bytes, for a tokenizer whose pre-tokenizer parts texts at white
-    space, lower-cases, and parts letters from punctuation. Two generations bound the memory."""
+    space, lower-cases, and parts letters from punctuation. Two generations bound the memory. A tokenizer of
+    another kind encodes whole texts itself."""
 
     def __init__(self, path: str, words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,6 +68,8 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.words, self.old = Tokenizer.from_file(path), words, {}
         self.tokenize = self.tokenizer.model.tokenize
+        own = json.loads(self.tokenizer.to_str())
+        self.word_wise = all(own.get(k) == v for k, v in WORD_WISE.items())
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.bytes = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
@@ -81,10 +99,15 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
+        if not self.word_wise:
+            return self.whole((text or "").encode())
         return b"".join([self[w] for w in text.encode().split()]) if text else b""
 
     def batch(self, texts: pa.Array) -> list[bytes]:
         """ids() of each text: words are numbered by Arrow, looked up once each, and gathered."""
+        if not self.word_wise:
+            whole = self.tokenizer.encode_batch([x or "" for x in texts.to_pylist()], add_special_tokens=False)
+            return [np.array(x.ids, "<u4").tobytes() for x in whole]
         texts = pc.cast(pc.fill_null(texts, ""), pa.large_string())
         texts = pa.concat_arrays([texts, pa.array([], pa.large_string())])  # a slice's offsets then begin at 0, as ascii_lower() needs
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are case-sensitive

@@ -366,6 +366,19 @@ def test_packing(docs, odd, empty):
     assert packing.packed(empty, path).count() == 0
 
 
+def test_tokenizers_of_another_kind(odd):
+    """Word by word only where the file's own steps allow it."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = [t for _, t in ODD]
+    for name, word_wise in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        own, t = packing.WordIds(path), Tokenizer.from_file(path)
+        wanted = [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+        assert own.word_wise is word_wise and own.batch(pa.array(texts)) == wanted == [own.ids(x) for x in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 63), st.integers(1, 400), min_size=1, max_size=63))
 def test_plan(histogram):
