@@ -62,8 +62,10 @@ def search(
     fast: bool = False,
     paragraphs: bool = True,
     scorer: Scorer | None = None,
+    cumulative: bool = False,
 ) -> DataFrame:
-    """query_id, rank, score, id, doc_id, page_num, paragraph_id, text for queries (query_id, query).
+    """query_id, rank, score, id, doc_id, page_num, paragraph_id, text for queries (query_id, query), and
+    with `cumulative` the context of all paragraphs up to the hit's.
 
     sentences: id, doc_id, page_num, paragraph_id, char_offset_start, text; vectors: id, embedding. Both
     indexes are asked, their lists fused, and each hit gets its paragraph's text (paragraphs) or its own.
@@ -85,7 +87,12 @@ def search(
         hits = hits.drop("text").join(whole.groupBy(F.col("target_id").alias("id")).agg(text.alias("text")), "id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
     out = reranked(hits.withColumn("rank", rank).filter(F.col("rank") <= (20 if fast else most)), queries, k, scorer)
-    return out.select("query_id", "rank", "score", "id", "doc_id", "page_num", "paragraph_id", "text")
+    out = out.select("query_id", "rank", "score", "id", "doc_id", "page_num", "paragraph_id", "text")
+    if not cumulative:
+        return out
+    out = written(sentences.sparkSession, out, "search-ranked")  # k rows a query
+    up = context.preceding_paragraphs(sentences, out.select("doc_id", F.col("paragraph_id").alias("target_paragraph")).distinct())
+    return out.join(cumulative_context(up).select("doc_id", F.col("target_paragraph").alias("paragraph_id"), "context"), ["doc_id", "paragraph_id"], "left")
 
 
 def fallback_summary(chunks: Column, kind: Column) -> Column:

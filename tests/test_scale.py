@@ -181,6 +181,8 @@ def test_search_end_to_end(spark, documents):
     asked = spark.createDataFrame([("q", first["text"])], "query_id string, query string")
     out = retrieval.search(sents, vectors, asked, embed, 3).orderBy("rank").collect()
     assert out[0]["doc_id"] == first["doc_id"] and first["text"] in out[0]["text"] and [r["rank"] for r in out] == [1, 2, 3]
+    whole = retrieval.search(sents, vectors, asked, embed, 3, cumulative=True).collect()
+    assert len(whole) == 3 and all(r["context"].endswith(f"=== CURRENT CHUNK (Page {r['page_num']}) ===\n{r['text']}") for r in whole)
     other = retrieval.search(sents, vectors, asked, embed, 3, where=F.col("doc_id") != first["doc_id"], fast=True, paragraphs=False).collect()
     assert len(other) == 3 and all(r["doc_id"] != first["doc_id"] for r in other)
 
