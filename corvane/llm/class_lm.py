@@ -235,9 +235,12 @@ def collected_table(runs: DataFrame, size: int) -> np.ndarray:
             packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(at, prepend=0).astype("<u4"), total[at].astype("<i8"))]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["steps", "n"])
 
+    # as a tree: to as many tasks as shuffles have, to MERGERS, to the driver
+    for tasks in (max(MERGERS, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MERGERS):
+        part = F.pmod(F.spark_partition_id(), F.lit(tasks)).alias("part")
+        runs = runs.select(part, "steps", "n").repartition(tasks, "part").mapInArrow(merged, "steps binary, n binary")
     table = np.zeros(size * size, np.int64)
-    few = runs.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGERS))).select("part", "steps", "n").repartition(MERGERS, "part").mapInArrow(merged, "steps binary, n binary")
-    for r in few.collect():  # at most MERGERS tables
+    for r in runs.collect():  # at most MERGERS tables
         steps, n = np.frombuffer(zlib.decompress(r["steps"]), "<u4"), np.frombuffer(zlib.decompress(r["n"]), "<i8")
         table[np.cumsum(steps, dtype=np.int64)] += n
     return table.reshape(size, size)
@@ -317,30 +320,42 @@ def head_classes(texts: DataFrame, of_head: np.ndarray, first: int, table: np.nd
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(keys)]))
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b > a:
-                    own = (keys[a:b] - block[a] * 2 * size * BLOCK).astype("<u4")
-                    yield pa.RecordBatch.from_arrays([pa.array([int(block[a])], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (own, n[a:b].astype("<u4")))], names=["block", "keys", "n"])
-
-    def assigned(batches):
-        _, table = sent.value
-        now, total = None, None
-
-        def made():
-            own = total.reshape(BLOCK, 2, size)
-            used = np.flatnonzero(own.any(axis=(1, 2)))
-            best = likeliest(own[used, 0], own[used, 1], table, classes)
-            return pa.RecordBatch.from_arrays([pa.array(first + now * BLOCK + used, pa.int64()), pa.array(best, pa.int64())], names=["id", "class"])
-
-        for block, keys, n in rows_of(batches):
-            if block != now:
-                if now is not None:
-                    yield made()
-                now, total = block, np.zeros(BLOCK * 2 * size)
-            total[np.frombuffer(zlib.decompress(keys), "<u4")] += np.frombuffer(zlib.decompress(n), "<u4")
-        if now is not None:
-            yield made()
+                    yield packed(int(block[a]), keys[a:b] - block[a] * 2 * size * BLOCK, n[a:b])
+
+    def summed(finish):
+        """Of rows (block, keys, n) in order of blocks: finish() of each block's sum."""
+
+        def run(batches):
+            now, total = None, None
+            for block, keys, n in rows_of(batches):
+                if block != now:
+                    if now is not None:
+                        yield finish(now, total)
+                    now, total = block, np.zeros(BLOCK * 2 * size)
+                total[np.frombuffer(zlib.decompress(keys), "<u4")] += np.frombuffer(zlib.decompress(n), "<u4")
+            if now is not None:
+                yield finish(now, total)
+
+        return run
+
+    def packed(block: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([zlib.compress(x.astype("<u4").tobytes(), 1)], pa.binary()) for x in (keys, n))], names=["block", "keys", "n"])
+
+    def sparse(block: int, total: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(total)
+        return packed(block, at, total[at])
+
+    def assigned(block: int, total: np.ndarray) -> pa.RecordBatch:
+        own = total.reshape(BLOCK, 2, size)
+        used = np.flatnonzero(own.any(axis=(1, 2)))
+        best = likeliest(own[used, 0], own[used, 1], sent.value[1], classes)
+        return pa.RecordBatch.from_arrays([pa.array(first + block * BLOCK + used, pa.int64()), pa.array(best, pa.int64())], names=["id", "class"])
 
     runs = texts.select("held_out", "n_tokens", "ids").mapInArrow(contexts, "block int, keys binary, n binary")
-    found = runs.repartition("block").sortWithinPartitions("block").mapInArrow(assigned, "id long, class long").collect()  # of head words only
+    # as a tree: each block's runs in parts, then its parts
+    parts = max(1, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    runs = runs.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts))).repartition("block", "part").sortWithinPartitions("block", "part").select("block", "keys", "n").mapInArrow(summed(sparse), "block int, keys binary, n binary")
+    found = runs.repartition("block").sortWithinPartitions("block").mapInArrow(summed(assigned), "id long, class long").collect()  # of head words only
     out = of_head.copy()
     for r in found:
         out[r["id"]] = r["class"]
