@@ -51,6 +51,8 @@ RECALL = 0.93
 SALT_ROWS = 1024
 #: Queries whose vectors a task of the ranking holds.
 QUERY_BLOCK = 2048
+#: Where more than this share of a block's pairs are candidates they are multiplied as matrices.
+DENSE = 0.02
 SEED = 7
 
 
@@ -125,7 +127,7 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def projections_for(n: int) -> int:
-    return max(LEAST_PROJECTIONS, round(np.log2(max(n, 2))) - 2)
+    return max(LEAST_PROJECTIONS, round(np.log2(max(n, 2)) / 2))
 
 
 def fitted(queries: np.ndarray, neighbours: np.ndarray, of: np.ndarray, tables: int = TABLES, projections: int = LEAST_PROJECTIONS, recall: float = RECALL) -> Hasher:
@@ -299,6 +301,13 @@ def _scored(keep: int):
                 of = np.repeat(np.arange(len(ids)), np.diff(np.asarray(lists.offsets)))
                 at = np.searchsorted(q_ids, np.asarray(lists.flatten()))
                 own = np.sqrt((v * v).sum(axis=1))
+                if len(of) > DENSE * len(ids) * len(q):  # most pairs are asked for: all products at once, then the nearest of those asked for
+                    near = np.full((len(q), len(ids)), -np.inf)
+                    near[at, of] = (q @ v.T / own)[at, of]
+                    k = min(2 * keep + 8, len(ids))
+                    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                    y, x = np.nonzero(np.isfinite(np.take_along_axis(near, best, 1)))
+                    of, at = best[y, x], y
                 for s in range(0, len(of), ROWS_AT_ONCE):
                     x, y = of[s : s + ROWS_AT_ONCE], at[s : s + ROWS_AT_ONCE]
                     # the exact measure, summed in one order whatever the block
