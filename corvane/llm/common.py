@@ -39,14 +39,15 @@ def narrow(docs: DataFrame, **columns: str) -> DataFrame:
 GROUP_ROWS, HOT_GROUPS = 1000, 1000
 
 
-def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, total: int, shuffled: bool = False) -> DataFrame:
     """rows joined on a key to groups (one row a key, with n, its number of rows) where there are `total`
-    rows. The large groups' side is broadcast, so their rows stay where they are."""
+    rows. The large groups' side is broadcast, so their rows stay where they are. shuffled: the others are
+    shuffled at any size, not broadcast while they are few, so that the plan is that of a large input."""
     if total <= 10 * GROUP_ROWS:
         return rows.join(groups.drop("n"), key)
     large = F.col("n") > max(GROUP_ROWS, total // HOT_GROUPS)
     hot = F.broadcast(groups.filter(large).drop("n"))
-    rest = rows.join(hot.select(key), key, "left_anti").join(groups.filter(~large).drop("n"), key)
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.filter(~large).drop("n").hint("merge") if shuffled else groups.filter(~large).drop("n"), key)
     return rows.join(hot, key).unionByName(rest)
 
 

@@ -232,7 +232,7 @@ def links(prints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     # a fingerprint is short and has 64 entries, so they are dealt before they are made
     index = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("fp", F.explode(F.array(*entries)).alias("entry"))
     sizes = written(spark, index.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-sizes")
-    counted = written(spark, joined_by_group(index, sizes.withColumn("of", F.col("n")), "entry", total).withColumnRenamed("of", "n"), "simhash-entries")
+    counted = written(spark, joined_by_group(index, sizes.withColumn("of", F.col("n")), "entry", total, shuffled=True).withColumnRenamed("of", "n"), "simhash-entries")
     near = F.expr(f"flatten(transform(fps, a -> transform(filter(fps, b -> b > a and bit_count(a ^ b) <= {DISTANCE}), b -> struct(a as a, b as b))))")
     small = counted.filter(F.col("n") <= max_bucket).groupBy("entry").agg(F.collect_list("fp").alias("fps")).select(F.explode(near).alias("e")).select("e.a", "e.b")
     flipped = F.expr(f"concat(array(fp), transform(sequence(0, {BITS - 1}), i -> fp ^ shiftleft(1L, i)))")
