@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.sources.shared import new_path, released, written
 
-__all__ = ["A_TO_Z", "SPACES", "batches_of", "joined_by_group", "lower_words_of", "narrow", "new_path", "released", "rows_of", "words_of", "written"]
+__all__ = ["A_TO_Z", "SPACES", "batches_of", "bucketed", "dropped", "joined_by_group", "lower_words_of", "narrow", "new_path", "released", "rows_of", "words_of", "written"]
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`; bytes.split() cuts at just these bytes.
 SPACES = " \t\n\x0b\x0c\r"
@@ -35,6 +35,24 @@ def narrow(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*(F.col(f"`{spec.split(':')[0]}`").cast(spec.split(":")[1]).alias(own) for own, spec in columns.items()))
 
 
+def bucketed(spark: SparkSession, df: DataFrame, parts: int, column: str, name: str) -> DataFrame:
+    """df, dealt by a column to as many partitions, as a table of so many buckets in the shared folder: what groups
+    it by that column later moves none of its rows."""
+    path = new_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(parts, column).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._written_at, out._table = path, table
+    return out
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables that bucketed() returned and that no frame reads any more."""
+    for x in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {x._table}")
+        released(spark, x)
+
+
 #: Groups up to so many rows are left to one task; of larger ones, of over one row in a thousand, there are at most a thousand.
 GROUP_ROWS, HOT_GROUPS = 1000, 1000
 

@@ -9,6 +9,7 @@ from corvane.llm.packing import op5_packing
 from corvane.llm.pii import op4_pii
 from corvane.llm.quality_rules import OP3_SQL, op3_quality_rules
 from corvane.llm.sentencepiece_scan import op10_sentencepiece
+from corvane.llm.substring_dedup import op12_substring_dedup
 from corvane.llm.token_counts import op1_token_counts
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_class_lm": op8_class_lm,
     "op9_ann": op9_ann,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
 ORACLES = {"op2_license_scan": OP2_SQL, "op3_quality_rules": OP3_SQL, "op6_chat_format": OP6_SQL}
