@@ -10,6 +10,7 @@ from corvane.llm.pii import op4_pii
 from corvane.llm.quality_rules import OP3_SQL, op3_quality_rules
 from corvane.llm.sentencepiece_scan import op10_sentencepiece
 from corvane.llm.substring_dedup import op12_substring_dedup
+from corvane.llm.token_alignment import op11_token_alignment
 from corvane.llm.token_counts import op1_token_counts
 
 QUERIES = {
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_class_lm": op8_class_lm,
     "op9_ann": op9_ann,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_token_alignment": op11_token_alignment,
     "op12_substring_dedup": op12_substring_dedup,
 }
 
