@@ -3,6 +3,7 @@
 from corvane.llm.ann import op9_ann
 from corvane.llm.chat_format import OP6_SQL, op6_chat_format
 from corvane.llm.class_lm import op8_class_lm
+from corvane.llm.hard_negatives import op13_hard_negatives
 from corvane.llm.license_scan import OP2_SQL, op2_license_scan
 from corvane.llm.near_dedup import op7_near_dedup
 from corvane.llm.packing import op5_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_token_alignment": op11_token_alignment,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {"op2_license_scan": OP2_SQL, "op3_quality_rules": OP3_SQL, "op6_chat_format": OP6_SQL}
