@@ -66,6 +66,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.ending: dict[str, bool] = {}
         self.tokenizer, self.words, self.old = Tokenizer.from_file(path), words, {}
         self.tokenize = self.tokenizer.model.tokenize
         own = json.loads(self.tokenizer.to_str())
@@ -88,13 +89,21 @@ class WordIds(dict):
             return self.whole(word)
         low = word.translate(A_TO_Z)
         core = low.rstrip(PUNCTUATION)
-        if core != word and core and core.decode()[-1].isalpha() and b"'" not in low[len(core) :]:
+        if core != word and core and self.ends_word(core.decode()[-1]) and b"'" not in low[len(core) :]:
             tail = low[len(core) :]
             return self[core] + (self[tail] if tail else b"")
         if PLAIN.fullmatch(text := low.decode()):  # letters in their composed form, so the model alone decides
             return np.array([t.id for t in self.tokenize(low.decode("latin-1").translate(self.bytes))], "<u4").tobytes()
         return self.whole(word)
 
+    def ends_word(self, letter: str) -> bool:
+        """Whether punctuation behind this letter is a token of its own: not where its lower-case or composed form
+        ends in a mark."""
+        if letter not in self.ending:
+            own = self.tokenizer.normalizer.normalize_str(f"a{letter}.")
+            self.ending[letter] = letter.isalpha() and self.tokenizer.pre_tokenizer.pre_tokenize_str(own)[-1][0] == "."
+        return self.ending[letter]
+
     def whole(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
