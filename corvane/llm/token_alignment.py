@@ -9,6 +9,8 @@ token there, and no piece of B goes on behind a space mark. So a text is a seque
 unit is encoded and merged once a block, and a text's groups are those of its units. Where a model doesn't
 promise that, the whole text is the unit.
 
+New units are encoded in runs and merged many at a time, as ends are sorted numbers on both sides.
+
 A block is a run of documents of one task, up to UNITS different units or CHARS characters. It yields its
 documents (as numbers of units), its units (as numbers of id pairs) and its id pairs with their documents.
 What is shuffled are these, not a row a link: a pair that every document has comes once a block. Counts
@@ -25,7 +27,6 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -44,12 +45,14 @@ UNITS, CHARS = 300_000, 1 << 26
 #: Documents whose new units are encoded at once, and characters of them.
 BATCH, BATCH_CHARS = 256, 1 << 20
 SHIFT = 32
+#: Units of one merge, of one run of text in it, and characters of a unit that stands in no run.
+UNITS_AT_ONCE, RUN, LONG_UNIT = 16_384, 64, 1000
 SPACE = "▁"
 #: A space that no unit ends at stands beside other white space or at a text's end.
 _ODD = re.compile("  |^ | $|[^\\S ] | [^\\S ]|᠎")
 _CUT = re.compile("(?<=[^\\s᠎]) (?=[^\\s᠎])")
 
-ALIGNED = "block long, kind int, at long, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, xs array<int>, times array<int>"
+ALIGNED = "block long, kind int, at long, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, xs array<int>, times array<int>, sizes array<int>"
 DOCUMENT, UNIT, PAIR = 2, 1, 0
 
 
@@ -107,37 +110,40 @@ def tokenizers(byte_path: str, piece_path: str) -> Tokenizers:
     return Tokenizers(byte_path, piece_path)
 
 
-def merged(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """Numbers of tokens of both sides up to each place where both end."""
-    out, i, j = [], 0, 0
-    while i < len(ends_a) and j < len(ends_b):
-        if ends_a[i] == ends_b[j]:
-            i, j = i + 1, j + 1
-            out.append((i, j))
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
-    return out
+def merged(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """Where tokens of both sides end: the merge of both lists of cumulative ends. A pointer to either side moves
+    on to the first end that isn't before the other's, for all ends of a batch at once."""
+    other = np.searchsorted(ends_b, ends_a)
+    return ends_a[ends_b[np.minimum(other, len(ends_b) - 1)] == ends_a]
+
+
+class Rows:
+    """Lists of numbers under the numbers 0, 1, 2 ..., in one array that grows."""
+
+    def __init__(self):
+        self.flat, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.concatenate((self.flat, flat))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
 
-def ends(ids: list[int], sizes: list[int]) -> list[int]:
-    total, out = 0, []
-    for k in ids:
-        total += sizes[k]
-        out.append(total)
-    return out
+    def gathered(self, at: np.ndarray) -> np.ndarray:
+        sizes = self.ends[at + 1] - self.ends[at]
+        return self.flat[np.repeat(self.ends[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
 
 
-def groups(a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    if len(a) == 1 or len(b) == 1:
-        return [(a, b)]
-    i = j = 0
-    out = []
-    for k, m in merged(ends(a, sizes_a), ends(b, sizes_b)):
-        out.append((a[i:k], b[j:m]))
-        i, j = k, m
-    return out
+#: What stands before an id in a text's groups.
+FIRST, NEXT_GROUP, OTHER_SIDE, SAME_SIDE = range(4)
+
+
+@cache
+def _written_ids(most: int) -> list[str]:
+    return [f"{mark}{k}" for mark in ("", ";", "|", ",") for k in range(most)]
+
+
+def _expanded(counts: np.ndarray) -> np.ndarray:
+    """0 ... n - 1 for each n of counts."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 class Block:
@@ -145,41 +151,92 @@ class Block:
 
     def __init__(self, number: int, of: Tokenizers):
         self.number, self.of = number, of
-        self.sizes_a, self.sizes_b = [len(x) for x in of.bytes_a], [len(x) for x in of.bytes_b]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in side], np.int64) for side in (of.bytes_a, of.bytes_b))
+        self.most = max(len(of.bytes_a), len(of.bytes_b))
         self.unit: dict[str, int] = {}
         self.texts: list[str] = []  # of each unit, its groups
-        self.linked: list[list[int]] = []  # of each unit, numbers of its id pairs
-        self.times: list[list[int] | None] = []  # how often, where one is linked more than once
-        self.whole: list[bool] = []  # whether the bytes of both sides are the unit's
-        self.sums = np.zeros((1024, 4), np.int64)
+        self.whole = np.zeros(0, bool)  # whether the bytes of both sides are the unit's
+        self.sums = np.zeros((0, 4), np.int64)
+        self.linked, self.times = Rows(), Rows()  # of each unit its id pairs, and how often each is linked
         self.pair: dict[int, int] = {}
-        self.docs = np.zeros(1024, np.int64)
+        self.docs = np.zeros(0, np.int64)
         self.chars = 0
 
     def add(self, units: list[str]) -> None:
-        for unit, (a, b) in zip(units, self.of.encoded(units), strict=True):
-            raw = (" " + unit).encode()
+        """New units. Those that can stand in one text with others are encoded in runs."""
+        plain, odd = [], []
+        for u in units:
+            alone = not self.of.in_units or len(u) > LONG_UNIT or u[0].isspace() or u[-1].isspace() or "᠎" in (u[0], u[-1])
+            (odd if alone else plain).append(u)
+        for s in range(0, len(plain), UNITS_AT_ONCE):
+            self._add(plain[s : s + UNITS_AT_ONCE], RUN)
+        for u in odd:
+            self._add([u], 1)
+
+    def _add(self, units: list[str], run: int) -> None:
+        if not units:
+            return
+        runs = [units[s : s + run] for s in range(0, len(units), run)]
+        encoded = self.of.encoded([" ".join(x) for x in runs])
+        found = []
+        for x, (a, b) in zip(runs, encoded, strict=True):
+            raw = "".join([" " + u for u in x]).encode()
             whole = b"".join([self.of.bytes_a[k] for k in a]) == raw and b"".join([self.of.bytes_b[k] for k in b]) == raw
-            found = groups(a, b, self.sizes_a, self.sizes_b) if whole else []
-            of: Counter = Counter()
-            for x, y in found:
-                if len(x) == 1 and len(y) == 1:
-                    of[x[0] << SHIFT | y[0]] += 1
-                else:
-                    for k, n in Counter(x).items():
-                        for m, t in Counter(y).items():
-                            of[k << SHIFT | m] += n * t
-            number = len(self.unit)
-            self.unit[unit] = number
-            self.whole.append(whole)
-            self.linked.append([self.pair.setdefault(p, len(self.pair)) for p in of])
-            self.times.append([*of.values()] if any(n > 1 for n in of.values()) else None)
-            self.texts.append(";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in found]))
-            if number >= len(self.sums):
-                self.sums = np.concatenate((self.sums, np.zeros_like(self.sums)))
-            self.sums[number] = len(a), len(b), len(found), sum(len(x) * len(y) for x, y in found)
-        while len(self.docs) < len(self.pair):
-            self.docs = np.concatenate((self.docs, np.zeros_like(self.docs)))
+            if not whole and len(x) > 1:  # tell the units apart
+                for u, own in zip(x, self.of.encoded(x), strict=True):
+                    raw = (" " + u).encode()
+                    found.append(([u], *own, all(b"".join([of[k] for k in ids]) == raw for of, ids in zip((self.of.bytes_a, self.of.bytes_b), own, strict=True))))
+            else:
+                found.append((x, a, b, whole))
+        good = [x for x in found if x[3]]
+        self._merged([u for x in good for u in x[0]], *(np.fromiter(chain.from_iterable([x[k] for x in good]), np.int64) for k in (1, 2)))
+        for (u,), *_ in (x for x in found if not x[3]):
+            self._append([u], np.zeros(1, bool), np.zeros((1, 4), np.int64), [""], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
+
+    def _merged(self, units: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        """Units that both sides cover, under the ids of all of them."""
+        if not units:
+            return
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        cuts = merged(ends_a, ends_b)
+        edge = np.cumsum(np.fromiter([1 + len(u.encode()) for u in units], np.int64, len(units)))
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        unit_of = np.searchsorted(edge, cuts)  # of each group
+        n_a, n_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+        of_unit = lambda x: np.bincount(unit_of, x, len(units)).astype(np.int64)
+        sums = np.stack([of_unit(n_a), of_unit(n_b), np.bincount(unit_of, minlength=len(units)), of_unit(n_a * n_b)], axis=1)
+
+        # each group's ids in order, with what stands before each
+        mark_a = np.full(len(a), SAME_SIDE)
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        mark_a[first_a] = np.where(np.concatenate(([True], unit_of[1:] != unit_of[:-1])), FIRST, NEXT_GROUP)
+        mark_b = np.full(len(b), SAME_SIDE)
+        mark_b[first_b] = OTHER_SIDE
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + first_b[group_a]] = mark_a * self.most + a
+        codes[np.arange(len(b)) + (first_a + n_a)[group_b]] = mark_b * self.most + b
+        texts = _written_ids(self.most)
+        pieces = [texts[k] for k in codes.tolist()]
+        last = np.cumsum(sums[:, 0] + sums[:, 1]).tolist()
+        written_groups = ["".join(pieces[s:e]) for s, e in zip([0, *last], last, strict=False)]
+
+        # links: each A token with each B token of its group
+        n = n_b[group_a]
+        other = np.repeat(first_b[group_a], n) + _expanded(n)
+        pairs, place = np.unique(np.repeat(a, n) << SHIFT | b[other], return_inverse=True)
+        number = np.array([self.pair.setdefault(p, len(self.pair)) for p in pairs.tolist()], np.int64)
+        of = np.repeat(unit_of[group_a], n)
+        keys, times = np.unique(of << SHIFT | number[place], return_counts=True)
+        self._append(units, np.ones(len(units), bool), sums, written_groups, keys & ((1 << SHIFT) - 1), times, np.bincount(keys >> SHIFT, minlength=len(units)))
+
+    def _append(self, units, whole, sums, texts, linked, times, sizes) -> None:
+        for u in units:
+            self.unit[u] = len(self.unit)
+        self.texts += texts
+        self.whole, self.sums = np.concatenate((self.whole, whole)), np.concatenate((self.sums, sums))
+        self.linked.extend(linked, sizes)
+        self.times.extend(times, sizes)
+        self.docs = np.concatenate((self.docs, np.zeros(len(self.pair) - len(self.docs), np.int64)))
 
     def joined(self, units: list[str]) -> bool:
         """Whether the joined bytes are those of the text, where those of a unit aren't."""
@@ -189,31 +246,33 @@ class Block:
 
     def document(self, doc_id, units: list[str] | None) -> tuple:
         """A row of ALIGNED; the pairs that the document links count one document more."""
-        none = (self.number, DOCUMENT, None, doc_id, 0, 0, 0, 0, "", None, None)
+        none = (self.number, DOCUMENT, None, doc_id, 0, 0, 0, 0, "", None, None, None)
         if units is None:
             return none
         own = [self.unit[u] for u in units]
         at, times = np.unique(np.array(own, np.int64), return_counts=True)
-        if not all([self.whole[k] for k in at.tolist()]):
+        if not self.whole[at].all():
             if len(units) == 1 or not self.joined(units):
                 return none
             whole = [" ".join(units)]  # only together are the units' tokens the text's
             self.add([u for u in whole if u not in self.unit])
             return self.document(doc_id, whole)
         n = times @ self.sums[at]
-        found = np.fromiter(chain.from_iterable([self.linked[k] for k in at.tolist()]), np.int64)
-        self.docs[np.unique(found)] += 1
+        self.docs[np.unique(self.linked.gathered(at))] += 1
         digest = hashlib.sha256(";".join([self.texts[k] for k in own]).encode()).hexdigest()
-        return (self.number, DOCUMENT, None, doc_id, *map(int, n), digest, at.astype(np.int32), times.astype(np.int32))
+        return (self.number, DOCUMENT, None, doc_id, *map(int, n), digest, at.astype(np.int32), times.astype(np.int32), None)
 
     def rest(self) -> Iterator[list[tuple]]:
-        """Rows of its units and pairs."""
+        """Rows of its units, many a row, and of its pairs."""
         none = (None,) * 6
-        for s in range(0, len(self.linked), 16384):
-            yield [(self.number, UNIT, k, *none, self.linked[k], self.times[k]) for k in range(s, min(s + 16384, len(self.linked)))]
+        ends = self.linked.ends
+        for s in range(0, len(self.unit), UNITS_AT_ONCE):
+            e = min(s + UNITS_AT_ONCE, len(self.unit))
+            lists = slice(ends[s], ends[e])
+            yield [(self.number, UNIT, s, *none, self.linked.flat[lists].astype(np.int32), self.times.flat[lists].astype(np.int32), np.diff(ends[s : e + 1]).astype(np.int32))]
         pairs = [*self.pair]
         for s in range(0, len(pairs), 65536):
-            yield [(self.number, PAIR, pairs[k], None, int(self.docs[k]), k, *none[:3], None, None) for k in range(s, min(s + 65536, len(pairs)))]
+            yield [(self.number, PAIR, pairs[k], None, int(self.docs[k]), k, *none[:3], None, None, None) for k in range(s, min(s + 65536, len(pairs)))]
 
 
 def _aligned(byte_path: str, piece_path: str, most_units: int, most_chars: int):
@@ -260,7 +319,7 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 
 
 def _summed(batches) -> Iterator[pa.RecordBatch]:
-    """From rows of blocks, sorted by block and kind: (block, kind, at, doc_id, n_a ... groups_sha256, xs, times). A
+    """From rows of blocks, sorted by block and kind, as ALIGNED. A
     pair's row has its number under at, its count under n_a, and under n_b and n_groups whether it is the best."""
     now = None
     value = np.zeros((0, 3), np.int64)
@@ -281,17 +340,13 @@ def _summed(batches) -> Iterator[pa.RecordBatch]:
                     value = np.concatenate((value, np.zeros((max(len(value), int(at.max()) + 1), 3), np.int64)))
                 value[at] = np.stack([np.asarray(part.column(c)) for c in (4, 5, 6)], axis=1)
             elif kind[a] == UNIT:
-                # each unit's sums over its links of count, best, best_b
-                lists, times = part.column(9), part.column(10)
-                counts = np.diff(np.asarray(lists.offsets))
-                weight = np.ones(len(lists.flatten()), np.int64)
-                filled = np.asarray(times.is_valid())
-                weight[np.repeat(filled, counts)] = np.asarray(times.flatten())
-                each = value[np.asarray(lists.flatten())] * weight[:, None]
-                total = np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(each, axis=0)))
-                edge = np.concatenate(([0], np.cumsum(counts)))
-                found = np.concatenate((np.asarray(part.column(2))[:, None], total[edge[1:]] - total[edge[:-1]]), axis=1)
-                own.append(found)
+                # each unit's sums over its links of count, best, best_b; a row holds many units
+                linked, times, sizes = (np.asarray(part.column(c).flatten()) for c in (9, 10, 11))
+                total = np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(value[linked] * times[:, None], axis=0)))
+                edge = np.concatenate(([0], np.cumsum(sizes)))
+                units = np.diff(np.asarray(part.column(11).offsets))
+                number = np.repeat(np.asarray(part.column(2)), units) + _expanded(units)
+                own.append(np.concatenate((number[:, None], total[edge[1:]] - total[edge[:-1]]), axis=1))
             else:
                 if sums is None:
                     rows = np.concatenate(own) if own else np.zeros((0, 4), np.int64)
