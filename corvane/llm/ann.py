@@ -20,9 +20,9 @@ more rows than SALT_ROWS is dealt to as many salts as it needs, and its queries
 A query for which the tables give too few candidates is ranked against all rows, in blocks.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no
-part, as queries or candidates; rows with a null vec_id take none; the vectors of one table have one
-length (the most frequent takes part, of equally frequent ones the shorter); of rows that repeat a vec_id
-and vector one counts; an empty table, or one without queries, gives no rows.
+part, as queries or candidates; rows with a null vec_id take none; a query is compared with vectors of its own
+length, so one without others has no rows; of rows that repeat a vec_id and vector one counts; an empty
+table, or one without queries, gives no rows.
 """
 
 from __future__ import annotations
@@ -158,8 +158,6 @@ def _type(vectors: DataFrame) -> str:
 def classes_of(vectors: DataFrame, k: int) -> DataFrame:
     """class (its smallest id), vector, ids (its k + 1 smallest) of each distinct vector that takes part."""
     own = narrow(vectors, vec_id="vec_id:long", vector=f"embedding:{_type(vectors)}").filter("vec_id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)")
-    sizes = own.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    own = own.filter(F.size("vector") == (sizes[0]["n"] if sizes else 0))
     least = own.distinct().withColumn("at", F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))).filter(F.col("at") <= k + 1)
     return least.groupBy("vector").agg(F.min("vec_id").alias("class"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
@@ -203,56 +201,6 @@ def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], keep: int) ->
     return q[rank < keep], c[rank < keep], s[rank < keep]
 
 
-def _ranked(keep: int):
-    """From rows (key, salt, side, id, vector), sorted by key, salt and side: the nearest of each query
-    within what this partition holds. One bucket part is in memory at a time, queries in blocks."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = [], 0
-        now, index = None, []
-
-        def scored(q_ids, q):
-            nonlocal held
-            ids, v = np.concatenate([a for a, _ in index]), np.concatenate([b for _, b in index])
-            index[:] = [(ids, v)]
-            norm = np.sqrt((v * v).sum(axis=1))
-            for s in range(0, len(q), 256):
-                own = q[s : s + 256]
-                near = own @ v.T / norm
-                k = min(2 * keep + 8, near.shape[1])
-                best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(own), 1))
-                # the exact measure, summed in one order whatever the block
-                exact = (own[:, None, :] * v[best]).sum(axis=2) / (np.sqrt((own * own).sum(axis=1))[:, None] * norm[best])
-                found.append((np.repeat(q_ids[s : s + 256], k), ids[best].reshape(-1), exact.reshape(-1)))
-                held += best.size
-                if held > 400_000:
-                    found[:] = [_best(found, keep)]
-                    held = len(found[0][0])
-
-        for batch in batches:
-            keys = np.stack([np.asarray(batch.column(k)) for k in (0, 1, 2)], axis=1)
-            ids, v = np.asarray(batch.column(3)), _vectors(batch.column(4))
-            cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b == a:
-                    continue
-                if (bucket := tuple(keys[a, :2])) != now:
-                    now, index = bucket, []
-                if keys[a, 2] == 0:
-                    index.append((ids[a:b], v[a:b]))
-                elif index:
-                    scored(ids[a:b], v[a:b])
-            if held > 200_000:
-                q, c, s = _best(found, keep)
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=["query", "class", "score"])
-                found, held = [], 0
-        if found:
-            q, c, s = _best(found, keep)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=["query", "class", "score"])
-
-    return run
-
-
 def block_of(column: str, blocks: int):
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
@@ -271,6 +219,7 @@ def candidates(index: DataFrame, probes: DataFrame, blocks: int) -> DataFrame:
 def _scored(keep: int):
     """From rows (block, salt, side, id, vector, queries), sorted by the first three: side 0 are a block's
     queries, side 1 its candidates with the queries that ask for each. The nearest of each query."""
+    dense = DENSE
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, names, vectors, found, held = None, [], [], [], 0
@@ -301,13 +250,14 @@ def _scored(keep: int):
                 of = np.repeat(np.arange(len(ids)), np.diff(np.asarray(lists.offsets)))
                 at = np.searchsorted(q_ids, np.asarray(lists.flatten()))
                 own = np.sqrt((v * v).sum(axis=1))
-                if len(of) > DENSE * len(ids) * len(q):  # most pairs are asked for: all products at once, then the nearest of those asked for
+                if len(of) > dense * len(ids) * len(q):  # most pairs are asked for: all products at once, then the nearest of those asked for
                     near = np.full((len(q), len(ids)), -np.inf)
                     near[at, of] = (q @ v.T / own)[at, of]
-                    k = min(2 * keep + 8, len(ids))
-                    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                    y, x = np.nonzero(np.isfinite(np.take_along_axis(near, best, 1)))
-                    of, at = best[y, x], y
+                    k = min(keep, len(ids))
+                    # whatever rounding may put among the k nearest, ties with the last one included
+                    rounding = 4 * (q.shape[1] + 8) * np.finfo(np.float64).eps * norm
+                    least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k] - rounding
+                    at, of = np.nonzero((near >= least[:, None]) & np.isfinite(near))
                 for s in range(0, len(of), ROWS_AT_ONCE):
                     x, y = of[s : s + ROWS_AT_ONCE], at[s : s + ROWS_AT_ONCE]
                     # the exact measure, summed in one order whatever the block
@@ -382,15 +332,22 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLE
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every` its k nearest."""
     spark = vectors.sparkSession
     classes = written(spark, classes_of(vectors, k), "ann-classes")
+    asked = written(spark, queries_of(vectors, every).join(classes, "vector").select("vec_id", "class", F.size("vector").alias("length")), "ann-asked")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for length in sorted(r[0] for r in asked.select("length").distinct().collect()):
+        own, named = classes.filter(F.size("vector") == length), asked.filter(F.col("length") == length).drop("length")
+        out = out.unionByName(_nearest_of(own, named, k, tables, projections, recall))
+    return out
+
+
+def _nearest_of(classes: DataFrame, named: DataFrame, k: int, tables: int, projections: int | None, recall: float) -> DataFrame:
+    """nearest() among classes of one length, for the queries named (vec_id, class)."""
+    spark = classes.sparkSession
     total = classes.count()
-    schema = "query_id long, rank int, vec_id long, score double"
     sample = classes.select("class", "vector").orderBy(F.xxhash64("class", F.lit(SEED)), "class").limit(SAMPLE_QUERIES).collect()
-    if not sample:
-        return spark.createDataFrame([], schema)
     names, own = np.array([r["class"] for r in sample], np.int64), np.array([r["vector"] for r in sample], np.float64)
     hasher = fitted(own, *true_neighbours(classes, names, own, k), tables, projections or projections_for(total), recall)
     # a query is searched once for each distinct vector, under the name of its class
-    named = queries_of(vectors, every).join(classes, "vector").select("vec_id", "class")
     searched = written(spark, classes.join(named.select("class").distinct(), "class", "left_semi").select(F.col("class").alias("id"), "vector"), "ann-queries")
     index = classes.select(F.col("class").alias("id"), "vector").mapInArrow(_keyed(hasher, False), "key long, id long")
     probes = searched.mapInArrow(_keyed(hasher, True), "key long, id long")

@@ -120,15 +120,14 @@ def test_rows_without_conversation_are_alone(spark):
 
 def brute(data, every, k):
     own = [(i, np.asarray(v, float)) for i, v in data if i is not None and v is not None and len(v) and None not in v and np.isfinite(np.asarray(v, float)).all() and np.any(np.asarray(v, float))]
-    sizes = [len(v) for _, v in own]
-    length = max(set(sizes), key=lambda n: (sizes.count(n), -n)) if sizes else 0
-    own = sorted({(i, tuple(v)) for i, v in own if len(v) == length})
+    own = sorted({(i, tuple(v)) for i, v in own})
     out = {}
     for i, v in own:
         if i % every == 0:
             a = np.array(v)
-            near = sorted(((round(float(a @ np.array(w)) / (np.linalg.norm(a) * np.linalg.norm(w)), 12), j) for j, w in own if j != i), key=lambda x: (-x[0], x[1]))
-            out[i] = [(j, s) for s, j in near[:k]]
+            near = sorted(((round(float(a @ np.array(w)) / (np.linalg.norm(a) * np.linalg.norm(w)), 12), j) for j, w in own if j != i and len(w) == len(v)), key=lambda x: (-x[0], x[1]))
+            if near:
+                out[i] = [(j, s) for s, j in near[:k]]
     return out
 
 
@@ -170,6 +169,30 @@ def test_clusters_and_hot_vectors(spark, monkeypatch):
     assert [i for i, _ in found[0]] == [1000, 1001, 1002, 1003, 1004]
 
 
+@pytest.mark.parametrize("dense", [0.0, 2.0])
+def test_ties_of_different_vectors(spark, monkeypatch, dense):
+    """800 vectors of one direction have one cosine; the smaller vec_id comes first, whichever way blocks are multiplied."""
+    monkeypatch.setattr(ann, "DENSE", dense)
+    data = [(k, [2.0 ** (k * 7 % 800 - 400) * x for x in (1.0, 2.0, -3.0, 0.5)]) for k in range(800)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = result(ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(6)))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(found) == 16
+    for q, near in found.items():
+        assert [i for i, _ in near] == [i for i in range(6) if i != q][:5]
+
+
+def test_each_length_is_searched(spark):
+    rng = np.random.default_rng(2)
+    data = [(k, rng.normal(size=3 + (k % 10 == 0)).tolist()) for k in range(400)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert recall(result(ann.nearest(df)), brute(data, 50, 5)) >= 0.9
+    assert recall(result(ann.nearest(df, every=7)), brute(data, 7, 5)) >= 0.9
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 0.0]), (50, [2.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 1.0, 1.0]), (8, [-1.0, 0.1]), (9, [1.0, 1.0]), (9, [1.0, 1.0]), (-50, [0.0, 1.0])]
