@@ -10,8 +10,8 @@ order, against the classes as they stand. So the words with a class of their own
 Rarer and unseen words belong to a shape class (last mark, digits, length), whose emission has an
 additive floor. Transitions are counted anew over the corpus under the final classes.
 
-Texts are tokenised twice: for the counts of words, and to be written as numbers of the `head` most
-frequent words, which go to the workers. Each occurrence of any other word is a row. These rows are
+Texts are tokenised twice, a part at a time: for the counts of words, and to be written as numbers of the
+`head` most frequent words of training texts or of others, which go to the workers. Each occurrence of any other word is a row. These rows are
 shuffled by word, so that a word's occurrences are its count and its contexts at once, and give it its class;
 then by text. A word over LONGEST bytes is known by its digest, so every frequent word is in the head, and no
 word outside it has more than a small share of the rows. So nothing that grows with the corpus is broadcast,
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -37,10 +38,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batches_of, lower_words_of, narrow, rows_of, written
+from corvane.llm.common import A_TO_Z, batches_of, narrow, rows_of, written
 
 #: The end token; no word holds white space.
 END = b"\n"
+GAP = re.compile(rb"[ \t-\r]")
 HEAD_WORDS, LONGEST = 200_000, 64
 CLUSTERED, CLASSES, LEAST = 2048, 64, 5
 FLOOR = 0.1
@@ -73,54 +75,74 @@ def shape(word: bytes) -> int:
     return 4 * kind + (len(word) > 4) + (len(word) > 7) + (len(word) > 11)
 
 
+def parts_of(text: str | None, size: int = 1 << 20) -> list[bytes]:
+    """A text's bytes with A-Z lower-cased, cut at white space into parts of about `size`."""
+    data, out, at = (text or "").encode().translate(A_TO_Z), [], 0
+    while len(data) - at > size and (m := GAP.search(data, at + size)):
+        out.append(data[at : m.start()])
+        at = m.end()
+    return [*out, data[at:]] if at else [data]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c over the training documents, end tokens included; summed within partitions first."""
+    """word, c over the training documents, end tokens included, and n over all; summed within partitions first."""
 
     def run(batches):
         def rows():
-            counts: Counter[bytes] = Counter()
+            counts: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())  # of training texts, of others
+            flushed = lambda: ((w, n * (not held), n) for held, of in enumerate(counts) for w, n in of.items())
             for doc_id, text in rows_of(batches):
-                if not held_out(doc_id):
-                    counts.update(lower_words_of(text))
-                    counts[END] += 1
-                    if len(counts) > FLUSH:
-                        yield from counts.items()
-                        counts.clear()
-            yield from counts.items()
+                of = counts[held_out(doc_id)]
+                for part in parts_of(text):
+                    of.update(part.split())
+                    if sum(map(len, counts)) > FLUSH:
+                        yield from flushed()
+                        counts[0].clear(), counts[1].clear()
+                of[END] += 1
+            yield from flushed()
 
-        return batches_of(((name(w).decode(), n) for w, n in rows()), pa.schema([("word", pa.string()), ("c", pa.int64())]))
+        return batches_of(((name(w).decode(), c, n) for w, c, n in rows()), pa.schema([("word", pa.string()), ("c", pa.int64()), ("n", pa.int64())]))
 
-    return docs.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def split_head(counts: DataFrame, most: int) -> tuple[list[tuple[bytes, int]], DataFrame]:
-    """The head: at most `most` words with their counts, the most frequent first, and the end token in any
-    case; and the table of all other words.
+    """The head: at most `most` words with their counts in training texts, the most frequent first, and the end
+    token in any case; and the table of all other words. A quarter of it are the words most frequent in other
+    texts of those that their training counts leave out, so no word outside the head is frequent anywhere.
 
     Counts are grouped by eighths of a doubling (a few hundred rows); whole groups are taken from the top
     as long as they fit. The next group is cut by its words' digests, so a flat vocabulary fills the head too.
     """
     end = F.col("word") == END.decode()
-    grouped = counts.withColumn("size", F.floor(8 * F.log2("c")).cast("int")).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)).cast("int"))
-    short = grouped.filter(~end)
-    left, lowest, cut = most - 1, None, None
-    for r in sorted(short.groupBy("size").count().collect(), key=lambda r: -r["size"]):
-        if r["count"] > left:
-            cut = r["size"]
-            break
-        left, lowest = left - r["count"], r["size"]
-    taken = F.col("size") >= lowest if lowest is not None else F.lit(False)
-    if cut is not None:
-        upto = -1
-        for r in sorted(short.filter(F.col("size") == cut).groupBy("part").count().collect(), key=lambda r: r["part"]):
+    grouped = counts.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)).cast("int"))
+
+    def top(rows: DataFrame, column: str, left: int):
+        """Whether a row of a count over 0 is among the first `left`."""
+        size, lowest, cut = F.floor(8 * F.log2(column)).cast("int"), None, None
+        short = rows.filter(F.col(column) > 0).withColumn("size", size)
+        for r in sorted(short.groupBy("size").count().collect(), key=lambda r: -r["size"]):
             if r["count"] > left:
+                cut = r["size"]
                 break
-            left, upto = left - r["count"], r["part"]
-        taken = taken | ((F.col("size") == cut) & (F.col("part") <= upto))
-    inside = end | taken
+            left, lowest = left - r["count"], r["size"]
+        taken = size >= lowest if lowest is not None else F.lit(False)
+        if cut is not None:
+            upto = -1
+            for r in sorted(short.filter(F.col("size") == cut).groupBy("part").count().collect(), key=lambda r: r["part"]):
+                if r["count"] > left:
+                    break
+                left, upto = left - r["count"], r["part"]
+            taken = taken | ((size == cut) & (F.col("part") <= upto))
+        return (F.col(column) > 0) & taken
+
+    unseen = (most - 1) // 4
+    seen = top(grouped.filter(~end), "c", most - 1 - unseen)
+    inside = end | seen
+    inside = inside | top(grouped.filter(~inside), "n", unseen)
     found = {r["word"].encode(): r["c"] for r in grouped.filter(inside).select("word", "c").collect()}
     found.setdefault(END, 0)
-    return sorted(found.items(), key=lambda x: (-x[1], x[0])), grouped.filter(~inside).select("word", "c")
+    return sorted(found.items(), key=lambda x: (-x[1], x[0])), grouped.filter(~inside).select("word", "c", "n")
 
 
 ENCODED = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("word", pa.string()), ("pos", pa.int64()), ("before", pa.int32()), ("after", pa.int32())]
@@ -149,11 +171,10 @@ def encoded(docs: DataFrame, head: list[tuple[bytes, int]]) -> DataFrame:
                 x.clear()
             return pa.RecordBatch.from_arrays(arrays, schema=pa.schema(ENCODED))
 
-        for k, (doc_id, text) in enumerate(rows_of(batches)):
-            words = lower_words_of(text)
+        def coded(words: list[bytes]) -> np.ndarray:
+            """Numbers of words; long ones outside the head are replaced by their names."""
             ids = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
-            at, held = np.flatnonzero(ids < 0), held_out(doc_id)
-            for i in at.tolist():
+            for i in np.flatnonzero(ids < 0).tolist():
                 w = words[i]
                 if len(w) > LONGEST:
                     w = words[i] = name(w)
@@ -165,15 +186,27 @@ def encoded(docs: DataFrame, head: list[tuple[bytes, int]]) -> DataFrame:
                         shapes.clear()
                     own = shapes[w] = shape(w)
                 ids[i] = -1 - own
-            at = np.flatnonzero(ids < 0)
-            whole = np.concatenate(([end], ids, [end])).astype(np.int32)
-            for x, v in zip(texts, (part + k, doc_id, held, len(words) + 1, pa.compress(whole[1:].tobytes(), "zstd", asbytes=True)), strict=True):
+            return ids
+
+        for k, (doc_id, text) in enumerate(rows_of(batches)):
+            parts, held = parts_of(text), held_out(doc_id)
+            words = parts[0].split()
+            each = [coded(words), *(coded(x.split()) for x in parts[1:])]
+            whole = np.concatenate(([end], *each, [end])).astype(np.int32)
+            for x, v in zip(texts, (part + k, doc_id, held, len(whole) - 1, pa.compress(whole[1:].tobytes(), "zstd", asbytes=True)), strict=True):
                 x.append(v)
-            for x, v in zip(rare, ([part + k] * len(at), [held] * len(at), [words[i] for i in at.tolist()], at.tolist(), whole[at].tolist(), whole[at + 2].tolist()), strict=True):
-                x += v
-            if len(rare[0]) + len(texts[0]) > 32_768:
-                yield made()
-        if texts[0]:
+            before = 0
+            for data, ids in zip(parts, each, strict=True):
+                at = np.flatnonzero(ids < 0)
+                if len(parts) > 1 and len(at):  # the words of one part at a time
+                    coded(words := data.split())
+                places = at + before
+                for x, v in zip(rare, ([part + k] * len(at), [held] * len(at), [words[i] for i in at.tolist()], places.tolist(), whole[places].tolist(), whole[places + 2].tolist()), strict=True):
+                    x += v
+                before += len(ids)
+                if len(rare[0]) + len(texts[0]) > 32_768:
+                    yield made()
+        if texts[0] or rare[0]:
             yield made()
 
     return docs.mapInArrow(run, ENCODED_SQL)
@@ -472,7 +505,7 @@ def trained(docs: DataFrame, head_words: int = HEAD_WORDS, clustered: int = CLUS
     """The model, and the texts as numbers. docs: doc_id, text."""
     spark = docs.sparkSession
     counts = written(spark, word_counts(docs), "word-counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     head, _ = split_head(counts, head_words)
     both = written(spark, encoded(docs, head), "lm-tokens")
     texts, rare = both.filter("ids is not null"), both.filter("word is not null")

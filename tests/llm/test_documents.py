@@ -550,11 +550,30 @@ def test_class_lm_score_is_that_of_its_classes(docs, odd, head):
 
 
 def test_head_of_a_flat_vocabulary(spark):
-    df = spark.createDataFrame([(f"w{k}", 1) for k in range(500)] + [("\n", 3)], "word string, c long")
+    df = spark.createDataFrame([(f"w{k}", 1, 1) for k in range(500)] + [("\n", 3, 3)], "word string, c long, n long")
     head, others = class_lm.split_head(df, 400)
     assert 350 < len(head) <= 400 and head[0] == (class_lm.END, 3) and len(head) + others.count() == 501
 
 
+def test_words_of_other_texts_alone(spark):
+    """A word that only held-out texts hold, however often, is in the head with no count; texts of several parts
+    have the scores that they have under any head."""
+    held = next(k for k in range(100) if class_lm.held_out(k))
+    rare = " ".join(f"r{k}" for k in range(200_000))
+    data = [(held, "zzq " * 400_000 + rare + " end of it"), *((k, f"the end of text {k} is the end") for k in range(100, 160)), (held, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    head, others = class_lm.split_head(class_lm.word_counts(df), 100)
+    assert (b"zzq", 0) in head and others.filter("word = 'zzq'").count() == 0
+    found = [sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 4)) for r in class_lm.class_lm(df, head_words=n, clustered=4).collect()) for n in (20, class_lm.HEAD_WORDS)]
+    assert found[0] == found[1] and max(r[1] for r in found[0]) == 600_004
+
+
+def test_parts_of_a_text():
+    text = "one Two\n\nthree\tfour " * 50
+    assert b" ".join(class_lm.parts_of(text, 16)).split() == text.lower().encode().split() and len(class_lm.parts_of(text, 16)) > 10
+    assert class_lm.parts_of(None) == [b""] and class_lm.parts_of("A" * 50, 16) == [b"a" * 50]
+
+
 def test_likeliest_class_is_that_of_the_contexts():
     table = np.array([[0, 90, 10], [5, 0, 95], [80, 10, 10]])
     left, right = np.array([[9, 0, 1], [0, 8, 1], [1, 0, 9.0]]), np.array([[0, 1, 9], [9, 1, 0], [0, 9, 1.0]])
