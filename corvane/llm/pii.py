@@ -1,19 +1,30 @@
 """4. Personal data: patterns, then information-theoretic sanitisation.
 
-Base spans are what four patterns match. They are the protected entities. Over the whole corpus the
-method counts in how many distinct texts a term stands with an entity, n(t, e), and in how many it
-stands at all, n(t). Terms are whole runs of letters and digits, of any length, that no base span touches.
-P(e | t) = n(t, e) / n(t) tells how strongly the term reveals the entity. A term seen with one entity in at least min_texts distinct texts, with P(e | t) at or over `generalise`, is a
-span of kind "term"; sanitised() writes a placeholder for it, and drops it at or over `remove`.
-Counts are of distinct texts, so copies of a text are no evidence.
-
-Defined results: a null text is empty and stays null when sanitised; spans of one kind don't overlap,
-spans of two kinds may, and the union of overlapping spans is replaced by the first one's placeholder.
+Base spans are what four patterns match. They are the protected entities. Over the whole corpus of N distinct
+texts the method counts in how many an entity stands, n(e), a term, n(t), and both, n(t, e). Terms are whole
+runs of letters and digits, of any length, that no base span touches. In bits,
+
+    IC(e) = log N / n(e)            what naming the entity tells
+    PMI(e; t) = log N n(t, e) / (n(t) n(e))            what the term tells of it; at most IC(e) and IC(t)
+
+and the term's risk is PMI(e; t) / IC(e): 1 if the term gives the entity away, 0 if it tells nothing of it. A term
+seen with one entity in at least min_texts texts is a span of kind "term" if its risk is `generalise` or more
+and PMI(e; t) is at least `share` of log N, what it takes to single out one text. So neither words of more
+than N^(1 - share) texts are terms, whatever they stand with, nor is the address in a footer of so many texts
+protected: its prior leaves too little to disclose. sanitised() writes a placeholder for a term, and drops
+it at or over `remove`. Counts are of distinct texts, so copies of a text are no evidence.
+
+Defined results: a null text is empty and stays null when sanitised; repeated rows have the spans of each; an
+empty table gives no rows and no terms; very long texts are read whole, one at a time, and terms and entities
+of over 64 characters are counted by their digests; a term of equal risks for two entities is one term; spans
+of one kind don't overlap, spans of two kinds may, and the union of overlapping spans is replaced by the
+first one's placeholder; extra columns don't matter, and stay in sanitised().
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -35,6 +46,7 @@ CARD_HINT = re.compile(r"[0-9](?:[\x20-]?[0-9]){12}")
 #: Flagged or candidate terms, or entities, up to this many go to the workers as one set; more are joined.
 MAX_BROADCAST_TERMS = 200_000
 LONGEST_TERM = 64
+MIN_TEXTS, GENERALISE, REMOVE, SHARE = 3, 0.9, 0.98, 0.7
 
 Span = tuple[int, int]
 
@@ -136,8 +148,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return narrow(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string")
 
 
-def revealing_terms(docs: DataFrame, min_texts: int = 3, generalise: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """term, p: the terms over the disclosure threshold, with their largest P(e | t), over all documents."""
+def revealing_terms(docs: DataFrame, min_texts: int = MIN_TEXTS, generalise: float = GENERALISE, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """term, risk: the terms over the disclosure thresholds, with their largest risk, over all documents."""
     spark = docs.sparkSession
     own = _texts(docs, id_col, text_col).select("text", F.xxhash64("text").alias("key"))
 
@@ -145,8 +157,10 @@ def revealing_terms(docs: DataFrame, min_texts: int = 3, generalise: float = 0.8
         rows = ((e, key) for text, key in rows_of(batches) if text for e in entities_of(text, base_spans(text)))
         return batches_of(rows, pa.schema([("entity", pa.string()), ("key", pa.int64())]))
 
-    # an entity of fewer texts can't stand with a term in min_texts of them
-    often = own.mapInArrow(mentions, "entity string, key long").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_texts)
+    total = own.filter("length(text) > 0").select("key").distinct().count()
+    least = share * math.log(max(total, 1))  # of PMI, in nats as all below
+    # an entity of fewer texts can't stand with a term in min_texts of them, nor one of more be told by any term
+    often = own.mapInArrow(mentions, "entity string, key long").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_texts) & (F.col("n") < total) & (F.log(total / F.col("n")) >= least - 1e-9))
     often = written(spark, often, "pii-entities")
     named = _few(often, "entity")
     sent_names = None if named is None else spark.sparkContext.broadcast(named)
@@ -171,9 +185,12 @@ def revealing_terms(docs: DataFrame, min_texts: int = 3, generalise: float = 0.8
     together = seen.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= min_texts)
     # a term stands in at least the texts where it stands with any entity, so most terms need no further count
     near_any = seen.groupBy("term").agg(F.countDistinct("key").alias("near_any"))
-    together = together.join(near_any, "term").filter(F.col("together") >= generalise * F.col("near_any")).select("term", "entity", "together")
+    content = F.log(total / F.col("n"))
+    pmi = lambda texts: F.log(total * F.col("together") / (F.col(texts) * F.col("n")))
+    told = lambda texts: (pmi(texts) >= least - 1e-9) & (pmi(texts) >= generalise * content - 1e-9)
+    together = together.join(near_any, "term").join(often, "entity").filter(told("near_any")).select("term", "entity", "together", "n")
     together = written(spark, together, "pii-together")
-    terms = together.groupBy("term").agg(F.max("together").alias("n"))
+    terms = together.groupBy("term").agg(F.max("together").alias("n"))  # n: for joined_by_group
     candidates = _few(terms, "term")
     sent = None if candidates is None else spark.sparkContext.broadcast(candidates)
 
@@ -192,16 +209,16 @@ def revealing_terms(docs: DataFrame, min_texts: int = 3, generalise: float = 0.8
 
     stands = own.mapInArrow(standing, "term string, key long")
     alone = (stands if sent else joined_by_group(stands, terms, "term", docs.count())).groupBy("term").agg(F.countDistinct("key").alias("alone"))
-    return together.join(alone, "term").groupBy("term").agg(F.max(F.col("together") / F.col("alone")).alias("p")).filter(F.col("p") >= generalise)
+    return together.join(alone, "term").filter(told("alone")).groupBy("term").agg(F.max(pmi("alone") / content).alias("risk"))
 
 
 def _with_terms(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str):
-    """docs with a column of each text's revealing terms (term, p) where they are too many for one
+    """docs with a column of each text's revealing terms (term, risk) where they are too many for one
     set, else None; and the set."""
     spark = docs.sparkSession
     terms = written(spark, terms, "pii-terms")
     if terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
-        return None, spark.sparkContext.broadcast({r["term"]: r["p"] for r in terms.collect()})
+        return None, spark.sparkContext.broadcast({r["term"]: r["risk"] for r in terms.collect()})
     keyed = docs.withColumn("__key", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
 
     def tokens(batches):
@@ -209,7 +226,7 @@ def _with_terms(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str):
         return batches_of(rows, pa.schema([("__key", pa.int64()), ("term", pa.string())]))
 
     has = keyed.select("__key", F.col(f"`{text_col}`").cast("string")).mapInArrow(tokens, "__key long, term string")
-    found = has.distinct().join(terms, "term").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("term", "p"))).alias("__terms"))
+    found = has.distinct().join(terms, "term").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("term", "risk"))).alias("__terms"))
     sizes = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
     return joined_by_group(keyed, sizes.join(found, "__key", "left"), "__key", docs.count()).select(*docs.columns, "__terms"), None
 
@@ -223,7 +240,7 @@ def spans_of(text: str | None, terms: dict[str, float]) -> dict[str, list[Span]]
     return spans
 
 
-def sanitise(text: str | None, terms: dict[str, float], remove: float = 0.95) -> str | None:
+def sanitise(text: str | None, terms: dict[str, float], remove: float = REMOVE) -> str | None:
     """The text with a placeholder for each span; a term at or over `remove` goes without one."""
     if text is None:
         return None
@@ -259,7 +276,7 @@ def personal_data(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", tex
     return (own if wide is None else wide).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-def sanitised(docs: DataFrame, terms: DataFrame, remove: float = 0.95, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def sanitised(docs: DataFrame, terms: DataFrame, remove: float = REMOVE, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """docs with sanitised texts (and their lengths), in one pass; all columns and rows stay."""
     wide, sent = _with_terms(docs, terms, id_col, text_col)
     at = docs.columns.index(text_col)

@@ -264,21 +264,25 @@ def test_personal_data(docs, odd, empty):
     assert pii.personal_data(empty, pii.revealing_terms(empty)).count() == 0
 
 
-def brute_terms(data, min_texts=3, generalise=0.8):
+def brute_terms(data, share, min_texts=3, generalise=0.9):
     """The terms by their definition: over distinct texts, all tokens that no base span touches."""
-    alone, together = defaultdict(set), defaultdict(set)
-    for text in {t for _, t in data if t}:
+    alone, together, of = defaultdict(set), defaultdict(set), defaultdict(set)
+    texts_of_all = {t for _, t in data if t}
+    for text in texts_of_all:
         spans = naive(text)
         free = {low(m[0]) for m in re.finditer(r"[^\W_]+", text) if all(m.end() <= a or m.start() >= b for x in spans.values() for a, b in x)}
         entities = {pii.entity(k, text[a:b]) for k, x in spans.items() for a, b in x}
+        for e in entities:
+            of[e].add(text)
         for t in free:
             alone[t].add(text)
             for e in entities:
                 together[t, e].add(text)
-    out = {}
-    for (t, _), texts in together.items():
-        if len(texts) >= min_texts and (p := len(texts) / len(alone[t])) >= generalise:
-            out[pii.term(t)] = max(p, out.get(pii.term(t), 0))
+    out, n = {}, len(texts_of_all)
+    for (t, e), texts in together.items():
+        content, told = math.log(n / len(of[e])), math.log(n * len(texts) / (len(alone[t]) * len(of[e])))
+        if len(texts) >= min_texts and content > 0 and told >= share * math.log(n) - 1e-9 and told >= generalise * content - 1e-9:
+            out[pii.term(t)] = max(told / content, out.get(pii.term(t), 0))
     return out
 
 
@@ -290,10 +294,10 @@ def test_terms_are_those_of_brute_force(spark, docs, odd, monkeypatch, most):
     """On both sides of the bound: real texts, odd rows, letters outside ASCII, superscripts, copies."""
     monkeypatch.setattr(pii, "MAX_BROADCAST_TERMS", most)
     data = ODD_LETTERS * 2 + [(100, ODD_LETTERS[0][1])] * 5
-    for df, own in [(docs, pairs(docs)), (odd, ODD), (frame(spark, data), data)]:
-        expected = brute_terms(own)
-        terms = pii.revealing_terms(df)
-        assert {r["term"]: round(r["p"], 9) for r in terms.collect()} == {t: round(p, 9) for t, p in expected.items()}
+    for df, own, share in [(docs, pairs(docs), 0.5), (odd, ODD, 0.2), (frame(spark, data), data, 0.2)]:
+        expected = brute_terms(own, share)
+        terms = pii.revealing_terms(df, share=share)
+        assert {r["term"]: round(r["risk"], 9) for r in terms.collect()} == {t: round(p, 9) for t, p in expected.items()}
         wanted = []
         for i, t in own:
             spans = naive(t)
@@ -303,25 +307,32 @@ def test_terms_are_those_of_brute_force(spark, docs, odd, monkeypatch, most):
         same(pii.personal_data(df, terms), wanted, ["doc_id", "spans"])
 
 
-TALKS = [(k, f"t{k} number report by Quillfeather reach quill@mail.example.org filler") for k in range(4)] + [(9, "a clean report mentions nobody"), (10, "Quillfeather came"), (11, None)]
-
-
-def test_revealing_terms(spark, monkeypatch):
-    """A token that stands in its texts with one address nearly always goes ("by" as well as the name, as
-    no other text has it); words that stand elsewhere stay."""
-    data = [(k, t.replace("number", f"n{'abcd'[k % 4] * 5}")) for k, t in TALKS[:4]] + [*TALKS[4:], *((20 + k, f"filler report reach w{k}") for k in range(8))]
+def test_revealing_terms(spark, tmp_path):
+    """A planted name is found by the registered query, with words that stand nowhere else; words of many texts aren't."""
+    names = ["ab", "cd", "ef", "gh"]
+    data = [(k, f"t{k} {names[k]} report by Quillfeather reach quill@mail.example.org filler") for k in range(4)]
+    data += [(9, "a clean report mentions nobody"), (10, "Quillfeather came"), (11, None), *((20 + k, f"filler report reach w{k}") for k in range(300))]
     df = frame(spark, data * 2)  # copies are no evidence
-    expected = {"quillfeather": 0.8, "by": 1.0}
-    for most in (pii.MAX_BROADCAST_TERMS, 0):
-        monkeypatch.setattr(pii, "MAX_BROADCAST_TERMS", most)
-        terms = pii.revealing_terms(df)
-        assert {r["term"]: round(r["p"], 4) for r in terms.collect()} == expected
-        out = {r["doc_id"]: r["text"] for r in pii.sanitised(df, terms).collect()}
-        assert out[10] == "[TERM] came" and out[9] == data[4][1] and out[11] is None and out[0] == "t0 naaaaa report  [TERM] reach [EMAIL] filler"
-        spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(df, terms).collect()}
-        assert spans[10] == "term:0:12" and spans[0].startswith("email:") and ",term:" in spans[0]
-        assert pii.sanitised(df, terms).columns == df.columns
+    terms = pii.revealing_terms(df)
+    assert {r["term"]: round(r["risk"], 3) for r in terms.collect()} == {"quillfeather": 0.949, "by": 1.0}
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(df, terms).collect()}
+    assert out[10] == "[TERM] came" and out[9] == data[4][1] and out[11] is None and out[0] == "t0 ab report  [TERM] reach [EMAIL] filler"
+    assert pii.sanitised(df, terms).columns == df.columns
     assert {r["doc_id"]: r["text"] for r in pii.sanitised(df, terms, remove=0.5).collect()}[10] == " came"
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spans = {r["doc_id"]: r["spans"] for r in pii.op4_pii(spark, str(tmp_path)).collect()}
+    assert spans[10] == "term:0:12" and spans[0].startswith("email:") and ",term:" in spans[0] and spans[25] == ""
+
+
+def test_a_shared_footer_reveals_nothing(spark):
+    """Texts of one site in a language of its own share an address and all its common words."""
+    site = [(k, f"and the shop is open today at number {k} w{k} to write you can reach us via shop@mail.example.org") for k in range(12)]
+    assert pii.revealing_terms(frame(spark, site)).count() == 0
+    others = [(100 + k, f"le magasin est ferme x{k} jusque demain") for k in range(500)]
+    for rows in (site + others, site + others + [(900 + k, f"the {k} and today y{k}") for k in range(400)]):
+        terms = pii.revealing_terms(frame(spark, rows))
+        assert terms.count() == 0
+        assert {r["text"] for r in pii.sanitised(frame(spark, site[:1]), terms).collect()} == {site[0][1].replace("shop@mail.example.org", "[EMAIL]")}
 
 
 # --- 5
