@@ -113,11 +113,13 @@ def greedy_kept(pairs: DataFrame, ids: DataFrame, checkpoint) -> DataFrame:
 
 
 def deduplicated(items: DataFrame, exact_scope: list[str], fuzzy_scope: list[str], order: list[str], checkpoint, threshold: float = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
-    """items (id, text, scope and order columns) that stay after both stages; short texts bypass them.
-
-    Ids must sort as the order does within a fuzzy scope.
-    """
+    """items (id, text, scope and order columns) that stay after both stages; short texts bypass them."""
     flagged = exact_flags(items, exact_scope, order, shortest=shortest).filter("first").drop("first")
+    return fuzzy_deduplicated(flagged, fuzzy_scope, order, checkpoint, threshold, shortest)
+
+
+def fuzzy_deduplicated(flagged: DataFrame, fuzzy_scope: list[str], order: list[str], checkpoint, threshold: float = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
+    """The second stage alone: what is similar to nothing earlier that stays; short texts bypass it."""
     long = flagged.filter(F.length("text") >= shortest)
     numbered = long.withColumn("n", F.row_number().over(W.partitionBy(*fuzzy_scope).orderBy(*order)))
     key = F.concat_ws("\x1f", *(F.col(c).cast("string") for c in fuzzy_scope), F.lpad(F.col("n").cast("string"), 12, "0"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import jaccard, word_set
-from corvane.operators import bm25, context, dedup, fusion, retrieval, vector
+from corvane.operators import bm25, context, dedup, fusion, ivf, retrieval, vector
 from corvane.operators.plugins import embedded, hashing_embedder
 from corvane.plans.base import CORPUS, query, terms
 from corvane.plans.base import word_set as words_sql
@@ -14,7 +15,7 @@ from corvane.plans.corpus_queries import PARAGRAPHS
 from corvane.plans.text_queries import caption_sql, kind_sql
 from corvane.sources.corpus import paragraphs
 from corvane.sources.corpus import sentences as corpus
-from corvane.sources.shared import written
+from corvane.sources.shared import new_path, written
 from corvane.sources.tables import table
 
 
@@ -292,3 +293,81 @@ def search_filtered(spark, sf_dir):
     none = spark.createDataFrame([], "id string, embedding array<float>")
     out = retrieval.search(sents, none, spark.createDataFrame(QUERY_LIST[:1], "query_id string, query string"), hashing_embedder(16), 5, where=F.expr("doc_id % 7 = 3 and page_num between 1 and 2"))
     return out.select("id", "rank", F.round("score", 6).alias("score"), "doc_id", F.md5("text").alias("digest"))
+
+
+#: A sentence's vector, by convention of the test tables: a row of embeddings that its place and length name.
+VECTOR_OF = "(doc_id * 31 + char_offset_start * 7 + length(text)) % (SELECT count(*) FROM embeddings)"
+UP_TO = f"""
+, m AS (SELECT h.id, h.rank AS hit_rank, h.score, h.doc_id, h.digest, p.page_num, p.text AS para, p.rank AS pos, row_number() OVER (PARTITION BY h.id ORDER BY p.rank DESC) = 1 AS last
+  FROM hits h JOIN ranked t ON t.doc_id = h.doc_id AND t.paragraph_id = h.paragraph_id JOIN ranked p ON p.doc_id = h.doc_id AND p.rank <= t.rank),
+l AS (SELECT *, {kind_sql('para')} AS kind, {caption_sql('para')} AS caption, lag(para, 1, '') OVER w AS before, lead(para, 1, '') OVER w AS after FROM m WINDOW w AS (PARTITION BY id ORDER BY pos)),
+a AS (SELECT id, any_value(hit_rank) AS hit_rank, any_value(score) AS score, any_value(doc_id) AS doc_id, any_value(digest) AS digest, count(*) FILTER (NOT last AND kind = 'text') AS nt,
+  arg_min(para, pos) FILTER (NOT last AND kind = 'text') AS t1, arg_max(para, pos) FILTER (NOT last AND kind = 'text') AS t2,
+  string_agg(chr(10) || '[' || CASE WHEN caption <> '' THEN caption ELSE 'Table at page ' || page_num END || ']' || chr(10) || para, chr(10) ORDER BY pos) FILTER (NOT last AND kind = 'table') AS tables,
+  string_agg(CASE WHEN before <> '' THEN 'Context: ' || left(before, 200) || '...' || chr(10) ELSE '' END || chr(10) || 'FORMULA:' || chr(10) || para || chr(10) || CASE WHEN after <> '' THEN chr(10) || 'Explanation: ' || left(after, 200) || '...' ELSE '' END, chr(10) ORDER BY pos) FILTER (NOT last AND kind = 'formula') AS formulas,
+  max(page_num) FILTER (last) AS page, max(para) FILTER (last) AS para FROM l GROUP BY 1)
+SELECT id, hit_rank::INT AS rank, round(score, 6) AS score, doc_id, digest, md5(
+  CASE WHEN nt = 0 THEN '' ELSE '=== CONTEXT SUMMARY ===' || chr(10) || CASE WHEN nt = 1 THEN t1 ELSE left(t1, 200) || '... ... ' || left(t2, 200) END || chr(10) || chr(10) END ||
+  CASE WHEN tables IS NOT NULL THEN '=== TABLES (Preserved) ===' || chr(10) || tables || chr(10) || chr(10) ELSE '' END ||
+  CASE WHEN formulas IS NOT NULL THEN '=== FORMULAS (with Context) ===' || chr(10) || formulas || chr(10) || chr(10) ELSE '' END ||
+  '=== CURRENT CHUNK (Page ' || page || ') ===' || chr(10) || para) AS context FROM a
+"""
+HYBRID = (
+    CORPUS
+    + PARAGRAPHS
+    + f""", qs AS (SELECT 'q1' AS query_id, 'the tion ing' AS query), {SENT_BM25},
+keep AS (SELECT id FROM sents WHERE doc_id % 3 = 1 AND page_num BETWEEN 1 AND 3),
+b AS ({HITS.format(where='WHERE id IN (SELECT id FROM keep)', k=20)}),
+v AS (SELECT 'q1' AS query_id, id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM
+  (SELECT s.id, {COS} AS score FROM (SELECT id, {VECTOR_OF} AS vec_id FROM sents WHERE id IN (SELECT id FROM keep)) s JOIN embeddings v USING (vec_id), (SELECT embedding FROM embeddings WHERE vec_id = 0) q) QUALIFY rank <= 20),
+j AS (SELECT 'q1' AS query_id, coalesce(v.id, b.id) AS id, v.score AS vs, b.score AS bs, v.rank AS vr, b.rank AS br FROM v FULL OUTER JOIN b ON v.id = b.id)
+"""
+    + WEIGHTED
+    + """, hits AS (SELECT f.id, f.rank, f.score, s.doc_id, s.paragraph_id, md5(g.text) AS digest FROM f JOIN sents s USING (id) JOIN g ON g.doc_id = s.doc_id AND g.paragraph_id = s.paragraph_id WHERE f.rank <= 5)
+"""
+    + UP_TO
+)
+
+
+@query("search_hybrid", HYBRID)
+def search_hybrid(spark, sf_dir):
+    """End to end: sentence vectors and postings under a filter, fused, whole paragraphs, and the context up to each."""
+    sents, known = corpus(table(spark, sf_dir, "documents")), table(spark, sf_dir, "embeddings")
+    place = F.pmod(F.col("doc_id") * 31 + F.col("char_offset_start") * 7 + F.length("text"), F.lit(known.count()))
+    vectors = sents.select("id", place.alias("vec_id")).join(known.select("vec_id", "embedding"), "vec_id").select("id", "embedding")
+    asked = np.array(_vector0(spark, sf_dir))
+    out = retrieval.search(sents, vectors, spark.createDataFrame(QUERY_LIST[:1], "query_id string, query string"), lambda texts: np.tile(asked, (len(texts), 1)), 5, where=F.expr("doc_id % 3 = 1 and page_num between 1 and 3"), cumulative=True)
+    return out.select("id", "rank", F.round("score", 6).alias("score"), "doc_id", F.md5("text").alias("digest"), F.md5("context").alias("context"))
+
+
+# --- trained cells
+
+START = 12
+
+
+@query(
+    "ivf_cells",
+    f"""WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+c0 AS (SELECT vec_id::INT AS cell, v AS c FROM u WHERE vec_id < {START}),
+a0 AS (SELECT vec_id, v, arg_max(cell, list_dot_product(v, c)) AS cell FROM u, c0 GROUP BY ALL),
+s0 AS (SELECT cell, k, sum(x) AS x FROM (SELECT cell, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM a0) GROUP BY ALL),
+c1 AS (SELECT cell, list(x ORDER BY k) AS c FROM s0 GROUP BY 1),
+n1 AS (SELECT cell, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM c1),
+a1 AS (SELECT vec_id, v, arg_max(cell, list_dot_product(v, c)) AS cell FROM u, n1 GROUP BY ALL)
+SELECT cell, count(*)::BIGINT AS vectors, sum(vec_id)::BIGINT AS ids FROM a1 GROUP BY 1""",
+)
+def ivf_cells(spark, sf_dir):
+    """Cells after one round of training from given centres."""
+    own = table(spark, sf_dir, "embeddings")
+    start = np.array([r[0] for r in own.filter(F.col("vec_id") < START).orderBy("vec_id").select("embedding").collect()], np.float64)
+    centres = ivf.trained(own, len(start), 1, start)
+    return ivf.assigned(ivf.usable(own), centres).groupBy("cell").agg(F.count(F.lit(1)).alias("vectors"), F.sum("id").alias("ids"))
+
+
+@query("ivf_search")
+def ivf_search(spark, sf_dir):
+    """Trained cells, vectors stored by cell, and every twentieth vector's nearest in a few cells."""
+    own, path = table(spark, sf_dir, "embeddings"), new_path(spark, "ivf")
+    ivf.stored(own, ivf.trained(own, 16), path)
+    asked = own.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return ivf.probed(spark, path, asked, 8).select("query_id", "id", "rank", F.round("score", 6).alias("score"))

@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corvane.operators.dedup import SHORTEST, THRESHOLD, fuzzy_deduplicated
 from corvane.operators.markup import cleaned, flattened, parsed
 from corvane.operators.store import pages_to_ingest
+from corvane.sources.shared import file_system, written
+
+
+#: The target of page ingestion is partitioned by a digest of doc_id, so a micro-batch reads the keys of its own parts.
+BUCKETS = 256
 
 
 def ingest_pages(stream: DataFrame, target: str, checkpoint: str, done: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
@@ -22,17 +28,58 @@ def ingest_pages(stream: DataFrame, target: str, checkpoint: str, done: Callable
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")):
-            keys = pages_to_ingest(batch.select("doc_id", "page_num"), spark.read.parquet(target))
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
+        files, at = file_system(spark, f"{target}/_SUCCESS")
+        if files.exists(at):
+            touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # BUCKETS at most
+            keys = pages_to_ingest(batch.select("doc_id", "page_num"), spark.read.parquet(target).filter(F.col("bucket").isin(touched)))
             batch = batch.join(keys, ["doc_id", "page_num"], "left_semi")
-        rows = cleaned(flattened(parsed(batch)))
-        rows.write.mode("append").parquet(target)
+        rows = cleaned(flattened(parsed(batch.drop("bucket"))))
+        rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")).write.mode("append").partitionBy("bucket").parquet(target)
         if done:
             done(rows, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def first_texts(rows: DataFrame, order: list[str], shortest: int = SHORTEST) -> DataFrame:
+    """Of a stream of rows (doc_id, text, ...) those whose text is the first of its document, in every micro-batch so
+    far; texts under `shortest`, and null ones, all. The state of a document's text is that it was seen; within a
+    micro-batch the first in order (a total one) counts."""
+    own = rows.withColumn("__text", F.md5("text"))
+    short = F.coalesce(F.length("text") < shortest, F.lit(True))
+    schema = rows.schema
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            for _ in batches:
+                pass
+            return
+        state.update((True,))
+        found = pd.concat([x.sort_values(order).head(1) for x in batches])
+        yield found.sort_values(order).head(1)[schema.names]
+
+    firsts = own.filter(~short).groupBy("doc_id", "__text").applyInPandasWithState(step, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return firsts.unionByName(own.filter(short).drop("__text"))
+
+
+def ingest_deduplicated(rows: DataFrame, target: str, checkpoint: str, order: list[str], threshold: float = THRESHOLD, shortest: int = SHORTEST) -> StreamingQuery:
+    """A stream of sentence rows (id, doc_id, page_num, text, and order) to `target`, without repeated texts: exact ones
+    of a document, whenever they come, and fuzzy ones of a page, whose rows must come in one micro-batch.
+
+    Pages must come in reading order from one micro-batch to the next for the first text to be the one that stays. A
+    replayed micro-batch replaces its own table.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        cut = lambda df: written(spark, df, "stream-dedup")
+        kept = fuzzy_deduplicated(cut(batch), ["doc_id", "page_num"], order, cut, threshold, shortest)
+        kept.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return first_texts(rows, order, shortest).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 VERDICT = "session_id long, seq long, rule string, verdict string"
 STATE = "tools array<string>, args array<string>, results array<string>, fail_tools array<string>, fail_counts array<int>, fired int, last_seq long"
 
