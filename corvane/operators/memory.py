@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from corvane.functions.text import is_core_fact
 from corvane.functions.times import micros
@@ -76,3 +77,40 @@ def statistics(memories: DataFrame) -> DataFrame:
 def with_core_facts(messages: DataFrame) -> DataFrame:
     """(key, content, category) of the facts that user messages (text) state about themselves."""
     return messages.filter(is_core_fact(F.col("text"))).select(F.lit("user_identity_fact").alias("key"), F.concat(F.lit("User mentioned: "), "text").alias("content"), F.lit("core").alias("category"))
+
+
+#: A session's time is cut into slots of so many units, within which memories are numbered by one task.
+SLOT = 3600
+
+
+def recalled(memories: DataFrame, messages: DataFrame, limit: int = 5, slot: float = SLOT) -> DataFrame:
+    """message_id, id, score, rank: for each message (message_id, session_id, at, query_vector) as recall() among the
+    memories (id, session_id, at, embedding) of its session before it: an as-of join for all messages at once.
+
+    Memories of a session are numbered in the order of time, within slots of time, whose counts are summed up
+    first, so no session is ordered by one task. A message knows by the same sums how many memories come before it,
+    and so the numbers of the newest 3 * limit; blocks of as many numbers make that an equi-join on two blocks at most.
+    A memory of the message's own time isn't before it. Null sessions or times recall nothing; of memories of one time
+    the smaller id is the newer.
+    """
+    wide = 3 * limit
+    place = F.floor(F.col("at") / F.lit(slot)).cast("long")
+    own = memories.filter("session_id is not null and at is not null").select("session_id", "at", "id", "embedding", place.alias("slot"))
+    asked = messages.filter("session_id is not null and at is not null").select("session_id", "at", "message_id", "query_vector", place.alias("slot"))
+    counts = own.groupBy("session_id", "slot").agg(F.count(F.lit(1)).alias("n"))
+    # slots that only messages are in have no memories of their own
+    slots = counts.unionByName(asked.select("session_id", "slot").distinct().withColumn("n", F.lit(0).cast("long"))).groupBy("session_id", "slot").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("session_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    slots = slots.select("session_id", "slot", before.alias("earlier"))
+    numbered = own.join(slots, ["session_id", "slot"]).withColumn("number", F.col("earlier") + F.row_number().over(W.partitionBy("session_id", "slot").orderBy("at", F.desc("id"))) - 1)
+    both = own.select("session_id", "slot", "at", F.lit(1).alias("memory"), F.lit(None).cast(dict(messages.dtypes)["message_id"]).alias("message_id")).unionByName(
+        asked.select("session_id", "slot", "at", F.lit(0).alias("memory"), "message_id")
+    )
+    within = F.sum("memory").over(W.partitionBy("session_id", "slot").orderBy("at", "memory").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ends = both.withColumn("within", within).filter("memory = 0").join(slots, ["session_id", "slot"]).select("message_id", (F.col("earlier") + F.col("within")).alias("upto"))
+    at = asked.join(ends, "message_id").filter("upto > 0").withColumn("since", F.greatest(F.col("upto") - wide, F.lit(0)))
+    blocks = at.withColumn("block", F.explode(F.sequence(F.floor(F.col("since") / wide), F.floor((F.col("upto") - 1) / wide)))).select("session_id", "block", "message_id", "query_vector", "since", "upto")
+    near = numbered.withColumn("block", F.floor(F.col("number") / wide)).join(blocks, ["session_id", "block"]).filter("number >= since and number < upto and embedding is not null")
+    scored = near.select("message_id", "id", cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
+    rank = F.row_number().over(W.partitionBy("message_id").orderBy(F.desc(F.round("score", 9)), "id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)

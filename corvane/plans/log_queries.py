@@ -63,6 +63,30 @@ def memory_recall(spark, sf_dir):
     return memory.recall(_memories(spark, sf_dir).join(vectors, "id", "left"), asked, 10000).select("id", F.round("score", 6).alias("score"))
 
 
+RECALLED = """WITH t AS (SELECT conv_id * 1000 + turn AS id, conv_id % 40 AS session_id, conv_id // 3 * 10 + turn AS moment, role, (conv_id * 7 + turn * 13) % (SELECT count(*) FROM embeddings) AS vec_id FROM conversations),
+v AS (SELECT t.*, e.embedding::DOUBLE[] AS embedding FROM t JOIN embeddings e USING (vec_id)),
+n AS (SELECT q.id AS message_id, m.id, m.embedding, q.embedding AS query_vector, row_number() OVER (PARTITION BY q.id ORDER BY m.moment DESC, m.id) AS newest FROM v q JOIN v m ON m.session_id = q.session_id AND m.moment < q.moment WHERE q.role = 'user' AND m.role = 'assistant'),
+s AS (SELECT message_id, id, list_cosine_similarity(embedding, query_vector) AS score FROM n WHERE newest <= 9)
+SELECT message_id, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 3"""
+
+
+@query("memory_recall_messages", RECALLED)
+def memory_recall_messages(spark, sf_dir):
+    """What every user message recalls of its session's earlier answers."""
+    known = table(spark, sf_dir, "embeddings")
+    turns = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        (F.col("conv_id") % 40).alias("session_id"),
+        (F.floor(F.col("conv_id") / 3) * 10 + F.col("turn")).alias("at"),
+        "role",
+        F.pmod(F.col("conv_id") * 7 + F.col("turn") * 13, F.lit(known.count())).alias("vec_id"),
+    )
+    own = turns.join(known.select("vec_id", "embedding"), "vec_id")
+    messages = own.filter("role = 'user'").select(F.col("id").alias("message_id"), "session_id", "at", F.col("embedding").alias("query_vector"))
+    out = memory.recalled(own.filter("role = 'assistant'").select("id", "session_id", "at", "embedding"), messages, 3, slot=100)
+    return out.select("message_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("memory_retention", MEMORIES + f"SELECT category, count(*)::BIGINT AS deleted FROM m WHERE ts < TIMESTAMP '{AS_OF}' - INTERVAL 15 DAY AND category <> 'core' GROUP BY 1")
 def memory_retention(spark, sf_dir):
     return memory.expired(_memories(spark, sf_dir), _as_of(), 15).groupBy("category").agg(F.count(F.lit(1)).alias("deleted"))
