@@ -8,6 +8,10 @@ choice among them is a fixpoint over the pairs alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -49,19 +53,46 @@ def joined_to_heads(rows: DataFrame, heads: DataFrame, keys: list[str], total: i
     return rows.join(hot, keys).unionByName(cold)
 
 
-#: A word of more than this share of the items is frequent. Of such words there are at most the items'
-#: mean number of words times 1 / share, whatever the corpus' size.
-FREQUENT = 0.0005
-MAX_FREQUENT = 500_000
+#: Words are counted under so many digests; the counts go to all tasks.
+COUNTED = 1 << 20
+
+
+def _rarity(own: DataFrame) -> np.ndarray:
+    """How many items hold words of each of COUNTED digests: no less than the items of any word of it."""
+    counts = own.select(F.explode("words").alias("word")).groupBy(F.pmod("word", F.lit(COUNTED)).alias("at")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # COUNTED rows at most
+    out = np.zeros(COUNTED, np.int64)
+    out[counts["at"].to_numpy()] = counts["n"].to_numpy()
+    return out
+
+
+def _prefixes(classes: DataFrame, rarity: np.ndarray, threshold: float, scope: list[str]) -> DataFrame:
+    """scope, id, n, at, word: the first words of each class by rarity, then digest."""
+    sent = classes.sparkSession.sparkContext.broadcast(rarity)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ends = np.asarray(batch.column(batch.num_columns - 1).flatten()), np.asarray(batch.column(batch.num_columns - 1).offsets)
+            ends, n = ends - ends[0], np.diff(ends)
+            item = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((words, sent.value[words % COUNTED], item))
+            at = np.arange(len(words)) - np.repeat(ends[:-1], n) + 1
+            first = at <= np.repeat(n - np.ceil(np.round(n * threshold, 9)) + 1, n)
+            rows = batch.take(pa.array(item[first]))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(at[first]), pa.array(words[order][first])], names=[*scope, "id", "n", "at", "word"])
+
+    kinds = dict(classes.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*scope, "id", "n"]) + ", at long, word long"
+    return classes.select(*scope, "id", "n", "words").mapInArrow(run, schema)
 
 
 def similar_pairs(items: DataFrame, threshold: float = THRESHOLD, scope: list[str] | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """scope columns, a, b (a < b), similarity, copy of every pair at or over the threshold with a word in it.
 
     Two sets that similar share a word among the size - ceil(threshold * size) + 1 first of each in any
-    order of words, and their sizes differ by the same factor. The order: words that aren't frequent by
-    their digest, then frequent ones, rarest first. So only frequent words need their counts, and no word
-    that many items hold is joined while rarer ones do. Words are known by 64-bit digests throughout.
+    order of words, and their sizes differ by the same factor. The order: rarest first, by counts of COUNTED digests
+    of words, which is one order for all items and needs no join of words with their counts. Words are joined
+    within classes of sizes that can match, and a pair leaves the join only if what follows the word in both leaves
+    room for the similarity. Words are known by 64-bit digests throughout.
     Items of one word set are one class in the join, and come back as pairs with the class' smallest id,
     and pairs between classes' smallest ids.
     """
@@ -72,21 +103,17 @@ def similar_pairs(items: DataFrame, threshold: float = THRESHOLD, scope: list[st
     classes = own.groupBy(*scope, "key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("words").alias("words"))
     classes = written(spark, classes.withColumn("n", F.size("words")), "word-classes")
     total = own.count()
-    df = own.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    frequent = written(spark, df.filter(F.col("df") > max(2, int(FREQUENT * total))), "frequent-words")
-    few = frequent.limit(MAX_FREQUENT + 1).count() <= MAX_FREQUENT
-    ranked = classes.select(*scope, "id", "n", F.explode("words").alias("word")).join(F.broadcast(frequent) if few else frequent, "word", "left")
-    # the first words of each item: one array an item, not one sort of all words
-    most = F.col("n") - F.ceil(F.round(F.col("n") * threshold, 9)) + 1
-    prefix = ranked.groupBy(*scope, "id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("in_order"))
-    prefix = prefix.select(*scope, "id", "n", F.posexplode(F.slice("in_order", F.lit(1), most.cast("int"))).alias("at", "w")).select(*scope, "id", "n", "at", F.col("w.word").alias("word"))
-    left = prefix.select(*scope, "word", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    right = prefix.select(*scope, "word", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    prefix = written(spark, _prefixes(classes, _rarity(own), threshold, scope), "word-prefixes")
+    # sizes that can match are in one class of sizes or in neighbours
+    size = F.floor(F.log("n") / F.lit(-float(np.log(threshold)) * (1 + 1e-9))).cast("int") if threshold < 1 else F.col("n")
+    near = F.sequence(size - 1, size + 1) if threshold < 1 else F.array(size)
+    left = prefix.select(*scope, "word", size.alias("size"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    right = prefix.select(*scope, "word", F.explode(near).alias("size"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
     fits = (F.col("a") < F.col("b")) & (F.col("na") >= F.round(F.col("nb") * threshold, 9)) & (F.col("nb") >= F.round(F.col("na") * threshold, 9))
     # a word in common at places pa and pb, if it is the first one, leaves room for so many in common
-    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    pairs = left.join(right, [*scope, "word"]).filter(fits).groupBy(*scope, "a", "b", "na", "nb").agg(F.max(room).alias("room"))
-    pairs = written(spark, pairs.filter(F.col("room") >= F.round((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)), 9)).select(*scope, "a", "b"), "word-pairs")
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    wide = room >= F.round((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)), 9)
+    pairs = written(spark, left.join(right, [*scope, "word", "size"]).filter(fits & wide).select(*scope, "a", "b").distinct(), "word-pairs")
     full = pairs.join(classes.select(*scope, F.col("id").alias("a"), F.col("words").alias("wa")), [*scope, "a"]).join(classes.select(*scope, F.col("id").alias("b"), F.col("words").alias("wb")), [*scope, "b"])
     near = full.select(*scope, "a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12).withColumn("copy", F.lit(False))
     heads = classes.filter("copies > 1").select(*scope, "key", F.col("id").alias("a"), "copies")
