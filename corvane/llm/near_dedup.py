@@ -279,7 +279,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str, max_bucket: int, jaccard
         edges = jaccard_links(docs, prints, edges, jaccard, text_col)
     nodes = components(edges)
     firsts = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    return prints, firsts.join(nodes, firsts["fp"] == nodes["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "n")
+    named = firsts.join(nodes, firsts["fp"] == nodes["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "n")
+    return prints, written(spark, named, "simhash-named")  # it is read several times
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET, jaccard: float | None = None) -> DataFrame:
@@ -296,7 +297,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
     """docs with one row of each component, under all its columns: that of its smallest doc_id, nulls last,
-    and of one id that of the smallest text digest. Rows that repeat an id and a text are one row."""
+    and of one id that of the smallest text digest. Rows that repeat an id and a text are one row, that of the
+    smallest digest of all columns. An empty table stays empty."""
     prints, named = _named(docs, id_col, text_col, MAX_BUCKET, jaccard)
     of = joined_by_group(prints.select("doc_id", "fp", "key"), named, "fp", prints.count())
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
@@ -306,7 +308,10 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("key").alias("__chosen"))
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__chosen"))
     out = keyed_docs.join(chosen, same, "left_semi")
-    return (out.dropDuplicates([id_col, "__key"]) if repeats else out).drop("__key")
+    if repeats:
+        one = W.partitionBy(f"`{id_col}`", "__key").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+        out = out.withColumn("__at", F.row_number().over(one)).filter("__at = 1").drop("__at")
+    return out.drop("__key")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
