@@ -194,16 +194,24 @@ def revealing_terms(docs: DataFrame, min_texts: int = MIN_TEXTS, generalise: flo
     candidates = _few(terms, "term")
     sent = None if candidates is None else spark.sparkContext.broadcast(candidates)
 
+    # a term of more texts tells too little of anything, so one task's first limit + 1 texts prove that it's none
+    limit = math.floor(max(total, 1) * math.exp(-least) * (1 + 1e-9))
+
     def standing(batches):
         wanted = sent.value if sent else None
 
         def rows():
             if wanted is not None and not wanted:
                 return
+            texts, counts = set(), {}
             for text, key in rows_of(batches):
-                if text and (wanted is None or not wanted.isdisjoint(map(term, TOKEN.findall(text)))):
+                if text and key not in texts and (wanted is None or not wanted.isdisjoint(map(term, TOKEN.findall(text)))):
+                    texts.add(key)
                     has = terms_of(text, base_spans(text))
-                    yield from ((t, key) for t in (has if wanted is None else wanted & has))
+                    for t in has if wanted is None else wanted & has:
+                        if (n := counts.get(t, 0)) <= limit:
+                            counts[t] = n + 1
+                            yield t, key
 
         return batches_of(rows(), pa.schema([("term", pa.string()), ("key", pa.int64())]))
 
