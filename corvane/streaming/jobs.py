@@ -84,37 +84,82 @@ VERDICT = "session_id long, seq long, rule string, verdict string"
 STATE = "tools array<string>, args array<string>, results array<string>, fail_tools array<string>, fail_counts array<int>, fired int, last_seq long"
 
 
+class _Calls:
+    """The last few calls of a session, and the failures of each tool in the run that lasts."""
+
+    def __init__(self, held: tuple | None, repeats: int, cycles: int, failures: int):
+        self.tools, self.args, self.results, names, counts, self.fired, self.seq = (list(x) if hasattr(x, "__iter__") and not isinstance(x, str) else x for x in held) if held else ([], [], [], [], [], 0, None)
+        self.fails = dict(zip(names, counts, strict=True))
+        self.repeats, self.cycles, self.failures, self.keep = repeats, cycles, failures, max(repeats, 2 * cycles)
+
+    def judged(self, r) -> tuple:
+        """seq, rule, verdict of the next call."""
+        repeats, cycles, keep = self.repeats, self.cycles, self.keep
+        self.seq, tool = int(r.seq), r.tool.lower()
+        self.tools, self.args, self.results = [*self.tools, tool][-keep:], [*self.args, r.args_hash][-keep:], [*self.results, r.result_hash][-keep:]
+        self.fails = {} if r.success else {**self.fails, r.tool: self.fails.get(r.tool, 0) + 1}
+        same = repeats > 0 and len(self.tools) >= repeats and len(set(zip(self.tools[-repeats:], self.args[-repeats:], self.results[-repeats:], strict=True))) == 1
+        last = self.tools[-2 * cycles :]
+        pong = cycles >= 2 and len(last) == 2 * cycles and len(set(last)) == 2 and len(set(last[::2])) == 1 and len(set(last[1::2])) == 1
+        streak = any(n >= self.failures for n in self.fails.values())
+        rule = "no_progress" if same else "ping_pong" if pong else "failure_streak" if streak else None
+        self.fired += rule is not None
+        return self.seq, rule, "CONTINUE" if rule is None else "INJECT_WARNING" if self.fired == 1 else "HARD_STOP"
+
+    def state(self) -> tuple:
+        return self.tools, self.args, self.results, [*self.fails], [*self.fails.values()], self.fired, self.seq
+
+
 def loop_verdicts(calls: DataFrame, repeats: int = 3, cycles: int = 2, failures: int = 3) -> DataFrame:
     """The verdict on every call, from the last few calls and the failures of each tool in the run that lasts.
 
     Calls of a session must come in order from one micro-batch to the next, as a log's files do; within one
-    they are sorted. A call with a smaller seq than the last one judged is an error, not a wrong verdict.
+    they are sorted. A call with a smaller seq than the last one judged is an error, not a wrong verdict;
+    ordered_verdicts() waits for late ones.
     """
-    keep = max(repeats, 2 * cycles)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tools, args, results, names, counts, fired, seq = (list(x) if hasattr(x, "__iter__") and not isinstance(x, str) else x for x in state.get) if state.exists else ([], [], [], [], [], 0, None)
-        fails, out = dict(zip(names, counts, strict=True)), []
-        rows = pd.concat([*batches]).sort_values("seq")
-        for r in rows.itertuples():
-            if seq is not None and int(r.seq) < seq:
-                raise ValueError(f"session {key[0]}: call {r.seq} comes after call {seq}")
-            seq, tool = int(r.seq), r.tool.lower()
-            tools, args, results = [*tools, tool][-keep:], [*args, r.args_hash][-keep:], [*results, r.result_hash][-keep:]
-            fails = {} if r.success else {**fails, r.tool: fails.get(r.tool, 0) + 1}
-            same = repeats > 0 and len(tools) >= repeats and len(set(zip(tools[-repeats:], args[-repeats:], results[-repeats:], strict=True))) == 1
-            last = tools[-2 * cycles :]
-            pong = cycles >= 2 and len(last) == 2 * cycles and len(set(last)) == 2 and len(set(last[::2])) == 1 and len(set(last[1::2])) == 1
-            streak = any(n >= failures for n in fails.values())
-            rule = "no_progress" if same else "ping_pong" if pong else "failure_streak" if streak else None
-            fired += rule is not None
-            out.append((key[0], seq, rule, "CONTINUE" if rule is None else "INJECT_WARNING" if fired == 1 else "HARD_STOP"))
-        state.update((tools, args, results, [*fails], [*fails.values()], fired, seq))
+        own, out = _Calls(state.get if state.exists else None, repeats, cycles, failures), []
+        for r in pd.concat([*batches]).sort_values("seq").itertuples():
+            if own.seq is not None and int(r.seq) < own.seq:
+                raise ValueError(f"session {key[0]}: call {r.seq} comes after call {own.seq}")
+            out.append((key[0], *own.judged(r)))
+        state.update(own.state())
         yield pd.DataFrame(out, columns=["session_id", "seq", "rule", "verdict"])
 
     return calls.groupBy("session_id").applyInPandasWithState(step, VERDICT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+HELD = ["seq", "ms", "tool", "args_hash", "result_hash", "success"]
+WAITING = STATE + ", " + ", ".join(f"held_{c} array<{t}>" for c, t in zip(HELD, ("long", "long", "string", "string", "string", "boolean"), strict=True))
+
+
+def ordered_verdicts(calls: DataFrame, late: str = "1 hour", repeats: int = 3, cycles: int = 2, failures: int = 3) -> DataFrame:
+    """As loop_verdicts() for calls (also ts, an event time that grows with seq) that may come late: a session's calls
+    wait in its state until the watermark, `late` behind the newest call of all, has passed them, and are then judged in
+    order. A call that comes later still is dropped by the watermark; calls newer than it have no verdict yet."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else None
+        n = len(STATE.split(", "))
+        own = _Calls(held[:n] if held else None, repeats, cycles, failures)
+        waiting = pd.DataFrame(dict(zip(HELD, map(list, held[n:]), strict=True)), columns=HELD) if held else pd.DataFrame(columns=HELD)
+        if not state.hasTimedOut:
+            new = pd.concat([*batches])
+            waiting = pd.concat([waiting, new.assign(ms=[t.value // 1_000_000 for t in new["ts"]])[HELD]])
+        waiting = waiting.sort_values("seq")
+        ready = waiting["ms"].astype("int64") < state.getCurrentWatermarkMs()
+        out = [(key[0], *own.judged(r)) for r in waiting[ready].itertuples()]
+        waiting = waiting[~ready]
+        state.update((*own.state(), *(waiting[c].tolist() for c in HELD)))
+        if len(waiting):
+            state.setTimeoutTimestamp(int(waiting["ms"].min()) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "seq", "rule", "verdict"])
+
+    return calls.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(step, VERDICT, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 ENTRY = "key string, newest timestamp, writes long"
 
 
