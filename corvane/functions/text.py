@@ -61,6 +61,7 @@ MATH_KEYWORDS = ["equation", "=", "∫", "∑", "∂", "≈", "≤", "≥"]
 # Phrases that make a message a core fact.
 CORE_PHRASES = ["name is", "i am", "my name", "remember that", "don't forget"]
 
+# What a sentence is, and how a tool call is tagged.
 SENTENCE = r"[^.!?]+[.!?]+\s?|[^.!?]+$"
 TOOL_CALL = r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"
 
@@ -178,6 +179,7 @@ def is_core_fact(text: Column) -> Column:
 
 def truncated(text: Column, most: int = 20_000) -> Column:
     """A workspace file's text as a prompt takes it."""
+    # the mark is a fixed value
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit(f"\n\n[... truncated at {most} chars]")))
 
 

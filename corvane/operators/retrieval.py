@@ -130,6 +130,7 @@ def cumulative_context(paragraphs: DataFrame) -> DataFrame:
         F.when(f["after"] != "", F.concat(F.lit("\nExplanation: "), cut(f["after"]), F.lit("..."))).otherwise(""),
     )
     formulas = F.array_join(F.transform("formulas", formula), "\n")
+    # the headings are fixed values
     context = F.concat(
         F.when(F.col("summary") != "", F.concat(F.lit("=== CONTEXT SUMMARY ===\n"), "summary", F.lit("\n\n"))).otherwise(""),
         F.when(F.size("tables") > 0, F.concat(F.lit("=== TABLES (Preserved) ===\n"), tables, F.lit("\n\n"))).otherwise(""),

@@ -73,6 +73,7 @@ def compacted(messages: DataFrame, most: int = 20, keep: int = 4, by: str = "con
     kept = own.filter((F.col("__n") <= most) | (F.col("__back") <= keep)).select(by, (F.col("__n") - F.col("__back")).alias("__pos"), "role", "text", "__n")
     old = own.filter((F.col("__n") > most) & (F.col("__back") > keep))
     part = lambda role, name: F.when(F.count_if(F.col("role") == role) > 0, F.concat(F.count_if(F.col("role") == role).cast("string"), F.lit(f" {name}")))
+    # the summary's words are fixed values
     summary = F.concat(F.lit("Previous conversation: "), F.concat_ws(", ", part("user", "user queries"), part("assistant", "assistant responses"), part("tool", "tool results")), F.lit("."))
     heads = old.groupBy(by).agg(summary.alias("text"), F.max("__n").alias("__n")).select(by, F.lit(-1).alias("__pos"), F.lit("system").alias("role"), "text", "__n")
     both = kept.unionByName(heads)
