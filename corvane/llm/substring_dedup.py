@@ -268,3 +268,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM t),
+g AS (SELECT r, doc_id, pos, word, CASE WHEN count(*) OVER v = 13 THEN string_agg(word, ' ') OVER v END AS passage FROM x
+      WINDOW v AS (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+f AS (SELECT passage, min(doc_id) AS first FROM g WHERE passage IS NOT NULL GROUP BY passage),
+h AS (SELECT r, pos, word, coalesce((first < doc_id)::INT, 0) AS hit FROM g LEFT JOIN f USING (passage)),
+c AS (SELECT r, pos, word, max(hit) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM h),
+s AS (SELECT r, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0) AS kept FROM c GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN s USING (r)
+"""

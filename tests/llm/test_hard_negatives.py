@@ -38,11 +38,13 @@ def found(df, **more) -> Counter:
     return Counter(map(tuple, op.hard_negatives(df, **more).select(*columns).collect()))
 
 
-def test_embeddings(spark, sf):
+def test_embeddings(spark, sf, duck):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [(r[0], r[1], [float(x) for x in r[2]]) for r in df.select("vec_id", "label", "embedding").collect()]
     got = Counter(map(tuple, op.op13_hard_negatives(spark, sf).collect()))
     assert got == brute(rows) and got
+    columns = "anchor_id, positive_id, rank, negative_id, positive_score, negative_score"
+    assert got == Counter(duck.execute(f"SELECT {columns} FROM ({op.OP13_SQL})").fetchall())
 
 
 @pytest.mark.parametrize("group", [op.GROUP, 3])

@@ -37,10 +37,11 @@ def found(df, **more) -> Counter:
     return Counter(map(tuple, op.substring_dedup(df, **more).collect()))
 
 
-def test_documents(spark, sf):
+def test_documents(spark, sf, duck):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = Counter(map(tuple, op.op12_substring_dedup(spark, sf).collect()))
     assert got == brute(rows) and any(r[2] for r in got)
+    assert got == Counter(duck.execute(op.OP12_SQL).fetchall())
 
 
 @pytest.mark.parametrize("patterns", [op.PATTERNS, 7])
