@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import narrow, written
 
-UNITS, CHARS = 300_000, 1 << 26
+UNITS, CHARS = 200_000, 1 << 26
 #: Documents whose new units are encoded at once, and characters of them.
 BATCH, BATCH_CHARS = 256, 1 << 20
 SHIFT = 32
@@ -352,14 +352,14 @@ def _summed(batches) -> Iterator[pa.RecordBatch]:
                     rows = np.concatenate(own) if own else np.zeros((0, 4), np.int64)
                     sums = np.zeros((len(rows), 3), np.int64)
                     sums[rows[:, 0]] = rows[:, 1:]
-                lists = part.column(9)
-                counts = np.diff(np.asarray(lists.offsets))
-                each = sums[np.asarray(lists.flatten())] * np.asarray(part.column(10).flatten())[:, None]
-                total = np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(each, axis=0)))
-                edge = np.concatenate(([0], np.cumsum(counts)))
-                found = total[edge[1:]] - total[edge[:-1]]
-                ids = part.column(3).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, *(part.column(c) for c in (4, 5, 6, 7)), pa.array(found[:, 1]), pa.array(found[:, 2]), pa.array(found[:, 0]), part.column(8)], names=[x.split()[0] for x in RESULT.split(", ")])
+                for at in range(0, part.num_rows, BATCH):
+                    docs = part.slice(at, BATCH)
+                    flat, times = (np.asarray(docs.column(c).flatten()) for c in (9, 10))
+                    total = np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(sums[flat] * times[:, None], axis=0)))
+                    edge = np.concatenate(([0], np.cumsum(np.diff(np.asarray(docs.column(9).offsets)))))
+                    found = total[edge[1:]] - total[edge[:-1]]
+                    ids = docs.column(3).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids, *(docs.column(c) for c in (4, 5, 6, 7)), pa.array(found[:, 1]), pa.array(found[:, 2]), pa.array(found[:, 0]), docs.column(8)], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
