@@ -46,6 +46,8 @@ CARD_HINT = re.compile(r"[0-9](?:[\x20-]?[0-9]){12}")
 #: Flagged or candidate terms, or entities, up to this many go to the workers as one set; more are joined.
 MAX_BROADCAST_TERMS = 200_000
 LONGEST_TERM = 64
+#: Keys of texts that a task holds before it puts them out.
+MAX_HELD = 1_000_000
 MIN_TEXTS, GENERALISE, REMOVE, SHARE = 3, 0.9, 0.98, 0.7
 
 Span = tuple[int, int]
@@ -203,20 +205,42 @@ def revealing_terms(docs: DataFrame, min_texts: int = MIN_TEXTS, generalise: flo
         def rows():
             if wanted is not None and not wanted:
                 return
-            texts, counts = set(), {}
+            texts, held, n = set(), {}, 0
             for text, key in rows_of(batches):
                 if text and key not in texts and (wanted is None or not wanted.isdisjoint(map(term, TOKEN.findall(text)))):
                     texts.add(key)
                     has = terms_of(text, base_spans(text))
                     for t in has if wanted is None else wanted & has:
-                        if (n := counts.get(t, 0)) <= limit:
-                            counts[t] = n + 1
-                            yield t, key
+                        if len(own := held.setdefault(t, [])) <= limit:
+                            own.append(key)
+                            n += 1
+                    if n > MAX_HELD:
+                        yield from held.items()
+                        held, n = {}, 0
+            yield from held.items()
 
-        return batches_of(rows(), pa.schema([("term", pa.string()), ("key", pa.int64())]))
+        return batches_of(rows(), pa.schema([("term", pa.string()), ("keys", pa.list_(pa.int64()))]), 1024)
 
-    stands = own.mapInArrow(standing, "term string, key long")
-    alone = (stands if sent else joined_by_group(stands, terms, "term", docs.count())).groupBy("term").agg(F.countDistinct("key").alias("alone"))
+    def merged(batches):
+        """The texts of each term, rows of a term standing together; of those over the limit no more than that they are."""
+
+        def rows():
+            now, keys = None, set()
+            for t, own in rows_of(batches):
+                if t != now:
+                    if now is not None:
+                        yield now, len(keys)
+                    now, keys = t, set()
+                if len(keys) <= limit:
+                    keys.update(own)
+            if now is not None:
+                yield now, len(keys)
+
+        return batches_of(rows(), pa.schema([("term", pa.string()), ("alone", pa.int64())]))
+
+    stands = own.mapInArrow(standing, "term string, keys array<long>")
+    stands = stands if sent else joined_by_group(stands, terms, "term", docs.count())
+    alone = stands.repartition("term").sortWithinPartitions("term").mapInArrow(merged, "term string, alone long")
     return together.join(alone, "term").filter(told("alone")).groupBy("term").agg(F.max(pmi("alone") / content).alias("risk"))
 
 
