@@ -55,6 +55,8 @@ def joined_to_heads(rows: DataFrame, heads: DataFrame, keys: list[str], total: i
 
 #: Words are counted under so many digests; the counts go to all tasks.
 COUNTED = 1 << 20
+#: Words that are ordered at once in a task.
+AT_ONCE = 1 << 20
 
 
 def _rarity(own: DataFrame) -> np.ndarray:
@@ -71,14 +73,21 @@ def _prefixes(classes: DataFrame, rarity: np.ndarray, threshold: float, scope: l
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, ends = np.asarray(batch.column(batch.num_columns - 1).flatten()), np.asarray(batch.column(batch.num_columns - 1).offsets)
-            ends, n = ends - ends[0], np.diff(ends)
-            item = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((words, sent.value[words % COUNTED], item))
-            at = np.arange(len(words)) - np.repeat(ends[:-1], n) + 1
-            first = at <= np.repeat(n - np.ceil(np.round(n * threshold, 9)) + 1, n)
-            rows = batch.take(pa.array(item[first]))
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(at[first]), pa.array(words[order][first])], names=[*scope, "id", "n", "at", "word"])
+            before = np.asarray(batch.column(batch.num_columns - 1).offsets)[:-1]
+            starts = np.flatnonzero(np.diff((before - before[:1]) // AT_ONCE, prepend=-1))
+            for s, e in zip(starts, np.append(starts[1:], batch.num_rows), strict=False):
+                yield ordered(batch.slice(s, e - s))
+
+    def ordered(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, ends = np.asarray(batch.column(batch.num_columns - 1).flatten()), np.asarray(batch.column(batch.num_columns - 1).offsets)
+        ends, n = ends - ends[0], np.diff(ends)
+        item = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((words, sent.value[words % COUNTED], item))
+        at = np.arange(len(words)) - np.repeat(ends[:-1], n) + 1
+        first = at <= np.repeat(n - np.ceil(np.round(n * threshold, 9)) + 1, n)
+        # without the words themselves: a row for each word of a prefix would hold the whole set again
+        rows = batch.select(range(batch.num_columns - 1)).take(pa.array(item[first]))
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(at[first]), pa.array(words[order][first])], names=[*scope, "id", "n", "at", "word"])
 
     kinds = dict(classes.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*scope, "id", "n"]) + ", at long, word long"

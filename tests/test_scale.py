@@ -245,3 +245,24 @@ def test_streamed_pages_are_those_of_a_batch(spark, sf):
 
     own = cleaned(flattened(parsed(_pages(spark, sf)))).select("id", "doc_id", "item_type", "char_offset_start", F.md5("text").alias("digest"))
     assert rows(catalogue.QUERIES["stream_ingest_pages"](spark, sf)) == rows(own)
+
+
+def test_prefixes_hold_no_word_set_a_word():
+    """300 sets of 2,000 words have 120,300 prefix words: 2 GB if each of those rows holds its set."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+    classes = SimpleNamespace(sparkSession=session, dtypes=[("id", "bigint"), ("n", "int"), ("words", "array<bigint>")], select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
+    words = np.arange(600_000) * 7919
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([2000] * 300, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, 600_001, 2000), pa.int32()), pa.array(words))], names=["id", "n", "words"])
+    before, pool = pa.default_memory_pool(), pa.system_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        found = pa.Table.from_batches(dedup._prefixes(classes, np.ones(dedup.COUNTED, np.int64), 0.8, [])([batch]))
+    finally:
+        pa.set_memory_pool(before)
+    assert found.num_rows == 300 * 401 and found.column_names == ["id", "n", "at", "word"]
+    assert pool.max_memory() < 64 << 20
+    assert set(found["word"].to_pylist()[:401]) == set(words[:401].tolist())
