@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from conftest import rows
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from corvane.functions.vectors import cosine
 from corvane.operators import ivf, vector
 from corvane.plans import catalogue
 from corvane.sources.shared import new_path
@@ -63,3 +67,19 @@ def test_pages_of_a_stream_are_read_by_key(spark, sf):
     wanted = c.execute(PARSED + "SELECT doc_id, md5(text), item_type FROM r").fetchall()
     got = [(r["doc_id"], r["digest"], r["item_type"]) for r in catalogue.QUERIES["stream_ingest_pages"](spark, sf).collect()]
     assert {x for x in got} <= {x for x in wanted} and len(got) > 0.5 * len(wanted)
+
+
+def test_nearest_of_odd_vectors_without_pairs_of_all_rows(spark):
+    """Copies, ties, zero and null vectors, NaN, other lengths, ids as text: as by cosine() over all pairs, which no join makes."""
+    rng = np.random.default_rng(5)
+    each = [[float(x) for x in rng.normal(size=4)] for _ in range(60)]
+    each += [each[3]] * 9 + [[2 * x for x in each[4]]] * 7 + [[0.0] * 4] * 8 + [[1.0, 2.0]] * 2 + [None, [], [1.0, None, 0.0, 0.0], [float("nan"), 1.0, 0.0, 0.0], [float("inf"), 1.0, 0.0, 0.0]]
+    df = spark.createDataFrame([(f"v{n}", v) for n, v in enumerate(each)], "vec_id string, embedding array<double>")
+    asked = df.filter("cast(substr(vec_id, 2) as int) % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    pairs = df.crossJoin(asked).filter("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"), cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
+    wanted = rows(pairs.withColumn("rank", rank).filter("rank <= 5"))
+    for most in (10_000, 4):
+        found = vector.batch_top_k(df, asked, 5, most=most)
+        assert rows(found) == wanted
+        assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
