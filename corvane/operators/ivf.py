@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corvane.functions.vectors import cosine
-from corvane.operators.vector import MAX_CELLS
+from corvane.operators.vector import MAX_CELLS, nearest
 from corvane.sources.shared import written
 
 SEED_ROUNDS, OVERSAMPLING, ROUNDS = 4, 2, 10
@@ -189,9 +189,7 @@ def probed(spark: SparkSession, path: str, queries: DataFrame, probes: int = 10,
     near = written(spark, near, "ivf-probes")
     asked = [r["cell"] for r in near.select("cell").distinct().collect()]  # at most MAX_CELLS
     rows = spark.read.parquet(f"{path}/cells").filter(F.col("cell").isin(asked))
-    scored = rows.join(near, "cell").filter(F.col("id") != F.col("query_id")).select("query_id", "id", cosine(F.col("vector"), F.col("query_vector")).alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return nearest(rows.select("cell", "id", F.col("vector").alias("v")), near, k)
 
 
 def share_read(spark: SparkSession, path: str, queries: DataFrame, probes: int) -> float:
