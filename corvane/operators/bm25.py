@@ -7,6 +7,10 @@ repeated query term counts again. Lengths are exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -15,16 +19,35 @@ from corvane.functions.text import terms
 
 K1, B = 1.2, 0.75
 MAX_BROADCAST = 10_000
+#: Terms that are counted at once in a task.
+AT_ONCE = 1 << 20
 
 
 def lengths(items: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     return items.select(F.col(id_col).alias("id"), F.size(terms(F.col(text_col))).cast("long").alias("length"))
 
 
-def postings(items: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """term, id, tf, length. Terms of one item lie in one row, so counting them is one shuffle."""
-    each = items.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("terms")).select("id", F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term"))
-    return each.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+def postings(items: DataFrame, id_col: str = "id", text_col: str = "text", unique: bool = False) -> DataFrame:
+    """term, id, length, tf. Terms of one item lie in one row, so they are counted there, and no term is shuffled.
+    unique: whether ids are known to be unique; if an id occurs twice, its rows' terms are added up by a shuffle."""
+    each = items.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("terms")).select("id", F.size("terms").cast("long").alias("length"), "terms")
+    if not unique and items.groupBy(id_col).count().filter("count > 1").limit(1).count():
+        return each.select("id", "length", F.explode("terms").alias("term")).groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    return each.mapInArrow(counted, f"term string, id {dict(each.dtypes)['id']}, length long, tf long")
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, length, terms) -> term, id, length, tf: AT_ONCE terms at a time, and an item at least."""
+    for batch in batches:
+        before = np.asarray(batch.column(2).offsets)[:-1]
+        starts = np.flatnonzero(np.diff((before - before[:1]) // AT_ONCE, prepend=-1))
+        for s, e in zip(starts, np.append(starts[1:], batch.num_rows), strict=False):
+            part = batch.slice(s, e - s)
+            codes, item = part.column(2).flatten().dictionary_encode(), np.repeat(np.arange(e - s), np.diff(np.asarray(part.column(2).offsets)))
+            size = max(1, len(codes.dictionary))
+            found, tf = np.unique(item * size + np.asarray(codes.indices), return_counts=True)
+            rows = part.select([0, 1]).take(pa.array(found // size))
+            yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(found % size)), *rows.columns, pa.array(tf)], names=["term", "id", "length", "tf"])
 
 
 def statistics(items: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
