@@ -44,23 +44,22 @@ def ingest_pages(stream: DataFrame, target: str, checkpoint: str, done: Callable
 
 def first_texts(rows: DataFrame, order: list[str], shortest: int = SHORTEST) -> DataFrame:
     """Of a stream of rows (doc_id, text, ...) those whose text is the first of its document, in every micro-batch so
-    far; texts under `shortest`, and null ones, all. The state of a document's text is that it was seen; within a
+    far; texts under `shortest`, and null ones, all. The state of a document is the digests of its texts; within a
     micro-batch the first in order (a total one) counts."""
-    own = rows.withColumn("__text", F.md5("text"))
     short = F.coalesce(F.length("text") < shortest, F.lit(True))
     schema = rows.schema
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            for _ in batches:
-                pass
-            return
-        state.update((True,))
-        found = pd.concat([x.sort_values(order).head(1) for x in batches])
-        yield found.sort_values(order).head(1)[schema.names]
-
-    firsts = own.filter(~short).groupBy("doc_id", "__text").applyInPandasWithState(step, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
-    return firsts.unionByName(own.filter(short).drop("__text"))
+        seen = set(state.get[0]) if state.exists else set()
+        found = pd.concat(list(batches)).sort_values(order).drop_duplicates("__text")
+        found = found[~found["__text"].isin(seen)]
+        if len(found):
+            state.update(([*seen, *found["__text"]],))
+            yield found[schema.names]
+
+    own = rows.withColumn("__text", F.md5("text"))
+    firsts = own.filter(~short).groupBy("doc_id").applyInPandasWithState(step, schema, "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    return firsts.unionByName(rows.filter(short))
 
 
 def ingest_deduplicated(rows: DataFrame, target: str, checkpoint: str, order: list[str], threshold: float = THRESHOLD, shortest: int = SHORTEST) -> StreamingQuery:

@@ -11,6 +11,7 @@ from corvane.functions.vectors import cosine
 from corvane.operators import ivf, vector
 from corvane.plans import catalogue
 from corvane.sources.shared import new_path
+from corvane.streaming import jobs
 
 
 def test_clusters_become_cells(spark):
@@ -83,3 +84,21 @@ def test_nearest_of_odd_vectors_without_pairs_of_all_rows(spark):
         found = vector.batch_top_k(df, asked, 5, most=most)
         assert rows(found) == wanted
         assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_a_stream_holds_one_state_a_document(spark):
+    source, target = new_path(spark, "rows"), new_path(spark, "firsts")
+    kind = "doc_id long, at long, text string"
+    first = [(k % 3, k, f"a text of some length {k // 3 % 20}") for k in range(180)]
+    later = [(k % 3, 1000 + k, f"a text of some length {15 + k // 3}") for k in range(30)] + [(0, 2000, "short"), (0, 2001, "short"), (1, 2002, None)]
+    for part in (first, later):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(source)
+    out = jobs.first_texts(jobs.file_stream(spark, spark.createDataFrame([], kind).schema, source, 1), ["at"])
+    query = out.writeStream.format("parquet").option("path", target).option("checkpointLocation", new_path(spark, "firsts-checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [x for p in query.recentProgress for s in p["stateOperators"] for x in [s["numRowsTotal"]]]
+    assert max(held) == 3  # a state a text before: 75
+    wanted = {}
+    for d, at, text in first + later[:30]:
+        wanted.setdefault((d, text), at)
+    assert rows(spark.read.parquet(target)) == rows(spark.createDataFrame([(d, at, text) for (d, text), at in wanted.items()] + later[30:], kind))
