@@ -6,7 +6,6 @@ Both are sequential by definition, so each document's bounded list of sentences
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +21,8 @@ AT_ONCE = 4096
 
 
 def estimate(text: str) -> int:
-    return math.ceil(len(re.split(r"\s+", text)) * 1.3)
+    """1.3 tokens a word, rounded up; white space at an end parts an empty word off."""
+    return math.ceil(max(1, len(text.split()) + text[:1].isspace() + text[-1:].isspace()) * 1.3)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:

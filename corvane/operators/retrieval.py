@@ -33,7 +33,7 @@ def hybrid_search(vector: DataFrame, keyword: DataFrame, items: DataFrame, queri
 
     items: (id, text), text being the whole paragraph of a sentence or the whole document.
     """
-    top = fused(vector, keyword, method, alpha, candidate_count(k))
+    top = written(items.sparkSession, fused(vector, keyword, method, alpha, candidate_count(k)), "search-hits")  # a few rows a query
     found = top.join(items.select("id", "text"), "id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
     return reranked(found.withColumn("rank", rank), queries, k, scorer)
@@ -46,7 +46,9 @@ def fast_search(vector: DataFrame | None, keyword: DataFrame | None, items: Data
         raise ValueError("both sides failed")
     empty = sides[0].limit(0)
     top = fusion.weighted(vector if vector is not None else empty, keyword if keyword is not None else empty, alpha, candidate_count(k, True))
-    found = top.join(items.select("id", "text"), "id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    top = written(items.sparkSession, top, "search-hits")  # a few rows a query
+    texts = items.select("id", "text").join(top.select("id").distinct(), "id", "left_semi")
+    found = top.join(texts, "id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     return reranked(found.filter(F.col("rank") <= 20), queries, k, scorer)
 
 

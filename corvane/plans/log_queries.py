@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.text import sentences as split_sentences
 from corvane.functions.times import micros
 from corvane.operators import cache, chunker, memory, sequence
 from corvane.plans.base import CORPUS, query, trim
-from corvane.sources.corpus import sentences as corpus
+from corvane.sources.corpus import paragraphs
 from corvane.sources.tables import table
 
 AS_OF = "2024-01-31 00:00:00"
@@ -268,8 +269,9 @@ def agent_counters(spark, sf_dir):
 
 @query("semantic_chunks")
 def semantic_chunks(spark, sf_dir):
-    # dealt by document once, which serves the offsets and the folds
-    own = corpus(table(spark, sf_dir, "documents").repartition("doc_id")).withColumn("seq", F.col("page_num") * F.lit(1 << 32) + F.col("char_offset_start"))
+    # places of sentences in reading order, as their offsets give it, without counting characters
+    own = paragraphs(table(spark, sf_dir, "documents")).select("doc_id", "pos", F.posexplode(split_sentences(F.col("para"))).alias("k", "text"))
+    own = own.withColumn("seq", F.col("pos") * F.lit(1 << 32) + F.col("k"))
     return chunker.semantic_chunks(own.select("doc_id", "seq", "text")).drop("text")
 
 
@@ -280,7 +282,6 @@ def semantic_chunks(spark, sf_dir):
 def batched_summary(spark, sf_dir):
     """The fold with the extractive plug-in: each batch's summary begins with the summary so far."""
     from corvane.operators.plugins import extractive_summary
-    from corvane.sources.corpus import paragraphs
 
     own = paragraphs(table(spark, sf_dir, "documents")).select("doc_id", F.col("pos").alias("rank"), F.col("para").alias("text"))
     return chunker.batched_summaries(own, extractive_summary)

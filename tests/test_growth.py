@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from conftest import rows
 from pyspark.sql import functions as F
 
-from corvane.operators import chunker, plugins
+from corvane.operators import bm25, chunker, plugins, retrieval
 
 
 def plan(df) -> str:
@@ -12,7 +13,7 @@ def plan(df) -> str:
 
 
 def test_many_small_documents_are_embedded_together(spark):
-    rows = spark.range(1000).select((F.col("id") / 2).cast("long").alias("doc_id"), (F.col("id") % 2).alias("seq"), F.concat(F.lit("words of "), F.col("id")).alias("text"))
+    texts = spark.range(1000).select((F.col("id") / 2).cast("long").alias("doc_id"), (F.col("id") % 2).alias("seq"), F.concat(F.lit("words of "), F.col("id")).alias("text"))
     whole = plugins.hashing_embedder(8)
 
     def embed(texts):
@@ -20,15 +21,49 @@ def test_many_small_documents_are_embedded_together(spark):
             raise ValueError("a call for each document")
         return whole(texts)
 
-    found = chunker.semantic_chunks(rows, embed)
+    found = chunker.semantic_chunks(texts, embed)
     assert found.select("doc_id").distinct().count() == 500 and "FlatMapGroups" not in plan(found)
 
 
 def test_summaries_are_folded_without_a_call_a_group(spark):
-    rows = spark.range(700).select((F.col("id") / 7).cast("long").alias("doc_id"), (6 - F.col("id") % 7).alias("rank"), F.concat(F.lit("t"), F.col("id")).alias("text"))
-    found = chunker.batched_summaries(rows, str.upper, 2)
+    texts = spark.range(700).select((F.col("id") / 7).cast("long").alias("doc_id"), (6 - F.col("id") % 7).alias("rank"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    found = chunker.batched_summaries(texts, str.upper, 2)
     expected = {(d, chunker.batched_summary([f"t{7 * d + 6 - k}" for k in range(7)], str.upper, 2)) for d in range(100)}
     assert {tuple(r) for r in found.collect()} == expected and "FlatMapGroups" not in plan(found)
-    pages = rows.select("doc_id", F.lit(1).alias("page_num"), F.col("rank").alias("char_offset_start"), F.lit("x").alias("id"), "text")
+    pages = texts.select("doc_id", F.lit(1).alias("page_num"), F.col("rank").alias("char_offset_start"), F.lit("x").alias("id"), "text")
     made = {tuple(r) for r in chunker.page_summaries(pages, str.upper, 21).collect()}
     assert made == {(d, 1, 7, "\n\n".join(f"T{7 * d + 6 - k}" for k in range(7))) for d in range(100) if len("\n\n".join(f"t{7 * d + k}" for k in range(7))) >= 21}
+
+
+def test_a_search_reads_its_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    texts = [(k, None if k == 9 else "" if k == 8 else "one text of many copies" if k % 3 else f"text {k} of its own {'own ' * (k % 5)}") for k in range(200)]
+    items = spark.createDataFrame(texts, "id long, text string").repartition(5)
+    asked = spark.createDataFrame([("a", "own text text"), ("b", "copies nowhere"), ("c", "nowhere"), (None, "Many 33")], "query_id string, query string")
+    found = rows(bm25.search(items.mapInPandas(counted, items.schema), asked, 4))
+    assert seen.value == 200 and len(found) == 12
+    keep = items.filter("id % 2 = 0").select("id")
+    kept = rows(bm25.search(items, asked, 4, keep=keep))
+    before, bm25.MAX_BROADCAST = bm25.MAX_BROADCAST, 0  # by joins
+    try:
+        assert rows(bm25.search(items, asked, 4)) == found and rows(bm25.search(items, asked, 4, keep=keep)) == kept
+    finally:
+        bm25.MAX_BROADCAST = before
+    # an id that occurs twice: its texts are added up
+    twice = items.unionByName(items.filter("id = 33"))
+    assert len(rows(bm25.search(twice, asked, 300))) == len(rows(bm25.search(items, asked, 300)))
+
+
+def test_texts_of_hits_are_not_shuffled(spark):
+    items = spark.range(3000).select("id", F.concat(F.lit("text "), F.col("id")).alias("text")).repartition(6)
+    near, asked = spark.createDataFrame([("q", k, 1.0 / k, k) for k in range(1, 9)], "query_id string, id long, score double, rank int"), spark.createDataFrame([("q", "x")], "query_id string, query string")
+    for search in (retrieval.hybrid_search, retrieval.fast_search):
+        found = search(near, near, items, asked, 3)
+        assert [r["text"] for r in found.orderBy("rank").collect()] == ["text 1", "text 2", "text 3"]
+        assert "search-hits" in plan(found) and "BroadcastHashJoin [id" in plan(found)
