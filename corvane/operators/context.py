@@ -36,6 +36,14 @@ def assembled_paragraphs(sentences: DataFrame) -> DataFrame:
     return joined.select("doc_id", "paragraph_id", "page_num", "text", rank.alias("rank"))
 
 
+def paragraphs_of_sentences(sentences: DataFrame, by: tuple[str, ...] = ("doc_id", "paragraph_id")) -> DataFrame:
+    """by, text (as assembled_paragraphs), ids (of the paragraph's sentences): each sentence is sorted into its paragraph
+    once and joined to nothing. Where paragraphs lie in pages, by may hold page_num, so rows dealt by page stay there."""
+    own = sentences.filter(F.col("doc_id").isNotNull() & F.col("paragraph_id").isNotNull())
+    grouped = own.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("page_num", "char_offset_start", "id", "text"))).alias("own"))
+    return grouped.select(*by, F.array_join(F.col("own.text"), " ").alias("text"), F.col("own.id").alias("ids"))
+
+
 def preceding_paragraphs(sentences: DataFrame, targets: DataFrame) -> DataFrame:
     """For each target (doc_id, target_paragraph) the paragraphs up to it, itself included."""
     paras = assembled_paragraphs(sentences.join(targets.select("doc_id").distinct(), "doc_id", "left_semi"))

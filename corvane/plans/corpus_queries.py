@@ -134,12 +134,10 @@ def paragraph_context(spark, sf_dir):
 
 @query("paragraph_context_batch", CORPUS + PARAGRAPHS + "SELECT s.id AS target_id, g.n::BIGINT AS siblings, md5(g.text) AS digest FROM sents s JOIN g USING (doc_id, paragraph_id)")
 def paragraph_context_batch(spark, sf_dir):
-    """Its paragraph for every sentence: assembled once a paragraph, then joined."""
-    own = _sents(spark, sf_dir)
-    paras = context.assembled_paragraphs(own)
-    sizes = own.groupBy("doc_id", "paragraph_id").agg(F.count(F.lit(1)).alias("siblings"))
-    found = own.select(F.col("id").alias("target_id"), "doc_id", "paragraph_id").join(paras.select("doc_id", "paragraph_id", "text"), ["doc_id", "paragraph_id"]).join(sizes, ["doc_id", "paragraph_id"])
-    return found.select("target_id", "siblings", F.md5("text").alias("digest"))
+    """Its paragraph for every sentence: assembled once a paragraph, which knows its sentences."""
+    paras = context.paragraphs_of_sentences(_sents(spark, sf_dir), ("doc_id", "page_num", "paragraph_id"))
+    found = paras.select(F.md5("text").alias("digest"), "ids").select("digest", F.size("ids").cast("long").alias("siblings"), F.explode("ids").alias("target_id"))
+    return found.select("target_id", "siblings", "digest")
 
 
 @query("preceding_paragraphs", CORPUS + PARAGRAPHS + "SELECT doc_id, paragraph_id, rank::BIGINT AS rank, count(*) OVER w::BIGINT AS n, sum(length(text)) OVER w::BIGINT AS chars FROM ranked WINDOW w AS (PARTITION BY doc_id ORDER BY rank)")

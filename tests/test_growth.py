@@ -5,7 +5,8 @@ from __future__ import annotations
 from conftest import rows
 from pyspark.sql import functions as F
 
-from corvane.operators import bm25, chunker, plugins, retrieval
+from corvane.operators import bm25, chunker, context, plugins, retrieval
+from corvane.plans import catalogue
 
 
 def plan(df) -> str:
@@ -67,3 +68,12 @@ def test_texts_of_hits_are_not_shuffled(spark):
         found = search(near, near, items, asked, 3)
         assert [r["text"] for r in found.orderBy("rank").collect()] == ["text 1", "text 2", "text 3"]
         assert "search-hits" in plan(found) and "BroadcastHashJoin [id" in plan(found)
+
+
+def test_paragraphs_of_sentences_take_one_shuffle(spark, sf):
+    found = catalogue.QUERIES["paragraph_context_batch"](spark, sf)
+    assert plan(found).split("== Physical")[1].count("Exchange hashpartitioning") == 1 and "Join" not in plan(found)
+    data = [("a", 1, "p1", 1, 5, "x."), ("b", 1, "p1", 1, 0, "y."), ("c", 1, "p2", 1, 9, "z."), ("d", 2, "p1", 1, 0, "w."), ("d", 2, "p1", 1, 0, "w."), ("e", None, "p1", 1, 0, "v.")]
+    sentences = spark.createDataFrame(data, "id string, doc_id long, paragraph_id string, page_num int, char_offset_start int, text string")
+    got = {(r["doc_id"], r["paragraph_id"], r["text"], tuple(r["ids"])) for r in context.paragraphs_of_sentences(sentences).collect()}
+    assert got == {(1, "p1", "y. x.", ("b", "a")), (1, "p2", "z.", ("c",)), (2, "p1", "w. w.", ("d", "d"))}
