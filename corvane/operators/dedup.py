@@ -148,21 +148,115 @@ def greedy_kept(pairs: DataFrame, ids: DataFrame, checkpoint) -> DataFrame:
     return ids.join(dropped, "id", "left_anti")
 
 
-def deduplicated(items: DataFrame, exact_scope: list[str], fuzzy_scope: list[str], order: list[str], checkpoint, threshold: float = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
-    """items (id, text, scope and order columns) that stay after both stages; short texts bypass them."""
-    flagged = exact_flags(items, exact_scope, order, shortest=shortest).filter("first").drop("first")
-    return fuzzy_deduplicated(flagged, fuzzy_scope, order, checkpoint, threshold, shortest)
-
-
-def fuzzy_deduplicated(flagged: DataFrame, fuzzy_scope: list[str], order: list[str], checkpoint, threshold: float = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
-    """The second stage alone: what is similar to nothing earlier that stays; short texts bypass it."""
-    long = flagged.filter(F.length("text") >= shortest)
+def deduplicated(items: DataFrame, exact_scope: list[str], fuzzy_scope: list[str], order: list[str], checkpoint, threshold: float = THRESHOLD, shortest: int = SHORTEST, fits: bool = False) -> DataFrame:
+    """items (id, text, scope and order columns) that stay after both stages; short texts bypass them.
+    fits: whether every scope of both stages is known to fit into a task (a document, a page)."""
+    if fits:
+        nth = F.row_number().over(W.partitionBy(*exact_scope, "__hash").orderBy(*order))
+        flagged = items.withColumn("__hash", F.md5("text")).withColumn("__nth", nth).filter(_short(shortest) | (F.col("__nth") == 1)).drop("__hash", "__nth")
+    else:
+        flagged = exact_flags(items, exact_scope, order, shortest=shortest).filter("first").drop("first")
+    return fuzzy_deduplicated(flagged, fuzzy_scope, order, checkpoint, threshold, shortest, fits)
+
+
+def _short(shortest: int) -> Column:
+    return F.coalesce(F.length("text") < shortest, F.lit(True))
+
+
+def fuzzy_deduplicated(flagged: DataFrame, fuzzy_scope: list[str], order: list[str], checkpoint, threshold: float = THRESHOLD, shortest: int = SHORTEST, fits: bool = False) -> DataFrame:
+    """The second stage alone: what is similar to nothing earlier that stays; short texts bypass it. Where scopes are
+    known to fit into a task, rows are sorted into their scopes once, and nothing else is shuffled or written."""
+    if fits:
+        return _kept_in_scopes(flagged, fuzzy_scope, order, threshold, shortest)
+    long = flagged.filter(~_short(shortest))
     numbered = long.withColumn("n", F.row_number().over(W.partitionBy(*fuzzy_scope).orderBy(*order)))
     key = F.concat_ws("\x1f", *(F.col(c).cast("string") for c in fuzzy_scope), F.lpad(F.col("n").cast("string"), 12, "0"))
     keyed = checkpoint(numbered.withColumn("key", key))
     pairs = checkpoint(similar_pairs(keyed.select(*fuzzy_scope, F.col("key").alias("id"), "text"), threshold, fuzzy_scope))
     kept = greedy_kept(pairs, keyed.select(F.col("key").alias("id")), checkpoint).withColumnRenamed("id", "key")
-    return flagged.filter(F.length("text") < shortest).unionByName(keyed.join(kept, "key", "left_semi").select(*flagged.columns))
+    return flagged.filter(_short(shortest)).unionByName(keyed.join(kept, "key", "left_semi").select(*flagged.columns))
+
+
+def _kept_in_scopes(flagged: DataFrame, scope: list[str], order: list[str], threshold: float, shortest: int) -> DataFrame:
+    """The rows that stay, many scopes at a time. Rows come from the window scope by scope, in order."""
+    digests = F.sort_array(F.transform(word_set(F.col("text")), lambda w: F.xxhash64(w)))
+    own = flagged.withColumn("__words", F.when(~_short(shortest), digests)).withColumn("__key", F.xxhash64("__words")).withColumn("__other", F.hash("__words"))
+    own = own.withColumn("__n", F.row_number().over(W.partitionBy(*scope).orderBy(*order)))
+    names, helpers = flagged.columns, ["__n", "__key", "__other", "__words"]
+
+    def kept(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        if rows.num_rows:
+            n, key, other, words = (rows[c].chunk(0) for c in helpers)
+            stays = _greedy(np.cumsum(np.asarray(n) == 1), np.asarray(key), np.asarray(other), words, threshold)
+            yield from rows.select(names).filter(pa.array(stays)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of a scope that isn't at its end
+        for batch in batches:
+            starts = np.flatnonzero(np.asarray(batch.column("__n")) == 1)
+            if len(starts):
+                if held or starts[-1]:
+                    yield from kept([*held, batch.slice(0, starts[-1])])
+                held, batch = [], batch.slice(starts[-1])
+            held.append(batch)
+        if held:
+            yield from kept(held)
+
+    return own.select(*names, *helpers).mapInArrow(run, flagged.schema)
+
+
+def _greedy(scope: np.ndarray, key: np.ndarray, other: np.ndarray, words: pa.ListArray, threshold: float) -> np.ndarray:
+    """Whether each row stays, rows being in order: of equal word sets of a scope the first can, and it does unless it is
+    similar to an earlier one that stays. Candidates share a word among the first of each, rarest first."""
+    bounds = np.asarray(words.offsets)
+    flat, n = np.asarray(words.flatten()), np.diff(bounds)
+    n[np.asarray(words.is_null())] = 0
+    starts, rows = np.cumsum(n) - n, np.arange(len(n))
+    by = np.lexsort((rows, n, other, key, scope))
+    first = np.ones(len(n), bool)
+    first[by[1:]] = np.any([x[by[1:]] != x[by[:-1]] for x in (scope, key, other, n)], axis=0)
+    stays = first | (n == 0)
+    item = np.repeat(rows, n)
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((flat, count[place], item))
+    at = np.arange(len(flat)) - np.repeat(starts, n)
+    prefix = (at < np.repeat(n - np.ceil(np.round(n * threshold, 9)) + 1, n)) & np.repeat(first, n)
+    # words of prefixes, equal ones of a scope side by side
+    order, item, at = order[prefix], item[prefix], at[prefix]
+    by = np.lexsort((item, place[order], scope[item]))
+    word, item, at = place[order][by], item[by], at[by]
+    left, pairs = np.arange(len(by)), []
+    for d in range(1, len(by)):
+        left = left[left + d < len(by)]
+        left = left[(word[left] == word[left + d]) & (scope[item[left]] == scope[item[left + d]])]
+        if not len(left):
+            break
+        a, b, room = item[left], item[left + d], np.minimum(n[item[left]] - at[left], n[item[left + d]] - at[left + d])
+        fits = (n[a] >= np.round(n[b] * threshold, 9)) & (n[b] >= np.round(n[a] * threshold, 9)) & (room >= np.round((n[a] + n[b]) * (threshold / (1 + threshold)), 9))
+        pairs.append(np.unique(b[fits] * len(n) + a[fits]))
+    found = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)])).astype(np.int64)
+    b, a = found // len(n), found % len(n)
+    size = n[a] + n[b]
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // AT_ONCE, prepend=-1))
+    near = np.zeros(len(found), bool)
+    for s, e in zip(cuts, np.append(cuts[1:], len(found)), strict=False):
+        both = _in_common(flat, starts, n, a[s:e], b[s:e])
+        near[s:e] = both / (size[s:e] - both) >= threshold - 1e-12
+    for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+        if stays[x]:
+            stays[y] = False
+    return stays
+
+
+def _in_common(flat: np.ndarray, starts: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words the rows of each pair share; no row holds a word twice."""
+    ends, sizes = np.concatenate([a, b]), np.concatenate([n[a], n[b]])
+    pair = np.repeat(np.tile(np.arange(len(a)), 2), sizes)
+    word = flat[np.repeat(starts[ends], sizes) + np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+    by = np.lexsort((word, pair))
+    pair, word = pair[by], word[by]
+    return np.bincount(pair[1:][(word[1:] == word[:-1]) & (pair[1:] == pair[:-1])], minlength=len(a))
 
 
 def near(a: Column, b: Column) -> Column:

@@ -65,8 +65,9 @@ def dedup_fuzzy_docs(spark, sf_dir):
 @query("dedup_pipeline")
 def dedup_pipeline(spark, sf_dir):
     """Sentences after exact dedup in their document and fuzzy dedup in their page."""
-    own = corpus(table(spark, sf_dir, "documents")).select("id", "doc_id", "page_num", "char_offset_start", "text")
-    kept = dedup.deduplicated(own, ["doc_id"], ["doc_id", "page_num"], ["page_num", "char_offset_start", "id"], _cut(spark))
+    # dealt by document once: offsets and both stages stay within one
+    own = corpus(table(spark, sf_dir, "documents").repartition("doc_id")).select("id", "doc_id", "page_num", "char_offset_start", "text")
+    kept = dedup.deduplicated(own, ["doc_id"], ["doc_id", "page_num"], ["page_num", "char_offset_start", "id"], _cut(spark), fits=True)
     return kept.select("id", "doc_id", "page_num")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 from conftest import rows
 from pyspark.sql import functions as F
 
-from corvane.operators import bm25, chunker, context, plugins, retrieval
+from corvane.operators import bm25, chunker, context, dedup, plugins, retrieval
 from corvane.plans import catalogue
+from corvane.sources.shared import written
 
 
 def plan(df) -> str:
@@ -77,3 +80,22 @@ def test_paragraphs_of_sentences_take_one_shuffle(spark, sf):
     sentences = spark.createDataFrame(data, "id string, doc_id long, paragraph_id string, page_num int, char_offset_start int, text string")
     got = {(r["doc_id"], r["paragraph_id"], r["text"], tuple(r["ids"])) for r in context.paragraphs_of_sentences(sentences).collect()}
     assert got == {(1, "p1", "y. x.", ("b", "a")), (1, "p2", "z.", ("c",)), (2, "p1", "w. w.", ("d", "d"))}
+
+
+def test_pages_are_deduplicated_after_one_shuffle(spark, sf):
+    found = catalogue.QUERIES["dedup_pipeline"](spark, sf)
+    assert plan(found).split("== Physical")[1].count("Exchange hashpartitioning") == 1 and "Join" not in plan(found)
+
+
+def test_scopes_that_fit_a_task_give_what_joins_give(spark):
+    rng, data = random.Random(5), [(0, 1, 1, 0, None), (1, 1, 1, 1, " " * 30), (2, 1, 1, 2, " " * 30), (3, 1, 1, 3, "short"), (4, 1, 1, 4, "short"), (5, None, 1, 0, "a text of no document " * 2), (6, None, 1, 1, "a text of no document " * 2)]
+    words = [f"word{k}" for k in range(60)]
+    for k in range(10, 1500):
+        base = words[7 * (k % 4) : 7 * (k % 4) + rng.choice([6, 20, 21])]
+        own = [rng.choice(words) if rng.random() < 0.04 else w for w in base]
+        data.append((k, 2 + k % 3 if k < 700 else 5, 1 + k % 5 if k < 900 else 6, rng.randrange(10**6), " ".join(own)))
+    df = spark.createDataFrame(data, "id int, doc_id long, page_num int, char_offset_start int, text string").repartition(7)
+    cut, order = (lambda x: written(spark, x, "test")), ["page_num", "char_offset_start", "id"]
+    for threshold in (0.95, 0.7, 1.0):
+        made = {fits: {r["id"] for r in dedup.deduplicated(df, ["doc_id"], ["doc_id", "page_num"], order, cut, threshold, fits=fits).collect()} for fits in (True, False)}
+        assert made[True] - {5, 6} == made[False] - {5, 6} and {0, 1, 2, 3, 4, 5} & made[True] == {0, 1, 3, 4, 5}
