@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corvane.operators import bm25, chunker, context, dedup, plugins, retrieval
 from corvane.plans import catalogue
-from corvane.sources.shared import written
+from corvane.sources.shared import new_path, written
+from corvane.streaming import cache_service, jobs
 
 
 def plan(df) -> str:
@@ -99,3 +100,71 @@ def test_scopes_that_fit_a_task_give_what_joins_give(spark):
     for threshold in (0.95, 0.7, 1.0):
         made = {fits: {r["id"] for r in dedup.deduplicated(df, ["doc_id"], ["doc_id", "page_num"], order, cut, threshold, fits=fits).collect()} for fits in (True, False)}
         assert made[True] - {5, 6} == made[False] - {5, 6} and {0, 1, 2, 3, 4, 5} & made[True] == {0, 1, 3, 4, 5}
+
+
+def test_expired_entries_need_no_python_worker(spark):
+    source, target = new_path(spark, "writes"), new_path(spark, "expired")
+    # a write at the very end of the time to live renews, one a millisecond later doesn't; the watermark must be beyond the end
+    data = [("a", 0.0), ("a", 10.0), ("a", 20.001), ("b", 5.0005), ("b", 15.0001), ("c", 30.0), ("d", 40.0)]
+    spark.createDataFrame(data, "key string, at double").select("key", F.timestamp_micros(F.round(F.col("at") * 1_000_000).cast("long")).alias("ts")).write.parquet(source)
+    out = jobs.expired_entries(jobs.file_stream(spark, "key string, ts timestamp", source), 10)
+    assert "Pandas" not in plan(out)
+    out.writeStream.format("parquet").option("path", target).option("checkpointLocation", new_path(spark, "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    found = {(r["key"], r["at"], r["writes"]) for r in spark.read.parquet(target).select("key", F.unix_millis("newest").alias("at"), "writes").collect()}
+    assert found == {("a", 10000, 2), ("a", 20001, 1), ("b", 15000, 2)}
+
+
+class Entries:
+    """Map state that counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        def run(*args):
+            self.calls += 1
+            if name == "iterator":
+                return iter([*self.held.items()])
+            if name == "updateValue":
+                self.held[args[0]] = args[1]
+            return {"updateValue": lambda k, v: None, "containsKey": lambda k: k in self.held, "getValue": lambda k: self.held[k], "removeKey": lambda k: self.held.pop(k)}[name](*args)
+
+        return run
+
+
+def test_a_micro_batch_asks_the_state_once_a_key(monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(3)
+    kinds = ["put"] * 6 + ["get"] * 20 + ["delete", "invalidate", "sweep", "clear"]
+    data = [(float(k), k, rng.choice(kinds), f"k{rng.randrange(9)}", f"d{rng.randrange(3)}", [f"d{rng.randrange(3)}"], f"r{k}", 15.0) for k in range(3000)]
+    batches = [pd.DataFrame(data[s : s + 1000], columns=["at", "seq", "op", "key", "doc", "docs", "results", "ttl"]) for s in (0, 1000, 2000)]
+
+    def answers(most):
+        monkeypatch.setattr(cache_service, "HELD", most)
+        cache = cache_service.Cache()
+        cache.entries = Entries()
+        cache._begin()
+        return [[tuple(map(str, r)) for x in batches for y in cache.handleInputRows((0,), iter([x]), None) for r in y.itertuples(index=False)], cache.entries]
+
+    whole, entries = answers(100)
+    assert entries.calls < 3 * 9 * 5
+    assert answers(0)[0] == answers(4)[0] == whole
+
+    # a plain map, one operation after the other
+    live, n = {}, 0
+    for at, seq, op, key, doc, docs, results, ttl in data:
+        if op == "put":
+            live[key] = [at, docs, results, 0]
+        elif op == "get":
+            hit = key in live and at - live[key][0] <= ttl
+            if not hit:
+                live.pop(key, None)
+            else:
+                live[key][3] += 1
+            assert whole[seq][4:7] == (str(hit), str(live[key][2]) if hit else "None", str(live[key][3]) if hit else "0")
+            n += hit
+        else:
+            goes = {"delete": lambda k, x: k == key, "invalidate": lambda k, x: doc in x[1], "sweep": lambda k, x: at - x[0] > ttl, "clear": lambda k, x: True}[op]
+            live = {k: x for k, x in live.items() if not goes(k, x)}
+    assert n > 300
