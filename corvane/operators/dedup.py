@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corvane.functions.text import jaccard, word_set
-from corvane.sources.shared import written
+from corvane.sources.shared import released, written
 
 SHORTEST = 20
 THRESHOLD = 0.95
@@ -57,6 +57,8 @@ def joined_to_heads(rows: DataFrame, heads: DataFrame, keys: list[str], total: i
 COUNTED = 1 << 20
 #: Words that are ordered at once in a task.
 AT_ONCE = 1 << 20
+#: Bytes of word sets that travel with candidate pairs at once, about; more pairs are verified in rounds.
+VERIFIED_AT_ONCE = 1 << 30
 
 
 def _rarity(own: DataFrame) -> np.ndarray:
@@ -94,6 +96,15 @@ def _prefixes(classes: DataFrame, rarity: np.ndarray, threshold: float, scope: l
     return classes.select(*scope, "id", "n", "words").mapInArrow(run, schema)
 
 
+def _verified(pairs: DataFrame, classes: DataFrame, scope: list[str], threshold: float, k: int, rounds: int) -> DataFrame:
+    """scope, a, b, similarity of the candidates of round k that reach the threshold."""
+    turn = lambda name: F.pmod(F.xxhash64(name), F.lit(rounds)) == k
+    left = classes.filter(turn("id")).select(*scope, F.col("id").alias("a"), F.col("words").alias("wa"))
+    right = classes.select(*scope, F.col("id").alias("b"), F.col("words").alias("wb"))
+    full = pairs.filter(turn("a")).select(*scope, "a", "b").join(left, [*scope, "a"]).join(right, [*scope, "b"])
+    return full.select(*scope, "a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
+
+
 def similar_pairs(items: DataFrame, threshold: float = THRESHOLD, scope: list[str] | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """scope columns, a, b (a < b), similarity, copy of every pair at or over the threshold with a word in it.
 
@@ -103,16 +114,20 @@ def similar_pairs(items: DataFrame, threshold: float = THRESHOLD, scope: list[st
     within classes of sizes that can match, and a pair leaves the join only if what follows the word in both leaves
     room for the similarity. Words are known by 64-bit digests throughout.
     Items of one word set are one class in the join, and come back as pairs with the class' smallest id,
-    and pairs between classes' smallest ids.
+    and pairs between classes' smallest ids. A candidate takes the set of one class to that of the other, in rounds
+    whose shuffled sets are gone before the next, so the disk holds VERIFIED_AT_ONCE of them and all sets once.
     """
     spark, scope = items.sparkSession, scope or []
     digests = F.sort_array(F.transform(word_set(F.col(text_col)), lambda w: F.xxhash64(w)))
-    own = written(spark, items.select(*scope, F.col(id_col).alias("id"), digests.alias("words")), "word-sets").filter(F.size("words") > 0)
+    sets = written(spark, items.select(*scope, F.col(id_col).alias("id"), digests.alias("words")), "word-sets")
+    own = sets.filter(F.size("words") > 0)
     own = own.withColumn("key", F.concat_ws("-", F.xxhash64("words"), F.hash("words"), F.size("words")))
     classes = own.groupBy(*scope, "key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("words").alias("words"))
     classes = written(spark, classes.withColumn("n", F.size("words")), "word-classes")
-    total = own.count()
+    members = written(spark, own.select(*scope, "key", "id"), "class-members")
+    total = members.count()
     prefix = written(spark, _prefixes(classes, _rarity(own), threshold, scope), "word-prefixes")
+    released(spark, sets)
     # sizes that can match are in one class of sizes or in neighbours
     size = F.floor(F.log("n") / F.lit(-float(np.log(threshold)) * (1 + 1e-9))).cast("int") if threshold < 1 else F.col("n")
     near = F.sequence(size - 1, size + 1) if threshold < 1 else F.array(size)
@@ -122,11 +137,14 @@ def similar_pairs(items: DataFrame, threshold: float = THRESHOLD, scope: list[st
     # a word in common at places pa and pb, if it is the first one, leaves room for so many in common
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
     wide = room >= F.round((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)), 9)
-    pairs = written(spark, left.join(right, [*scope, "word", "size"]).filter(fits & wide).select(*scope, "a", "b").distinct(), "word-pairs")
-    full = pairs.join(classes.select(*scope, F.col("id").alias("a"), F.col("words").alias("wa")), [*scope, "a"]).join(classes.select(*scope, F.col("id").alias("b"), F.col("words").alias("wb")), [*scope, "b"])
-    near = full.select(*scope, "a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12).withColumn("copy", F.lit(False))
+    pairs = written(spark, left.join(right, [*scope, "word", "size"]).filter(fits & wide).select(*scope, "a", "b", "na").distinct(), "word-pairs")
+    released(spark, prefix)
+    rounds = max(1, -(-(pairs.agg(F.sum(F.col("na").cast("long") * 8)).first()[0] or 0) // VERIFIED_AT_ONCE))
+    tables = [written(spark, _verified(pairs, classes, scope, threshold, k, rounds), "near-pairs") for k in range(rounds)]
+    near = spark.read.schema(tables[0].schema).parquet(*(x._written_at for x in tables)).withColumn("copy", F.lit(False))
+    released(spark, pairs)
     heads = classes.filter("copies > 1").select(*scope, "key", F.col("id").alias("a"), "copies")
-    same = joined_to_heads(own.select(*scope, "key", "id"), heads, [*scope, "key"], total).filter(F.col("id") != F.col("a")).select(*scope, "a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(True).alias("copy"))
+    same = joined_to_heads(members, heads, [*scope, "key"], total).filter(F.col("id") != F.col("a")).select(*scope, "a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(True).alias("copy"))
     return near.unionByName(same)
 
 

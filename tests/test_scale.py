@@ -15,7 +15,7 @@ from test_operators import greedy
 from corvane.operators import chunker, dedup, ingestion, plugins, registry, retrieval, sequence, store, vector
 from corvane.plans import catalogue
 from corvane.sources.corpus import sentences
-from corvane.sources.shared import new_path, released, written
+from corvane.sources.shared import file_system, new_path, released, written
 
 
 @pytest.fixture
@@ -266,3 +266,17 @@ def test_prefixes_hold_no_word_set_a_word():
     assert found.num_rows == 300 * 401 and found.column_names == ["id", "n", "at", "word"]
     assert pool.max_memory() < 64 << 20
     assert set(found["word"].to_pylist()[:401]) == set(words[:401].tolist())
+
+
+def test_candidates_are_verified_in_rounds_of_bounded_size(spark, monkeypatch):
+    texts = [(g * 10 + k, " ".join([f"g{g}w{x}" for x in range(20)] + [f"own{g}_{k}"] * (k > 1))) for g in range(30) for k in range(5)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    one = rows(dedup.similar_pairs(df, 0.8))
+    made, write = [], dedup.written
+    monkeypatch.setattr(dedup, "VERIFIED_AT_ONCE", 8_000)
+    monkeypatch.setattr(dedup, "written", lambda spark, x, name: made.append((name, write(spark, x, name))) or made[-1][1])
+    assert rows(dedup.similar_pairs(df, 0.8)) == one and len(one) == 30 * 7
+    tables = [x for name, x in made if name == "near-pairs"]
+    assert len(tables) == 4 and max(x.count() for x in tables) < 100 and sum(x.count() for x in tables) == 30 * 6
+    # the sets themselves, the prefixes and the candidates are gone by then
+    assert {name for name, x in made if not file_system(spark, x._written_at)[0].exists(file_system(spark, x._written_at)[1])} == {"word-sets", "word-prefixes", "word-pairs"}
